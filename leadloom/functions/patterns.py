@@ -15,9 +15,9 @@ LOOSE_EMAIL = rf"[{LETTER}0-9_.-]++@[{LETTER}0-9_.-]+[.][{LETTER}0-9_]+"
 
 # --- phones -------------------------------------------------------------------------------
 _D = r"\p{Nd}"
-_GAP = r"(?U:[\s\x1c-\x1f.-])?"
+_GAP = r"[\s\x1c-\x1f.-]?"
 PHONE = (
-    rf"(?=[+({_D}])\+?{BORDER}(?:{_D}{{1,3}}{_GAP})?\(?{_D}{{2,5}}\)?{_GAP}{_D}{{3,4}}{_GAP}{_D}{{3,9}}{BORDER}"
+    rf"(?U)(?=[+({_D}])\+?{BORDER}(?:{_D}{{1,3}}{_GAP})?\(?{_D}{{2,5}}\)?{_GAP}{_D}{{3,4}}{_GAP}{_D}{{3,9}}{BORDER}"
 )
 NOT_DIGIT = r"[^\p{Nd}]"
 PHONE_EDGE = " .,:;-()[]"

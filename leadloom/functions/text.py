@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions.arrays import let
+
 # Every code point Unicode calls white space, plus the four ASCII separators
 # 1C-1F, which engine shorthands such as a plain \s or trim() do not all know.
 WS_CHARS = (
@@ -12,10 +14,10 @@ WS_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as a pattern; the flagged shorthand is several times faster than a spelled-out class.
-WS = r"(?U:[\s\x1c-\x1f])"
+# The same set as a pattern, for use under the flag (?U): several times faster than spelled out.
+WS = r"[\s\x1c-\x1f]"
 # A run that one space must replace; a single plain space is left alone, which spares most matches.
-_LOOSE_SPACE = rf"(?U:[[\s\x1c-\x1f]&&[^ ]]){WS}*+| {WS}++"
+_LOOSE_SPACE = rf"(?U)[\s\x1c-\x1f&&[^ ]]{WS}*+| {WS}++"
 # What counts as part of a word at a word border.
 WORD = r"\p{L}\p{N}_"
 BORDER_BEFORE = rf"(?<![{WORD}])"
@@ -52,12 +54,19 @@ def clean_company_name(value: Column) -> Column:
 
 def deobfuscate(value: Column) -> Column:
     """Turn written-out email signs such as ``[at]`` or `` dot `` back into characters."""
-    ws = WS
+
+    def in_brackets(text: Column, word: str, sign: str, left: str, right: str) -> Column:
+        pattern = rf"(?iU){WS}*+\{left}{WS}*+{word}{WS}*+\{right}{WS}*+"
+        return let(
+            text,
+            lambda t: F.when(F.contains(t, F.lit(left)), F.regexp_replace(t, pattern, sign)).otherwise(t),
+        )
+
     out = value
     for word, sign in (("at", "@"), ("dot", ".")):
-        out = F.regexp_replace(out, rf"(?i){ws}*+\[{ws}*+{word}{ws}*+\]{ws}*+", sign)
-        out = F.regexp_replace(out, rf"(?i){ws}*+\({ws}*+{word}{ws}*+\){ws}*+", sign)
-        out = F.regexp_replace(out, rf"(?i){ws}++{word}{ws}++", sign)
+        out = in_brackets(out, word, sign, "[", "]")
+        out = in_brackets(out, word, sign, "(", ")")
+        out = F.regexp_replace(out, rf"(?iU){WS}++{word}{WS}++", sign)
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import patterns as P
 from leadloom.functions.arrays import first, let, non_empty, sorted_set, string_array, unique_ignoring_case
+from leadloom.functions.once import once_per_application
 from leadloom.functions.text import (
     WS,
     clean_company_name,
@@ -31,24 +32,27 @@ def _find_all(text: Column, pattern: str) -> Column:
 # --- emails -------------------------------------------------------------------------------
 
 
+def _find_emails(text: Column, pattern: str) -> Column:
+    """All matches of an email pattern, in order.
+
+    No match holds a space, so only the space-separated words with an @ meet the pattern.
+    """
+    words = F.filter(F.split(text, " "), lambda w: F.contains(w, F.lit("@")))
+    return _find_all(F.array_join(words, " "), pattern)
+
+
 def emails(text: Column, links: Column) -> Column:
     """Sorted emails of the page text (written-out signs decoded) and of the link targets.
 
     Distinct by exact spelling, before lower-casing.
     """
     hrefs = F.array_join(F.transform(links, lambda a: a["href"]), " ")
-    found = let(
-        F.concat_ws(" ", deobfuscate(text), hrefs),
-        lambda t: F.when(F.contains(t, F.lit("@")), _find_all(t, P.EMAIL)).otherwise(string_array()),
-    )
+    found = _find_emails(F.concat_ws(" ", deobfuscate(text), hrefs), P.EMAIL)
     return F.array_sort(non_empty(F.transform(F.array_distinct(found), clean_email)))
 
 
 def _loose_matches(plain_text: Column) -> Column:
-    return let(
-        deobfuscate(plain_text),
-        lambda t: F.when(F.contains(t, F.lit("@")), _find_all(t, P.LOOSE_EMAIL)).otherwise(string_array()),
-    )
+    return _find_emails(deobfuscate(plain_text), P.LOOSE_EMAIL)
 
 
 def _tidy(email: Column) -> Column:
@@ -107,7 +111,7 @@ def location(meta: Column, text_parts: Column, text: Column) -> Column:
         F.filter(meta, lambda m: m["key"].rlike(P.any_of(P.ADDRESS_META_KEYS)) & (strip(m["content"]) != ""))
     )["content"]
     chunks = F.when(F.size(text_parts) > 0, text_parts).otherwise(
-        F.split(text, rf"[;•|]|\. |{WS}{{3,}}")
+        F.split(text, rf"(?U)[;•|]|\. |{WS}{{3,}}")
     )
     written = first(
         F.filter(
@@ -300,14 +304,13 @@ def with_final_url(pages: DataFrame) -> DataFrame:
     return pages.withColumn("final_url", F.col("url"))
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """One small row of extracted facts per page; a narrow job over the page scan."""
+@once_per_application
+def _fact_columns() -> list[Column]:
     c = F.col
-    parsed = parse_pages(with_final_url(pages))
-    return parsed.select(
-        "page_id",
-        "url",
-        "final_url",
+    return [
+        c("page_id"),
+        c("url"),
+        c("final_url"),
         company_name(c("final_url"), c("title"), c("meta"), c("elements")).alias("company_name"),
         emails(c("text"), c("links")).alias("emails"),
         services(c("links"), c("elements")).alias("services"),
@@ -317,4 +320,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
         contact_links(c("final_url"), c("links")).alias("contact_links"),
         loose_emails(c("plain_text"), c("hrefs")).alias("loose_emails"),
         first_email(c("plain_text")).alias("first_email"),
-    )
+    ]
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """One small row of extracted facts per page; a narrow job over the page scan."""
+    return parse_pages(with_final_url(pages)).select(*_fact_columns())

@@ -20,8 +20,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.arrays import first, last, let
+from leadloom.functions.arrays import last, let
 from leadloom.functions.entities import unescape
+from leadloom.functions.once import once_per_application
 from leadloom.functions.text import squash, strip
 
 # Possessive groups only: java.util.regex recurses per iteration of a plain group, which
@@ -345,6 +346,11 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(tokens(F.col("html"))).alias("pos", "token"))
 
 
+@once_per_application
+def _parsed_columns() -> Column:
+    return F.inline(F.array(parsed_page(F.col("html"))))
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Pages with the html replaced by its parsed columns.
 
@@ -352,4 +358,4 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     expression into several consumers or into a pushed-down filter.
     """
     kept = [c for c in pages.columns if c != "html"]
-    return pages.select(*kept, F.inline(F.array(parsed_page(F.col("html")))))
+    return pages.select(*kept, _parsed_columns())
