@@ -427,8 +427,8 @@ _on(
 # --- extractors ---------------------------------------------------------------------------
 
 _on("e1_emails", "parsed", "page_id", "url", lambda: text_of(E.emails(c("text"), c("links"))).alias("emails"))
-_on("e2_loose_emails", "parsed", "page_id", lambda: text_of(E.loose_emails(c("plain_text"), c("hrefs"))).alias("emails"))
-_on("e3_first_email", "parsed", "page_id", lambda: E.first_email(c("plain_text")).alias("email"))
+_on("e2_loose_emails", "parsed", "page_id", lambda: text_of(E.loose_emails(E.loose_matches(c("plain_text")), c("hrefs"))).alias("emails"))
+_on("e3_first_email", "parsed", "page_id", lambda: E.first_email(E.loose_matches(c("plain_text"))).alias("email"))
 _on("e4_phones", "parsed", "page_id", lambda: text_of(E.phones(c("text"), c("links"))).alias("phones"))
 _on("e5_location", "parsed", "page_id", lambda: E.location(c("meta"), c("text_parts"), c("text")).alias("location"))
 _on(
@@ -439,12 +439,12 @@ _on(
 
 @query("e7_socials")
 def _(spark, sf):
-    profiles = parsed(spark, sf).select("page_id", E.socials(c("url"), c("links")).alias("s"))
+    profiles = parsed(spark, sf).select("page_id", E.socials(E.resolved_links(c("url"), c("links"))).alias("s"))
     return profiles.select("page_id", *[E.social(c("s"), n).alias(n) for n in P.NETWORKS])
 
 
 _on("e8_company_name", "parsed", "page_id", lambda: E.company_name(c("url"), c("title"), c("meta"), c("elements")).alias("name"))
-_on("e9_contact_links", "parsed", "page_id", lambda: text_of(E.contact_links(c("url"), c("links"))).alias("contacts"))
+_on("e9_contact_links", "parsed", "page_id", lambda: text_of(E.contact_links(c("url"), E.resolved_links(c("url"), c("links")))).alias("contacts"))
 _on("e10_nav_labels", "parsed", "page_id", lambda: text_of(E.nav_labels(c("links"))).alias("labels"))
 _on("e11_section_labels", "parsed", "page_id", lambda: text_of(E.section_labels(c("elements"))).alias("labels"))
 _on("e12_heading_labels", "parsed", "page_id", lambda: text_of(E.heading_labels(c("elements"))).alias("labels"))
@@ -454,7 +454,7 @@ _on("e14_unique_ignoring_case", "documents", "doc_id", lambda: joined(unique_ign
 
 @query("e15_all_socials")
 def _(spark, sf):
-    profiles = parsed(spark, sf).select("page_id", E.socials(c("url"), c("links")).alias("s"))
+    profiles = parsed(spark, sf).select("page_id", E.socials(E.resolved_links(c("url"), c("links"))).alias("s"))
     return profiles.select(
         "page_id",
         E.discovered_socials(c("s")).alias("discovered"),
@@ -643,11 +643,11 @@ def _(spark, sf):
     return S.result_cards(view(spark, sf, "listings"), 5).select("location_ord", "listing_id")
 
 
-_on("w3_first_contacts", "parsed", "page_id", lambda: text_of(F.slice(E.contact_links(c("url"), c("links")), 1, P.CONTACT_PAGES)).alias("contacts"))
+_on("w3_first_contacts", "parsed", "page_id", lambda: text_of(F.slice(E.contact_links(c("url"), E.resolved_links(c("url"), c("links"))), 1, P.CONTACT_PAGES)).alias("contacts"))
 _on(
     "w4_first_match", "parsed", "page_id",
-    lambda: E.social(E.socials(c("url"), c("links")), "twitter").alias("twitter"),
-    lambda: E.first_email(c("plain_text")).alias("email"),
+    lambda: E.social(E.socials(E.resolved_links(c("url"), c("links"))), "twitter").alias("twitter"),
+    lambda: E.first_email(E.loose_matches(c("plain_text"))).alias("email"),
 )
 _on("w5_sorted_fields", "parsed", "page_id", lambda: text_of(E.emails(c("text"), c("links"))).alias("emails"), lambda: text_of(E.phones(c("text"), c("links"))).alias("phones"))
 _on("w6_running_state", "parsed", "page_id", lambda: F.size(E.section_labels(c("elements"))).alias("in_section"), lambda: F.size("text_parts").alias("visible"))
@@ -683,8 +683,8 @@ def _(spark, sf):
 
 _on(
     "p3_mailto_union", "parsed", "page_id",
-    lambda: F.size(E.loose_emails(c("plain_text"), c("hrefs"))).alias("both"),
-    lambda: F.size(E.loose_emails(lit(""), c("hrefs"))).alias("mailto"),
+    lambda: F.size(E.loose_emails(E.loose_matches(c("plain_text")), c("hrefs"))).alias("both"),
+    lambda: F.size(E.loose_emails(string_array(), c("hrefs"))).alias("mailto"),
 )
 
 

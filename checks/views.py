@@ -25,6 +25,7 @@ SELECT p.page_id, p.url, p.host,
   WHEN 13 THEN '<p>We always have ' || CAST(p.page_id AS STRING) || ' offers</p><h3>Creative</h3><h2>social media plans</h2>'
   WHEN 6 THEN '<noscript>hid@' || p.host || '</noscript><svg><title>t</title>no@' || p.host || '</svg></svg><p>see&amp;lt;b&gt; at night</p>'
   WHEN 14 THEN '<template>tpl@' || p.host || '</template><svg/><p>seen@' || p.host || '.</p><nav><header><a href="../up/./x">Growth</a></header><a href="?q=1">Home</a></nav></nav><a href="#top">Blog</a>'
+  WHEN 7 THEN '<p>Please solve the CAPTCHA, 1234 12345 1234 123456789 or +44 20 7946 0958</p>'
   WHEN 15 THEN '<p>Caf&eacute; &#8212; &#x20AC;5 &hellip; &copy2024 &notit; &AMP; end</p>'
   ELSE '' END AS html
 FROM ({_PAGES_WITH_HOST}) p

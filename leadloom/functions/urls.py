@@ -39,13 +39,17 @@ def url_parts(url: Column) -> Column:
 
 def build_url(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
     """Inverse of ``url_parts``; empty query and fragment leave no mark."""
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+
+    def with_authority(p: Column) -> Column:
+        rootless = (p != "") & ~p.startswith("/")
+        return F.when(
+            netloc != "", F.concat(F.lit("//"), netloc, F.when(rootless, F.lit("/")).otherwise(F.lit("")), p)
+        ).when(p.startswith("//") | ~rootless & scheme.isin(*_RELATIVE), F.concat(F.lit("//"), p)).otherwise(p)
+
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-        .when(path.startswith("//") | ((path == "") | path.startswith("/")) & scheme.isin(*_RELATIVE), F.concat(F.lit("//"), path))
-        .otherwise(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        let(path, with_authority),
+        let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
 
@@ -76,71 +80,65 @@ def same_site(left: Column, right: Column) -> Column:
     return _site(left) == _site(right)
 
 
+def _without_last(items: Column) -> Column:
+    return F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def _resolve_path(base_path: Column, path: Column) -> Column:
     """Merge a reference path with the base path and drop dot segments."""
-    own = F.split(path, "/")
+    # Without its file name a base path keeps an end slash that the merge may drop.
     kept_base = let(
-        F.split(base_path, "/"),
-        lambda b: F.when(F.get(b, F.size(b) - 1) != "", F.slice(b, 1, F.greatest(F.size(b) - 1, F.lit(0)))).otherwise(b),
+        F.split(base_path, "/"), lambda b: F.when(base_path.endswith("/") | (base_path == ""), b).otherwise(_without_last(b))
     )
     merged = let(
-        F.concat(kept_base, own),
+        F.concat(kept_base, F.split(path, "/")),
         lambda s: F.filter(s, lambda x, i: (i == 0) | (i == F.size(s) - 1) | (x != "")),
     )
-    segments = F.when(path.startswith("/"), own).otherwise(merged)
-    return let(
-        segments,
-        lambda s: let(
-            F.aggregate(
-                s,
-                F.array().cast("array<string>"),
-                lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-                .when(x == ".", acc)
-                .otherwise(F.concat(acc, F.array(x))),
-            ),
-            lambda r: F.array_join(
-                F.when(F.get(s, F.size(s) - 1).isin(".", ".."), F.concat(r, F.array(F.lit("")))).otherwise(r), "/"
-            ),
-        ),
-    )
+
+    def resolved(segments: Column) -> Column:
+        kept = F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda acc, x: F.when(x == "..", _without_last(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+        )
+        ends_on_folder = F.get(segments, F.size(segments) - 1).isin(".", "..")
+        folder = F.when(ends_on_folder, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return let(
+            F.array_join(F.concat(kept, folder), "/"),
+            lambda p: F.when(p == "", F.lit("/")).otherwise(p),
+        )
+
+    return let(F.when(path.startswith("/"), F.split(path, "/")).otherwise(merged), resolved)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` on the page ``base`` (RFC 3986 with kept spaces)."""
 
-    def against(b: Column, h: Column) -> Column:
-        def body(bp: Column, hp: Column) -> Column:
-            scheme = F.when(hp["scheme"] != "", hp["scheme"]).otherwise(bp["scheme"])
-            path = _resolve_path(bp["path"], hp["path"])
-            return (
-                F.when((h == "") | (b == ""), F.when(h == "", b).otherwise(h))
-                .when((scheme != bp["scheme"]) | ~((scheme == "") | scheme.isin(*_RELATIVE)), h)
-                .when(hp["netloc"] != "", build_url(scheme, hp["netloc"], hp["path"], hp["query"], hp["fragment"]))
-                .when(
-                    hp["path"] == "",
-                    build_url(
-                        scheme,
-                        bp["netloc"],
-                        bp["path"],
-                        F.when(hp["query"] != "", hp["query"]).otherwise(bp["query"]),
-                        hp["fragment"],
-                    ),
-                )
-                .otherwise(
-                    build_url(
-                        scheme,
-                        bp["netloc"],
-                        F.when(path == "", F.lit("/")).otherwise(path),
-                        hp["query"],
-                        hp["fragment"],
-                    )
+    def against(b: Column, h: Column, bp: Column, hp: Column) -> Column:
+        own_host = hp["netloc"] != ""
+        same_document = hp["path"] == ""
+        path = (
+            F.when(own_host, hp["path"]).when(same_document, bp["path"]).otherwise(_resolve_path(bp["path"], hp["path"]))
+        )
+        query = F.when(own_host | ~same_document | (hp["query"] != ""), hp["query"]).otherwise(bp["query"])
+        foreign = (hp["scheme"] != "") & (hp["scheme"] != bp["scheme"])
+        return (
+            F.when(h == "", b)
+            .when((b == "") | foreign | ((bp["scheme"] != "") & ~bp["scheme"].isin(*_RELATIVE)), h)
+            .otherwise(
+                build_url(
+                    bp["scheme"], F.when(own_host, hp["netloc"]).otherwise(bp["netloc"]), path, query, hp["fragment"]
                 )
             )
+        )
 
-        return let(url_parts(b), lambda bp: let(url_parts(h), lambda hp: body(bp, hp)))
-
-    # Most hrefs on a page are plain rooted paths or absolute; the general form is the last branch.
-    return let(F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", ""), lambda h: against(base, h))
+    return let(
+        base,
+        lambda b: let(
+            F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", ""),
+            lambda h: let(url_parts(b), lambda bp: let(url_parts(h), lambda hp: against(b, h, bp, hp))),
+        ),
+    )
 
 
 def website_key(url: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import name_key
 from leadloom.functions.urls import site_key
-from leadloom.operators.joins import HOT_ROWS, HOT_SHARE, cut_lineage, hot_keys, keyed_join
+from leadloom.operators.joins import HOT_ROWS, HOT_SHARE, cut_lineage, filled, hot_keys, keyed_join
 
 
 def _best_per(edges: DataFrame, node: str, other: str) -> DataFrame:
@@ -63,16 +63,17 @@ def kept_positions(
     keyed = leads.select(F.struct(*order).alias("at"), name.alias("name"), site.alias("site"))
     blank = F.col("name").isNull() & F.col("site").isNull()
     edges = cut_lineage(keyed.filter(~blank).groupBy("name", "site").agg(F.min("at").alias("at")))
-    hot_names = hot_keys(edges, "name", hot_share, hot_rows)
-    hot_sites = hot_keys(edges, "site", hot_share, hot_rows)
+    hot = hot_keys(edges, "name", "site", share=hot_share, rows=hot_rows)
     kept = [keyed.filter(blank).select("at")]
     while not edges.isEmpty():
         certain = cut_lineage(_certain(edges))
         kept.append(certain.select("at"))
         rest = edges
-        for node, hot in (("name", hot_names), ("site", hot_sites)):
-            taken = certain.filter(F.col(node).isNotNull()).select(node)
-            rest = keyed_join(rest, taken, node, "left_anti", hot)
+        for node in ("name", "site"):
+            taken = certain.filter(F.col(node).isNotNull()).select(F.col(node).alias("key"))
+            rest = keyed_join(
+                rest.withColumn("key", filled(F.col(node), "at")), taken, "key", "left_anti", hot[node]
+            ).drop("key")
         edges = cut_lineage(rest)
     return reduce(DataFrame.unionByName, kept).select("at.*")
 

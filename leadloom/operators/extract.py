@@ -51,29 +51,30 @@ def emails(text: Column, links: Column) -> Column:
     return F.array_sort(non_empty(F.transform(F.array_distinct(found), clean_email)))
 
 
-def _loose_matches(plain_text: Column) -> Column:
-    return _find_emails(deobfuscate(plain_text), P.LOOSE_EMAIL)
+def loose_matches(plain_text: Column) -> Column:
+    """Matches of the looser pattern in reading order, tidied."""
+    return F.transform(_find_emails(deobfuscate(plain_text), P.LOOSE_EMAIL), _tidy)
 
 
 def _tidy(email: Column) -> Column:
     return F.regexp_replace(strip(F.lower(email)), r"[.,;]++\z", "")
 
 
-def loose_emails(plain_text: Column, hrefs: Column) -> Column:
-    """Sorted set of mailto targets (kept whole) and emails by the looser pattern."""
+def loose_emails(matches: Column, hrefs: Column) -> Column:
+    """Sorted set of mailto targets (kept whole) and the loose matches of a page."""
     mailto = F.filter(
         F.transform(
             F.filter(hrefs, lambda h: h.rlike("(?i)^mailto:")),
-            lambda h: F.lower(strip(F.regexp_replace(h, "^mailto:", ""))),
+            lambda h: _tidy(F.regexp_replace(h, "^mailto:", "")),
         ),
         lambda e: F.contains(e, F.lit("@")),
     )
-    return sorted_set(F.transform(F.array_union(mailto, _loose_matches(plain_text)), _tidy))
+    return sorted_set(F.concat(mailto, matches))
 
 
-def first_email(plain_text: Column) -> Column:
+def first_email(matches: Column) -> Column:
     """First email in reading order, or NULL."""
-    return first(non_empty(F.transform(_loose_matches(plain_text), _tidy)))
+    return first(non_empty(matches))
 
 
 # --- phones -------------------------------------------------------------------------------
@@ -125,16 +126,42 @@ def location(meta: Column, text_parts: Column, text: Column) -> Column:
     return F.coalesce(strip(from_meta), written)
 
 
+# --- links that matter --------------------------------------------------------------------
+
+
+def resolved_links(url: Column, links: Column) -> Column:
+    """ARRAY<STRUCT<contact,url>>: absolute addresses of contact links and social profiles.
+
+    A resolved address can only name a network if the href or the page address does, so
+    other links are left out before they are resolved.
+    """
+    candidates = F.filter(
+        F.transform(
+            links,
+            lambda a: F.struct(
+                a["href"].alias("href"),
+                F.lower(F.concat_ws(" ", a["text"], a["href"])).rlike(P.any_of(P.CONTACT_WORDS)).alias("contact"),
+            ),
+        ),
+        lambda a: a["contact"] | a["href"].rlike(P.SOCIAL_HOSTS) | url.rlike(P.SOCIAL_HOSTS),
+    )
+    return F.transform(
+        candidates,
+        lambda a: F.struct(a["contact"].alias("contact"), resolve_url(url, strip(a["href"])).alias("url")),
+    )
+
+
+def contact_links(url: Column, resolved: Column) -> Column:
+    """Addresses of contact pages on the same site, in page order."""
+    own = F.filter(resolved, lambda a: a["contact"] & same_site(url, a["url"]))
+    return unique_ignoring_case(F.transform(own, lambda a: a["url"]))
+
+
 # --- socials ------------------------------------------------------------------------------
 
 
-def socials(url: Column, links: Column) -> Column:
+def socials(resolved: Column) -> Column:
     """ARRAY<STRUCT<network,url>>: first profile link per network, in order of discovery."""
-    shaped = F.transform(
-        # A resolved address can only name a network if the href or the page address does.
-        F.filter(links, lambda a: a["href"].rlike(P.SOCIAL_HOSTS) | url.rlike(P.SOCIAL_HOSTS)),
-        lambda a: resolve_url(url, strip(a["href"])),
-    )
 
     def first_match(urls: Column, order: int, network: str) -> Column:
         found = F.transform(
@@ -149,7 +176,7 @@ def socials(url: Column, links: Column) -> Column:
         return first(F.filter(found, lambda m: m["url"] != ""))
 
     return let(
-        shaped,
+        F.transform(resolved, lambda a: a["url"]),
         lambda urls: F.transform(
             F.array_sort(
                 F.filter(
@@ -175,7 +202,7 @@ def exported_socials(*values: Column) -> Column:
     return F.array_join(non_empty(F.array(*values)), ", ")
 
 
-# --- name and contact links ---------------------------------------------------------------
+# --- name ---------------------------------------------------------------------------------
 
 
 def company_name(url: Column, title: Column, meta: Column, elements: Column) -> Column:
@@ -187,16 +214,6 @@ def company_name(url: Column, title: Column, meta: Column, elements: Column) ->
     return F.when(raw.isNotNull(), clean_company_name(raw)).otherwise(host_name_label(url))
 
 
-def contact_links(url: Column, links: Column) -> Column:
-    """Addresses of contact pages on the same site, in page order."""
-    named = F.filter(
-        links,
-        lambda a: F.lower(F.concat_ws(" ", a["text"], a["href"])).rlike(P.any_of(P.CONTACT_WORDS)),
-    )
-    resolved = F.transform(named, lambda a: resolve_url(url, strip(a["href"])))
-    return unique_ignoring_case(F.filter(resolved, lambda u: same_site(url, u)))
-
-
 # --- services -----------------------------------------------------------------------------
 
 
@@ -304,6 +321,15 @@ def with_final_url(pages: DataFrame) -> DataFrame:
     return pages.withColumn("final_url", F.col("url"))
 
 
+@once_per_application
+def _shared_columns() -> list[Column]:
+    """Intermediate columns that more than one field reads."""
+    return [
+        resolved_links(F.col("final_url"), F.col("links")).alias("resolved"),
+        loose_matches(F.col("plain_text")).alias("loose"),
+    ]
+
+
 @once_per_application
 def _fact_columns() -> list[Column]:
     c = F.col
@@ -316,13 +342,13 @@ def _fact_columns() -> list[Column]:
         services(c("links"), c("elements")).alias("services"),
         phones(c("text"), c("links")).alias("phones"),
         location(c("meta"), c("text_parts"), c("text")).alias("location"),
-        socials(c("final_url"), c("links")).alias("socials"),
-        contact_links(c("final_url"), c("links")).alias("contact_links"),
-        loose_emails(c("plain_text"), c("hrefs")).alias("loose_emails"),
-        first_email(c("plain_text")).alias("first_email"),
+        socials(c("resolved")).alias("socials"),
+        contact_links(c("final_url"), c("resolved")).alias("contact_links"),
+        loose_emails(c("loose"), c("hrefs")).alias("loose_emails"),
+        first_email(c("loose")).alias("first_email"),
     ]
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """One small row of extracted facts per page; a narrow job over the page scan."""
-    return parse_pages(with_final_url(pages)).select(*_fact_columns())
+    return parse_pages(with_final_url(pages)).select("*", *_shared_columns()).select(*_fact_columns())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 64
@@ -29,17 +29,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> list:
-    """The keys that hold a large share of ``df``: fewer than ``share`` by construction.
+def hot_keys(df: DataFrame, *keys: str, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> dict[str, list]:
+    """Per key column, the values that hold a large share of ``df``: fewer than ``share`` each.
 
     Counts are combined on the map side; a row count below ``rows`` ends the work early.
     """
     total = df.count()
     if total < rows:
-        return []
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    hot = counts.filter((F.col("count") >= rows) & (F.col("count") * share > total))
-    return [r[0] for r in hot.select(key).collect()]
+        return {key: [] for key in keys}
+    found = {}
+    for key in keys:
+        counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
+        hot = counts.filter((F.col("count") >= rows) & (F.col("count") * share > total))
+        found[key] = [r[0] for r in hot.select(key).collect()]
+    return found
+
+
+def filled(key: Column, *row: str) -> Column:
+    """Key in which every NULL is a value of its own: it matches nothing and spreads evenly."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.hex(F.xxhash64(*row))))
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: list | None = None) -> DataFrame:
@@ -60,10 +68,3 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: list
         F.explode(F.when(is_hot, F.sequence(zero, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(zero))),
     )
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
-
-
-def keyed_left_join(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
-    """Left join that keeps rows without a key out of the shuffle."""
-    with_key = left.filter(F.col(key).isNotNull())
-    without = left.filter(F.col(key).isNull())
-    return keyed_join(with_key, right, key, "left", hot).unionByName(without, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import name_key, strip
 from leadloom.functions.urls import site_key, website_key
-from leadloom.operators.joins import hot_keys, keyed_join
+from leadloom.operators.joins import filled, hot_keys, keyed_join
 
 # Headers that name the key columns, in the order they are tried.
 NAME_HEADERS = ("company name", "business name")
@@ -79,15 +79,15 @@ def _known(ledger: DataFrame, kind: str, column: str) -> DataFrame:
 
 def _without(df: DataFrame, keys: list[tuple[Column, str]], ledger: DataFrame) -> DataFrame:
     """Drop rows with any key in the ledger: one anti join per key, blank keys never match."""
-    for key, kind in keys:
-        with_key = df.withColumn("_key", key)
-        hot = hot_keys(with_key, "_key")
-        no_key = with_key.filter(F.col("_key").isNull())
+    names = [f"_key{i}" for i in range(len(keys))]
+    rest = df.select("*", *[key.alias(n) for n, (key, _) in zip(names, keys)])
+    hot = hot_keys(rest, *names)
+    for name, (_, kind) in zip(names, keys):
         rest = keyed_join(
-            with_key.filter(F.col("_key").isNotNull()), _known(ledger, kind, "_key"), "_key", "left_anti", hot
-        )
-        df = rest.select(*with_key.columns).unionByName(no_key).drop("_key")
-    return df
+            rest.withColumn(name, filled(F.col(name), *df.columns)),
+            _known(ledger, kind, name), name, "left_anti", hot[name],
+        ).drop(name)
+    return rest.select(*df.columns)
 
 
 def exclude_processed(leads: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def homepages(sites: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Join requests to facts by address; many requests may name the same address."""
-    return keyed_join(requests, facts, "url", "inner", hot_keys(requests, "url"))
+    return keyed_join(requests, facts, "url", "inner", hot_keys(requests, "url")["url"])
 
 
 def contact_pages(homes: DataFrame, facts: DataFrame) -> DataFrame:

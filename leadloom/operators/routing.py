@@ -84,7 +84,7 @@ def enrich(listings: DataFrame, records: DataFrame) -> DataFrame:
         *[blank_to_empty(F.col(n)).alias(n) for n in ("instagram", "facebook", "linkedin", "twitter", "youtube", "tiktok")],
         blank_to_empty(F.col("error")).alias("error"),
     )
-    with_record = keyed_join(listings, flat, "website", "left", hot_keys(listings, "website"))
+    with_record = keyed_join(listings, flat, "website", "left", hot_keys(listings, "website")["website"])
     return with_record.select(
         *listings.columns, *[blank_to_empty(F.col(c)).alias(c) for c in (*SCRAPED_FIELDS, "error")]
     )

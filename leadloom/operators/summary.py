@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import elapsed, name_key, stamp, strip
 from leadloom.functions.urls import site_key
-from leadloom.operators.joins import hot_keys, keyed_left_join
+from leadloom.operators.joins import filled, hot_keys, keyed_join
 from leadloom.operators.predicates import counts_as_email
 
 COUNTERS = (
@@ -36,9 +36,12 @@ def dropped_as_known(leads: DataFrame, kept: DataFrame) -> DataFrame:
         name_key(F.col("business_name")).alias("name"),
         site_key(F.col("website")).alias("site"),
     )
+    hot = hot_keys(keyed, "name", "site")
     for key in ("name", "site"):
         held = holders.filter(F.col(key).isNotNull()).select(key, F.col("at").alias(f"{key}_at"))
-        keyed = keyed_left_join(keyed, held, key, hot_keys(keyed, key))
+        keyed = keyed_join(
+            keyed.withColumn(key, filled(F.col(key), "listing_id")), held, key, "left", hot[key]
+        )
     earlier = lambda c: F.coalesce(F.col(c) < F.col("location_ord"), F.lit(False))
     return keyed.select(
         "listing_id", "location_ord", (earlier("name_at") | earlier("site_at")).alias("known")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.urls import site_key
 from leadloom.operators.dedup import dedup_leads, kept_positions
-from leadloom.operators.joins import cut_lineage, hot_keys, keyed_left_join
+from leadloom.operators.joins import cut_lineage, filled, hot_keys, keyed_join
 from leadloom.operators.ledger import exclude_processed, growth, normalized
 from leadloom.operators.listings import MAX_RESULTS, collect_listings
 from leadloom.operators.records import company_records
@@ -34,7 +34,8 @@ def mark_reused(leads: DataFrame, scraped: DataFrame) -> DataFrame:
     """
     keyed = leads.withColumn("site", site_key(F.col("website")))
     known = scraped.select("site", F.col("record_website"))
-    joined = keyed_left_join(keyed, known, "site", hot_keys(keyed, "site"))
+    hot = hot_keys(keyed, "site")["site"]
+    joined = keyed_join(keyed.withColumn("site", filled(F.col("site"), *leads.columns)), known, "site", "left", hot)
     return joined.select(
         *leads.columns,
         F.when(F.col("record_website").isNull(), 1).otherwise(0).alias("is_fresh"),
