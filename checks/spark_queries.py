@@ -24,7 +24,7 @@ from leadloom.operators.dedup import dedup_leads
 from leadloom.operators.joins import cut_lineage
 from leadloom.operators.parse import attributes, decode_html, page_tokens, parse_pages
 from leadloom.plans.batch import mark_reused, run_batch, run_single_location, skip_scrape
-from leadloom.sources.tables import cells, grown, read_pages
+from leadloom.sources.tables import cells, grown, read_pages, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +60,10 @@ def _once(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    if name == "pages":
+        return read_pages(spark, path)
+    return spread(spark.read.parquet(path), "doc_id") if name == "documents" else spark.read.parquet(path)
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -71,9 +71,13 @@ def _from(text: Column, start: Column | int) -> Column:
     return text.substr(F.lit(start) if isinstance(start, int) else start, F.length(text))
 
 
-def _decode_piece(piece: Column) -> Column:
+def name_table() -> Column:
+    """The reference names as one map literal; expressions that decode often should bind it once."""
+    return F.from_json(F.lit(_name_table_json()), "map<string,string>")
+
+
+def _decode_piece(piece: Column, names: Column) -> Column:
     """Decode one piece of text that starts with an ampersand (or holds none)."""
-    names = F.from_json(F.lit(_name_table_json()), "map<string,string>")
     named = let(
         F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]{1,30}(?:;|(?![^\t\n\f <&#;])))", 1),
         lambda name: F.when(
@@ -111,11 +115,13 @@ def _decode_piece(piece: Column) -> Column:
     )
 
 
-def unescape(value: Column) -> Column:
+def unescape(value: Column, names: Column | None = None) -> Column:
     """Decode named and numeric character references once."""
+    if names is None:
+        return let(name_table(), lambda bound: unescape(value, bound))
     return let(
         value,
         lambda v: F.when(~F.contains(v, F.lit("&")), v).otherwise(
-            F.array_join(F.transform(F.split(v, "(?=&)"), _decode_piece), "")
+            F.array_join(F.transform(F.split(v, "(?=&)"), lambda piece: _decode_piece(piece, names)), "")
         ),
     )

@@ -52,21 +52,27 @@ def clean_company_name(value: Column) -> Column:
     return name
 
 
-def deobfuscate(value: Column) -> Column:
-    """Turn written-out email signs such as ``[at]`` or `` dot `` back into characters."""
+def deobfuscate(value: Column, squashed: bool = False) -> Column:
+    """Turn written-out email signs such as ``[at]`` or `` dot `` back into characters.
 
-    def in_brackets(text: Column, word: str, sign: str, left: str, right: str) -> Column:
-        pattern = rf"(?iU){WS}*+\{left}{WS}*+{word}{WS}*+\{right}{WS}*+"
-        return let(
-            text,
-            lambda t: F.when(F.contains(t, F.lit(left)), F.regexp_replace(t, pattern, sign)).otherwise(t),
-        )
+    Text that is known to be squashed meets a pattern only if a plain search finds the word.
+    """
 
+    def guarded(text: Column, test, pattern: str, sign: str) -> Column:
+        return let(text, lambda t: F.when(test(t), F.regexp_replace(t, pattern, sign)).otherwise(t))
+
+    space = " " if squashed else rf"{WS}++"
     out = value
-    for word, sign in (("at", "@"), ("dot", ".")):
-        out = in_brackets(out, word, sign, "[", "]")
-        out = in_brackets(out, word, sign, "(", ")")
-        out = F.regexp_replace(out, rf"(?iU){WS}++{word}{WS}++", sign)
+    # Both cases are spelled out: under a case-insensitive flag the space class gets slow.
+    for word, either_case, sign in (("at", "[aA][tT]", "@"), ("dot", "[dD][oO][tT]", ".")):
+        for left, right in ("[]", "()"):
+            pattern = rf"(?U){WS}*+\{left}{WS}*+{either_case}{WS}*+\{right}{WS}*+"
+            out = guarded(out, lambda t, sign_=left: F.contains(t, F.lit(sign_)), pattern, sign)
+        pattern = f"(?U){space}{either_case}{space}"
+        if squashed:
+            out = guarded(out, lambda t, w=word: F.contains(F.lower(t), F.lit(f" {w} ")), pattern, sign)
+        else:
+            out = F.regexp_replace(out, pattern, sign)
     return out
 
 

@@ -37,8 +37,11 @@ def _find_emails(text: Column, pattern: str) -> Column:
 
     No match holds a space, so only the space-separated words with an @ meet the pattern.
     """
-    words = F.filter(F.split(text, " "), lambda w: F.contains(w, F.lit("@")))
-    return _find_all(F.array_join(words, " "), pattern)
+    def search(t: Column) -> Column:
+        words = F.filter(F.split(t, " "), lambda w: F.contains(w, F.lit("@")))
+        return F.when(F.contains(t, F.lit("@")), _find_all(F.array_join(words, " "), pattern)).otherwise(string_array())
+
+    return let(text, search)
 
 
 def emails(text: Column, links: Column) -> Column:
@@ -47,13 +50,13 @@ def emails(text: Column, links: Column) -> Column:
     Distinct by exact spelling, before lower-casing.
     """
     hrefs = F.array_join(F.transform(links, lambda a: a["href"]), " ")
-    found = _find_emails(F.concat_ws(" ", deobfuscate(text), hrefs), P.EMAIL)
+    found = _find_emails(F.concat_ws(" ", deobfuscate(text, squashed=True), hrefs), P.EMAIL)
     return F.array_sort(non_empty(F.transform(F.array_distinct(found), clean_email)))
 
 
 def loose_matches(plain_text: Column) -> Column:
     """Matches of the looser pattern in reading order, tidied."""
-    return F.transform(_find_emails(deobfuscate(plain_text), P.LOOSE_EMAIL), _tidy)
+    return F.transform(_find_emails(deobfuscate(plain_text, squashed=True), P.LOOSE_EMAIL), _tidy)
 
 
 def _tidy(email: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.arrays import last, let
-from leadloom.functions.entities import unescape
+from leadloom.functions.entities import name_table, unescape
 from leadloom.functions.once import once_per_application
 from leadloom.functions.text import squash, strip
 
@@ -96,9 +96,11 @@ def _raw_attribute(tag: Column, name: str) -> Column:
     )
 
 
-def attributes(tag: Column, *names: str) -> Column:
-    """ARRAY of the decoded values of the named attributes."""
-    return F.transform(F.array(*[_raw_attribute(tag, n) for n in names]), unescape)
+def attributes(tag: Column, *attrs: str, names: Column | None = None) -> Column:
+    """ARRAY of the decoded values of the given attributes."""
+    if names is None:
+        return let(name_table(), lambda bound: attributes(tag, *attrs, names=bound))
+    return F.transform(F.array(*[_raw_attribute(tag, a) for a in attrs]), lambda v: unescape(v, names))
 
 
 def _event(kind: Column, value: Column, dump: Column) -> Column:
@@ -131,33 +133,36 @@ def _token_events(token: Column) -> Column:
     )
 
 
-def _decoded(events: Column) -> Column:
+def _decoded(events: Column, names: Column) -> Column:
     """Decode references: hrefs and the plain dump once, the page text twice."""
-    once = F.transform(
-        events,
-        lambda e: _event(
-            e["kind"], e["value"], F.when(e["kind"].isin(_TEXT, "a"), unescape(e["value"]))
-        ),
-    )
-    return F.transform(
-        once,
-        lambda e: _event(
-            e["kind"],
-            F.when(e["kind"] == _TEXT, strip(unescape(e["dump"])))
-            .when(e["kind"] == "a", e["dump"])
-            .otherwise(e["value"]),
-            e["dump"],
-        ),
-    )
+
+    def decode(event: Column) -> Column:
+        passes = F.when(event["kind"] == _TEXT, 2).when(event["kind"] == "a", 1).otherwise(0)
+        stages = F.aggregate(
+            F.when(passes > 0, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>")),
+            F.struct(event["value"].alias("value"), event["value"].alias("dump")),
+            lambda acc, i: let(
+                unescape(acc["value"], names),
+                lambda v: F.struct(v.alias("value"), F.when(i == 1, v).otherwise(acc["dump"]).alias("dump")),
+            ),
+        )
+        return let(
+            stages,
+            lambda s: _event(
+                event["kind"], F.when(event["kind"] == _TEXT, strip(s["value"])).otherwise(s["value"]), s["dump"]
+            ),
+        )
+
+    return F.transform(events, decode)
 
 
-def _events(html: Column) -> Column:
+def _events(html: Column, names: Column) -> Column:
     """Page as an array of text, link, meta, heading and region events in page order."""
     relevant = F.filter(
         tokens(html), lambda t: ~t.startswith("<") | t.rlike(_RELEVANT) | ~_is_markup(t)
     )
     return F.filter(
-        _decoded(F.flatten(F.transform(relevant, _token_events))),
+        _decoded(F.flatten(F.transform(relevant, _token_events)), names),
         lambda e: ~e["kind"].isin(_TEXT, "a") | (e["value"] != ""),
     )
 
@@ -278,12 +283,12 @@ def _elements(events: Column) -> Column:
     )
 
 
-def _meta(events: Column) -> Column:
+def _meta(events: Column, names: Column) -> Column:
     """Meta entries by first appearance of the key, each with its last content."""
 
     def entry(tag: Column) -> Column:
         return let(
-            attributes(tag, "property", "name", "content"),
+            attributes(tag, "property", "name", "content", names=names),
             lambda v: F.struct(
                 F.lower(F.when(F.get(v, F.lit(0)) != "", F.get(v, F.lit(0))).otherwise(F.get(v, F.lit(1)))).alias("key"),
                 F.get(v, F.lit(2)).alias("content"),
@@ -308,23 +313,26 @@ def _meta(events: Column) -> Column:
 def parsed_page(html: Column) -> Column:
     """STRUCT with the parsed columns of ``PARSED_SCHEMA``."""
 
-    def build(events: Column) -> Column:
+    def build(events: Column, names: Column) -> Column:
         def from_seen(seen: Column) -> Column:
             parts = _texts(seen)
             return F.struct(
                 squash(F.array_join(parts, " ")).alias("text"),
-                F.array_join(
-                    F.transform(
-                        F.filter(_in_regions(events, _UNSEEN_TAGS, _drop_text), lambda e: e["kind"] == _TEXT),
-                        lambda e: e["dump"],
-                    ),
-                    " ",
+                # White space never matters for what is read from the dump.
+                squash(
+                    F.array_join(
+                        F.transform(
+                            F.filter(_in_regions(events, _UNSEEN_TAGS, _drop_text), lambda e: e["kind"] == _TEXT),
+                            lambda e: e["dump"],
+                        ),
+                        " ",
+                    )
                 ).alias("plain_text"),
                 _title(seen).alias("title"),
                 parts.alias("text_parts"),
                 _links(seen).alias("links"),
                 F.transform(F.filter(events, lambda e: e["kind"] == "a"), lambda e: e["value"]).alias("hrefs"),
-                _meta(events).alias("meta"),
+                _meta(events, names).alias("meta"),
                 _elements(seen).alias("elements"),
             )
 
@@ -333,7 +341,7 @@ def parsed_page(html: Column) -> Column:
             lambda visible: let(_in_regions(visible, NAV_TAGS, _mark_nav_links), from_seen),
         )
 
-    return let(_events(html), build)
+    return let(name_table(), lambda names: let(_events(html, names), lambda events: build(events, names)))
 
 
 def decode_html(raw: Column) -> Column:
