@@ -364,9 +364,9 @@ def first_rating(labels: list[str], star: str) -> str:
     )
 
 
-def cards_cte(limit: int) -> str:
+def cards_cte(limit: int | None = None) -> str:
     return f"""SELECT *, {CARD_NAME} AS card_name FROM (SELECT *, row_number() OVER (PARTITION BY location_ord ORDER BY card_ord) AS rk FROM
-  (SELECT *, row_number() OVER (PARTITION BY location_ord, maps_url ORDER BY card_ord) AS cp FROM listings) WHERE cp = 1) WHERE rk <= {limit}"""
+  (SELECT *, row_number() OVER (PARTITION BY location_ord, maps_url ORDER BY card_ord) AS cp FROM listings) WHERE cp = 1) WHERE {f"rk <= {limit}" if limit else "true"}"""
 
 
 def dedup_ctes(source: str) -> dict[str, str]:
@@ -382,7 +382,7 @@ FROM (SELECT o.rn, w.names, w.sites, o.nk, o.sk, coalesce(list_contains(w.names,
 
 def lead_ctes() -> dict[str, str]:
     return {
-        "cards": cards_cte(100),
+        "cards": cards_cte(),
         "collected": f"""SELECT listing_id, location_ord, card_ord, {squash('business_name')} AS business_name, maps_url, website, {first_rating(['rating_label'], 'NULL')} AS rating,
   coalesce(nullif(regexp_replace(review_label, '[^\\p{{Nd}}]', '', 'g'), ''), '') AS review_count, search_location, card_name FROM cards WHERE website LIKE 'http%'""",
         "known": f"SELECT DISTINCT kind, CASE WHEN kind = 'site' THEN {website_key('key')} ELSE key END AS key FROM ledger",

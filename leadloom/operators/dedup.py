@@ -9,14 +9,12 @@ everything that shares a key with it is certainly dropped.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import name_key
 from leadloom.functions.urls import site_key
-from leadloom.operators.joins import HOT_ROWS, HOT_SHARE, cut_lineage, filled, hot_keys, keyed_join
+from leadloom.operators.joins import HOT_ROWS, HOT_SHARE, Pieces, cut_lineage, filled, hot_keys, keyed_join
 
 
 def _best_per(edges: DataFrame, node: str, other: str) -> DataFrame:
@@ -64,10 +62,9 @@ def kept_positions(
     blank = F.col("name").isNull() & F.col("site").isNull()
     edges = cut_lineage(keyed.filter(~blank).groupBy("name", "site").agg(F.min("at").alias("at")))
     hot = hot_keys(edges, "name", "site", share=hot_share, rows=hot_rows)
-    kept = [keyed.filter(blank).select("at")]
+    kept = Pieces(keyed.limit(0))
     while not edges.isEmpty():
-        certain = cut_lineage(_certain(edges))
-        kept.append(certain.select("at"))
+        certain = kept.add(_certain(edges))
         rest = edges
         for node in ("name", "site"):
             taken = certain.filter(F.col(node).isNotNull()).select(F.col(node).alias("key"))
@@ -75,7 +72,7 @@ def kept_positions(
                 rest.withColumn("key", filled(F.col(node), "at")), taken, "key", "left_anti", hot[node]
             ).drop("key")
         edges = cut_lineage(rest)
-    return reduce(DataFrame.unionByName, kept).select("at.*")
+    return keyed.filter(blank).unionByName(kept.rows()).select("at.*")
 
 
 def dedup_leads(leads: DataFrame, order: list[str], **options) -> DataFrame:

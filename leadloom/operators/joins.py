@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ HOT_ROWS = 100_000  # below this many rows a key needs no splitting
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and keeps plans of loops short.
 
-    The folder is the one the cluster names; only a local master without one gets a folder
-    of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local master
+    without one gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
+        named = session.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
@@ -29,6 +31,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Pieces:
+    """Rows that a loop adds step by step, each step checkpointed once.
+
+    Steps are merged in blocks, so neither the plan nor the rewritten data grows with the
+    square of the number of steps.
+    """
+
+    BLOCK = 32
+
+    def __init__(self, none: DataFrame):
+        self._none = none
+        self._merged: list[DataFrame] = []
+        self._recent: list[DataFrame] = []
+
+    def add(self, step: DataFrame) -> DataFrame:
+        step = cut_lineage(step)
+        self._recent.append(step)
+        if len(self._recent) == self.BLOCK:
+            self._merged.append(cut_lineage(reduce(DataFrame.unionByName, self._recent)))
+            self._recent = []
+        return step
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [*self._merged, *self._recent] or [self._none])
+
+
 def hot_keys(df: DataFrame, *keys: str, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> dict[str, list]:
     """Per key column, the values that hold a large share of ``df``: fewer than ``share`` each.
 

@@ -12,7 +12,7 @@ from leadloom.functions.urls import search_key
 from leadloom.operators.ledger import exclude_processed_cards
 from leadloom.operators.predicates import has_website
 
-MAX_RESULTS = 100  # upper bound of results per search
+MAX_RESULTS = 100  # upper bound of a requested number of results per search
 
 
 def searches(locations: DataFrame, query: str) -> DataFrame:
@@ -25,23 +25,23 @@ def card_name(card_text: Column) -> Column:
     return F.coalesce(first(non_empty(F.transform(F.split(card_text, "\n"), strip))), F.lit(""))
 
 
-def result_cards(listings: DataFrame, max_results: int = MAX_RESULTS) -> DataFrame:
-    """Cards distinct by address in page order, the first ``max_results`` of each location.
+def result_cards(listings: DataFrame, max_results: int | None = None) -> DataFrame:
+    """Cards distinct by address in page order; if asked, the first few of each location.
 
     Both ranks are bounded by a constant, so Spark cuts the groups before the shuffle.
     """
-    if not 1 <= max_results <= MAX_RESULTS:
+    if max_results is not None and not 1 <= max_results <= MAX_RESULTS:
         raise ValueError(f"max_results must lie between 1 and {MAX_RESULTS}")
     per_address = Window.partitionBy("location_ord", "maps_url").orderBy("card_ord")
-    per_location = Window.partitionBy("location_ord").orderBy("card_ord")
-    return (
-        listings.withColumn("_copy", F.row_number().over(per_address))
-        .filter(F.col("_copy") == 1)
-        .withColumn("_rank", F.row_number().over(per_location))
-        .filter(F.col("_rank") <= max_results)
-        .drop("_copy", "_rank")
-        .withColumn("card_name", card_name(F.col("card_text")))
-    )
+    cards = listings.withColumn("_copy", F.row_number().over(per_address)).filter(F.col("_copy") == 1).drop("_copy")
+    if max_results is not None:
+        per_location = Window.partitionBy("location_ord").orderBy("card_ord")
+        cards = (
+            cards.withColumn("_rank", F.row_number().over(per_location))
+            .filter(F.col("_rank") <= max_results)
+            .drop("_rank")
+        )
+    return cards.withColumn("card_name", card_name(F.col("card_text")))
 
 
 def rating(labels: Column, star_label: Column) -> Column:
@@ -66,7 +66,7 @@ def website_link(*hrefs: Column) -> Column:
 
 
 def collect_listings(
-    listings: DataFrame, max_results: int = MAX_RESULTS, ledger: DataFrame | None = None
+    listings: DataFrame, max_results: int | None = None, ledger: DataFrame | None = None
 ) -> DataFrame:
     """Clean listing rows with a website, minus those the ledger already knows."""
     cards = result_cards(listings, max_results).withColumn("business_name", clean_text(F.col("business_name")))

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.urls import site_key
-from leadloom.operators.dedup import dedup_leads, kept_positions
-from leadloom.operators.joins import cut_lineage, filled, hot_keys, keyed_join
-from leadloom.operators.ledger import exclude_processed, growth, normalized
-from leadloom.operators.listings import MAX_RESULTS, collect_listings
+from leadloom.operators.dedup import dedup_leads
+from leadloom.operators.joins import Pieces, cut_lineage, filled, hot_keys, keyed_join
+from leadloom.operators.ledger import LEDGER_SCHEMA, exclude_processed, growth, normalized
+from leadloom.operators.listings import collect_listings
 from leadloom.operators.records import company_records
 from leadloom.operators.routing import DEFAULT_COLUMNS, SCRAPED_FIELDS, enrich, route
 from leadloom.operators.summary import location_counters, run_summary
@@ -55,10 +54,14 @@ def _scraped_sites(leads: DataFrame) -> DataFrame:
 
 def _one_pass(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All locations at once, in (location, card) order."""
-    leads = found.withColumn("is_fresh", F.lit(1)).withColumn("record_website", F.col("website"))
+    leads = _one_pass_order(found)
     return leads, dedup_leads(leads, ["location_ord", "card_ord"])
 
 
+def _one_pass_order(found: DataFrame) -> DataFrame:
+    return found.withColumn("is_fresh", F.lit(1)).withColumn("record_website", F.col("website"))
+
+
 def _by_location(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One location after the other: the ledger grows and earlier scrapes are reused first.
 
@@ -66,19 +69,16 @@ def _by_location(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = found.sparkSession
     locations = [r[0] for r in found.select("location_ord").distinct().orderBy("location_ord").collect()]
-    ledger = spark.createDataFrame([], "kind string, key string")
-    scraped = spark.createDataFrame([], "site string, record_website string")
-    all_kept = []
+    ledger = Pieces(spark.createDataFrame([], LEDGER_SCHEMA))
+    scraped = Pieces(spark.createDataFrame([], "site string, record_website string"))
+    kept = Pieces(_one_pass_order(found).limit(0))
     for location in locations:
-        here = exclude_processed(found.filter(F.col("location_ord") == location), ledger)
-        here = cut_lineage(mark_reused(here, scraped))
-        kept = cut_lineage(here.join(kept_positions(here, ["is_fresh", "card_ord"]), ["is_fresh", "card_ord"], "left_semi"))
-        all_kept.append(kept)
-        ledger = cut_lineage(ledger.unionByName(growth(kept)))
-        scraped = cut_lineage(scraped.unionByName(_scraped_sites(here)))
-    if not all_kept:
-        return _one_pass(found)
-    return found, reduce(DataFrame.unionByName, all_kept)
+        here = exclude_processed(found.filter(F.col("location_ord") == location), ledger.rows())
+        here = cut_lineage(mark_reused(here, scraped.rows()))
+        new = kept.add(dedup_leads(here, ["is_fresh", "card_ord"]))
+        ledger.add(growth(new))
+        scraped.add(_scraped_sites(here))
+    return found, kept.rows()
 
 
 def run_batch(
@@ -86,7 +86,7 @@ def run_batch(
     facts: DataFrame,
     ledger: DataFrame | None = None,
     columns=DEFAULT_COLUMNS,
-    max_results: int = MAX_RESULTS,
+    max_results: int | None = None,
     mode: str = "scraped",
     order: str = "by_location",
     seconds: float | None = None,
@@ -117,14 +117,14 @@ def _with_records(kept: DataFrame, records: DataFrame) -> DataFrame:
     ).drop("own_website", "record_website", "is_fresh")
 
 
-def run_single_location(listings: DataFrame, facts: DataFrame, columns=DEFAULT_COLUMNS, max_results: int = MAX_RESULTS) -> DataFrame:
+def run_single_location(listings: DataFrame, facts: DataFrame, columns=DEFAULT_COLUMNS, max_results: int | None = None) -> DataFrame:
     """One search without dedup or ledger; rows that miss a required field are skipped."""
     found = cut_lineage(collect_listings(listings, max_results))
     leads = enrich(found, company_records(found, facts))
     return route(leads, columns, mode="simple").filter(F.col("reject_reason").isNull())
 
 
-def skip_scrape(listings: DataFrame, max_results: int = MAX_RESULTS, ledger: DataFrame | None = None) -> DataFrame:
+def skip_scrape(listings: DataFrame, max_results: int | None = None, ledger: DataFrame | None = None) -> DataFrame:
     """Collect only: the clean listing rows without any page work."""
     return collect_listings(listings, max_results, ledger)
 
