@@ -35,17 +35,32 @@ def string_array(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def run_starts(items: Column, key: str) -> Column:
+    """Of sorted structs, the first of every run that agrees in ``key``."""
+    return let(items, lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)[key] != e[key])))
+
+
+def run_ends(items: Column, key: str) -> Column:
+    """Of sorted structs, the last of every run that agrees in ``key``."""
+    return let(items, lambda s: F.filter(s, lambda e, i: (i == F.size(s) - 1) | (F.get(s, i + 1)[key] != e[key])))
+
+
 def unique_ignoring_case(items: Column) -> Column:
-    """Distinct by lower case; the first spelling and the input order stay."""
-    return let(
-        items,
-        lambda xs: let(
-            F.transform(xs, F.lower),
-            lambda keys: F.filter(
-                xs, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1
-            ),
-        ),
-    )
+    """Distinct by lower case; the first spelling and the input order stay.
+
+    Two sorts instead of a search per element, so long lists stay cheap.
+    """
+
+    def unique(xs: Column) -> Column:
+        keyed = F.transform(
+            xs, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("at"), x.alias("value"))
+        )
+        firsts = F.transform(
+            run_starts(F.array_sort(keyed), "key"), lambda e: F.struct(e["at"].alias("at"), e["value"].alias("value"))
+        )
+        return F.transform(F.array_sort(firsts), lambda e: e["value"])
+
+    return let(items, lambda xs: F.when(F.size(xs) < 2, xs).otherwise(unique(xs)))
 
 
 def sorted_set(items: Column) -> Column:

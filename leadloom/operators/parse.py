@@ -9,8 +9,9 @@ array, and every structure is read from positions in that array:
 * hidden and navigation regions come from a clamped depth that is folded over the region
   tags only.
 
-Slices are disjoint, so the work grows linearly with the page, and the parse stays a narrow
-stage that runs where the page was read.
+Slices are disjoint, so the work grows with the page (only the depth list grows with the
+square of the number of region tags, a few per page), and the parse stays a narrow stage
+that runs where the page was read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.arrays import last, let
+from leadloom.functions.arrays import last, let, run_ends, run_starts
 from leadloom.functions.entities import name_table, unescape
 from leadloom.functions.once import once_per_application
 from leadloom.functions.text import squash, strip
@@ -295,18 +296,26 @@ def _meta(events: Column, names: Column) -> Column:
             ),
         )
 
+    def by_key(sorted_entries: Column) -> Column:
+        # Both lists have one entry per key, in the same order.
+        return let(
+            run_ends(sorted_entries, "key"),
+            lambda ends: F.transform(
+                run_starts(sorted_entries, "key"),
+                lambda e, j: F.struct(e["at"].alias("at"), e["key"].alias("key"), F.get(ends, j)["content"].alias("content")),
+            ),
+        )
+
     tags = F.filter(events, lambda e: e["kind"] == "meta")
     entries = F.filter(
         F.transform(tags, lambda e: entry(e["value"])), lambda m: (m["key"] != "") & (m["content"] != "")
     )
-    return let(
-        entries,
-        lambda ms: F.transform(
-            F.array_distinct(F.transform(ms, lambda m: m["key"])),
-            lambda key: F.struct(
-                key.alias("key"), squash(last(F.filter(ms, lambda m: m["key"] == key))["content"]).alias("content")
-            ),
-        ),
+    placed = F.transform(
+        entries, lambda m, i: F.struct(m["key"].alias("key"), i.alias("at"), m["content"].alias("content"))
+    )
+    return F.transform(
+        F.array_sort(let(F.array_sort(placed), by_key)),
+        lambda m: F.struct(m["key"].alias("key"), squash(m["content"]).alias("content")),
     )
 
 
