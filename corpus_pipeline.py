@@ -9,24 +9,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadloom.llm import lines, packing
+from leadloom.llm import lines, packing, pii, quality, simhash
 from leadloom.llm.common import table
 from leadloom.llm.tokens import vocabulary_file
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie inside their language's and source's fences."""
+    return quality.kept_documents(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 or more characters found in 3 or more documents stay in the last of them only."""
     return lines.deduplicated(docs, least_chars=20, least_documents=3)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group whose fingerprints link at 3 or fewer bits.
+
+    Repeated rows of that doc_id are one document. Rows without a doc_id can't be named, so they
+    take no part and stay.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    found = simhash.near_duplicates(named, shingle=3, distance=3)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind in angle brackets."""
+    return pii.masked(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 2048 ids."""
     return packing.packed(docs, vocabulary_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mask_personal_data", mask_personal_data),
     ("pack", pack),
 ]
 

@@ -143,7 +143,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids
     borders = np.zeros(0, np.int64)
     if n_shards > 1:
         cuts = [i / n_shards for i in range(1, n_shards)]
-        found = staged.agg(F.percentile_approx("doc_id", F.lit(cuts), F.lit(100 * n_shards), ).alias("cuts")).first()
+        found = staged.agg(F.percentile_approx("doc_id", F.lit(cuts), F.lit(100 * n_shards)).alias("cuts")).first()
         borders = np.unique(np.array(found.cuts or [], np.int64))
 
     def shards(keys: pa.Array) -> np.ndarray:
@@ -242,16 +242,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(lengths)
         for batch in batches:
-            for start, doc_ids, doc_tokens, marks, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = np.array(doc_tokens, np.int64)
+            for i in range(0, batch.num_rows, 16):  # runs of several blocks advance together
+                start, doc_ids, doc_tokens, marks, payload = (c.to_pylist() for c in batch.slice(i, 16).columns)
+                n = [np.array(t, np.int64) for t in doc_tokens]
+                starts = np.concatenate([s + np.cumsum(t) - t for s, t in zip(start, n, strict=True)])
+                n = np.concatenate(n)
                 runs = -(-n // STRIDE)
                 sizes = np.full(int(runs.sum()), STRIDE, np.int64)
                 sizes[np.cumsum(runs) - 1] = n - (runs - 1) * STRIDE
-                ids = decode(np.frombuffer(payload, np.uint8), np.frombuffer(marks, "<i8"), sizes, table)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), binary_array(n * 4, ids.astype("<u4"))],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+                offsets = np.cumsum([0] + [len(p) for p in payload[:-1]]) * 8
+                bits = np.concatenate([np.frombuffer(m, "<i8") + o for m, o in zip(marks, offsets, strict=True)])
+                ids = decode(np.frombuffer(b"".join(payload), np.uint8), bits, sizes, table)
+                keys = pa.array([d for some in doc_ids for d in some], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(starts), pa.array(n), binary_array(n * 4, ids.astype("<u4"))], ["doc_id", "start", "n_tokens", "ids"])
 
     blocks = spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "doc_tokens", "marks", "payload")
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

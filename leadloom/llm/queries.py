@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import hamming, idfile, lines, packing, secrets, sharding, simhash, transducer
+from leadloom.llm import hamming, idfile, lines, packing, pii, quality, secrets, sharding, simhash, transducer
 from leadloom.llm.common import table
 from leadloom.llm.tokens import vocabulary_file
 
@@ -19,6 +19,16 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter("spans", lambda x: x["base"])
+    of_kind = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    digest = F.sha2(F.array_join(F.transform(base, one), ",").cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.kept_digests(table(spark, sf_dir, "documents"))
 
@@ -43,6 +53,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary_file(BYTE_BPE), end_id=1, capacity=2048)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in counts))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -54,7 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op3_line_dedup, op4_hamming_top_k, op5_simhash, op6_pieces, op7_packing, op9_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_pii, op3_line_dedup, op4_hamming_top_k, op5_simhash, op6_pieces, op7_packing, op8_quality, op9_sharding, op10_secrets)}
 SQL: dict[str, str] = {
     "op4_hamming_top_k": f"""
 WITH signs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),

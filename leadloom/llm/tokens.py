@@ -41,7 +41,7 @@ class Encoder:
     straight to the library's model; any other goes through the library's whole pipeline.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
