@@ -458,7 +458,7 @@ FROM ordered o LEFT JOIN kept a ON a.nk = o.nk LEFT JOIN kept b ON b.sk = o.sk""
         "before": "SELECT location_ord, count(*) AS collected, count(*) FILTER (WHERE known) AS already_processed FROM drops GROUP BY location_ord",
         "after": f"""SELECT location_ord, count(*) AS after_dedup, count(*) FILTER (WHERE reject_reason IS NULL) AS qualified, count(*) FILTER (WHERE NOT {missing('email')}) AS emails,
   count(*) FILTER (WHERE linkedin <> '') AS linkedin, count(*) FILTER (WHERE instagram <> '') AS instagram FROM routed GROUP BY location_ord""",
-        "counters": """SELECT location_ord, collected, already_processed, collected - already_processed AS scraped, coalesce(after_dedup, 0) AS after_dedup, coalesce(qualified, 0) AS qualified,
+        "counters": """SELECT location_ord, collected - already_processed AS collected, already_processed, collected - already_processed AS scraped, coalesce(after_dedup, 0) AS after_dedup, coalesce(qualified, 0) AS qualified,
   coalesce(qualified, 0) AS exported, collected - already_processed - coalesce(after_dedup, 0) AS duplicates, coalesce(emails, 0) AS emails, coalesce(linkedin, 0) AS linkedin,
   coalesce(instagram, 0) AS instagram FROM before LEFT JOIN after USING (location_ord)""",
     }
@@ -565,7 +565,7 @@ def build() -> dict[str, str]:
     on_page("b9_elements", f"SELECT page_id, {numbered}, tag, text FROM elements")
     on_page(
         "b10_attributes",
-        f"SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, concat_ws('|', {attr('t', 'href')}, {attr('t', 'name')}, {attr('t', 'content')}) AS attributes FROM tok WHERE regexp_matches(t, '(?i)^<(a|meta)\\s')",
+        f"SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, concat_ws('|', {attr('t', 'href')}, {attr('t', 'name')}, {attr('t', 'content')}) AS attributes FROM tok WHERE regexp_matches(t, '(?i)^<[a-z]')",
     )
 
     # scalars
@@ -574,7 +574,7 @@ def build() -> dict[str, str]:
     out["c3_clean_text"] = statement(("listings",), {}, f"SELECT listing_id, CASE WHEN location_ord <> 3 THEN {squash('business_name')} ELSE '' END AS name FROM listings")
     out["c4_website_key"] = f"SELECT page_id, {website_key(_raw_url())} AS site FROM pages"
     out["c5_clean_email"] = f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, {clean_email("'mailto: .,' || w || ';:'")} AS email FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS pos FROM (
-  SELECT doc_id, list_filter(string_split(text, ' '), lambda cw: contains(cw, '@')) AS l FROM documents))"""
+  SELECT doc_id, string_split(text, ' ') AS l FROM documents))"""
     name_in = "text || '  :: ' || lang || ' | ' || source || ' - x'"
     out["c6_clean_company_name"] = f"SELECT doc_id, {clean_name(name_in)} AS name FROM documents"
     deob_in = "text || ' a [ AT ] b (dot) c At d'"

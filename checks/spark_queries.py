@@ -24,7 +24,7 @@ from leadloom.operators.dedup import dedup_leads
 from leadloom.operators.joins import cut_lineage
 from leadloom.operators.parse import attributes, decode_html, page_tokens, parse_pages
 from leadloom.plans.batch import mark_reused, run_batch, run_single_location, skip_scrape
-from leadloom.sources.tables import cells, grown, read_pages, spread
+from leadloom.sources.tables import cells, grown, read_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,7 +63,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
     if name == "pages":
         return read_pages(spark, path)
-    return spread(spark.read.parquet(path), "doc_id") if name == "documents" else spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -96,7 +96,7 @@ def homes(spark: SparkSession, sf: str) -> DataFrame:
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     return _once(
-        spark, sf, "records", lambda: cut_lineage(R.company_records(sites(spark, sf), facts(spark, sf)))
+        spark, sf, "records", lambda: cut_lineage(R.company_records(sites(spark, sf), facts(spark, sf), most_contacts=P.CONTACT_PAGES))
     )
 
 
@@ -349,7 +349,7 @@ def _(spark, sf):
 
 @query("b10_attributes")
 def _(spark, sf):
-    tags = page_tokens(view(spark, sf, "lead_pages")).filter(c("token").rlike(r"(?i)^<(?:a|meta)\s"))
+    tags = page_tokens(view(spark, sf, "lead_pages")).filter(c("token").rlike(r"(?i)^<[a-z]"))
     return tags.select("page_id", "pos", text_of(attributes(c("token"), "href", "name", "content")).alias("attributes"))
 
 
@@ -367,7 +367,7 @@ _on("c4_website_key", "pages", "page_id", lambda: U.website_key(_raw_url()).alia
 @query("c5_clean_email")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    found = docs.select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda w: F.contains(w, lit("@")))).alias("pos", "word"))
+    found = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     return found.select("doc_id", "pos", T.clean_email(F.concat(lit("mailto: .,"), c("word"), lit(";:"))).alias("email"))
 
 
@@ -547,7 +547,7 @@ def _(spark, sf):
 
 @query("j2_contact_pages")
 def _(spark, sf):
-    found = R.contact_pages(homes(spark, sf), facts(spark, sf))
+    found = R.contact_pages(homes(spark, sf), facts(spark, sf), P.CONTACT_PAGES)
     return found.select("website", "place", "url", text_of(c("emails")).alias("emails"))
 
 
@@ -600,7 +600,7 @@ def _(spark, sf):
 @query("g2_contact_fold")
 def _(spark, sf):
     h = homes(spark, sf)
-    folded = R.fold_contacts(h, R.contact_pages(h, facts(spark, sf)))
+    folded = R.fold_contacts(h, R.contact_pages(h, facts(spark, sf), P.CONTACT_PAGES))
     return folded.select(
         "website",
         text_of(c("email")).alias("email"),

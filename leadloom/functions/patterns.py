@@ -11,7 +11,8 @@ from leadloom.functions.text import BORDER, BORDER_AFTER, BORDER_BEFORE, LETTER
 
 # --- emails -------------------------------------------------------------------------------
 EMAIL = rf"(?=[{LETTER}0-9._%+-]){BORDER}[{LETTER}0-9._%+-]++@[{LETTER}0-9.-]+\.[{LETTER}]{{2,}}{BORDER}"
-LOOSE_EMAIL = rf"[{LETTER}0-9_.-]++@[{LETTER}0-9_.-]+[.][{LETTER}0-9_]+"
+# Starts only at the edge of a run or after the last match: a long run without "@" is read once.
+LOOSE_EMAIL = rf"(?:\G|(?<![{LETTER}0-9_.-]))[{LETTER}0-9_.-]++@[{LETTER}0-9_.-]+[.][{LETTER}0-9_]+"
 
 # --- phones -------------------------------------------------------------------------------
 _D = r"\p{Nd}"
@@ -43,7 +44,7 @@ SOCIAL_HOSTS = r"(?i)(?:linkedin|facebook|fb|instagram|twitter|x|youtube|tiktok)
 
 # --- contact links ------------------------------------------------------------------------
 CONTACT_WORDS = ("contact", "get in touch", "reach us", "support", "enquiry", "enquiries")
-CONTACT_PAGES = 3
+CONTACT_PAGES = 3  # what a batch reads of each site
 
 # --- services -----------------------------------------------------------------------------
 SERVICE_WORDS = (

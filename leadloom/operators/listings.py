@@ -12,8 +12,6 @@ from leadloom.functions.urls import search_key
 from leadloom.operators.ledger import exclude_processed_cards
 from leadloom.operators.predicates import has_website
 
-MAX_RESULTS = 100  # upper bound of a requested number of results per search
-
 
 def searches(locations: DataFrame, query: str) -> DataFrame:
     """One search per queued location, in queue order."""
@@ -28,10 +26,10 @@ def card_name(card_text: Column) -> Column:
 def result_cards(listings: DataFrame, max_results: int | None = None) -> DataFrame:
     """Cards distinct by address in page order; if asked, the first few of each location.
 
-    Both ranks are bounded by a constant, so Spark cuts the groups before the shuffle.
+    Both ranks are bounded by an argument, so Spark cuts the groups before the shuffle.
     """
-    if max_results is not None and not 1 <= max_results <= MAX_RESULTS:
-        raise ValueError(f"max_results must lie between 1 and {MAX_RESULTS}")
+    if max_results is not None and max_results < 1:
+        raise ValueError("max_results must be 1 or more")
     per_address = Window.partitionBy("location_ord", "maps_url").orderBy("card_ord")
     cards = listings.withColumn("_copy", F.row_number().over(per_address)).filter(F.col("_copy") == 1).drop("_copy")
     if max_results is not None:
@@ -76,6 +74,7 @@ def collect_listings(
         "listing_id",
         "location_ord",
         "card_ord",
+        "card_name",
         "business_name",
         "maps_url",
         website_link(F.col("website")).alias("website"),

@@ -59,12 +59,10 @@ def _lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
     return keyed_join(requests, facts, "url", "inner", hot_keys(requests, "url")["url"])
 
 
-def contact_pages(homes: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts of the first contact pages of each site; a page that is missing uses up its place."""
-    requests = homes.select(
-        "website",
-        F.posexplode(F.slice("contact_links", 1, P.CONTACT_PAGES)).alias("place", "url"),
-    )
+def contact_pages(homes: DataFrame, facts: DataFrame, most: int | None = None) -> DataFrame:
+    """Facts of the contact pages of each site, if asked the first few; a page that is missing uses up its place."""
+    links = F.col("contact_links") if most is None else F.slice("contact_links", 1, most)
+    requests = homes.select("website", F.posexplode(links).alias("place", "url"))
     return _lookup(requests, facts.drop("contact_links"))
 
 
@@ -91,7 +89,7 @@ def fold_contacts(homes: DataFrame, contacts: DataFrame | None) -> DataFrame:
         )
     else:
         place = F.col("place")
-        # At most three rows per website reach a group.
+        # As many rows per website as it has contact links, at most.
         more = contacts.groupBy("website").agg(
             ordered_concat(place, F.col("emails")).alias("more_emails"),
             ordered_concat(place, F.col("services")).alias("more_services"),
@@ -160,13 +158,17 @@ def social_fallback(records: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def company_records(
-    sites: DataFrame, facts: DataFrame, include_contacts: bool = True, include_socials: bool = True
+    sites: DataFrame,
+    facts: DataFrame,
+    include_contacts: bool = True,
+    include_socials: bool = True,
+    most_contacts: int | None = None,
 ) -> DataFrame:
-    """One record per distinct website of ``sites``."""
+    """One record per distinct website of ``sites``; ``most_contacts`` bounds the contact pages read for each."""
     homes = homepages(sites, facts)
     if include_contacts:
         homes = cut_lineage(homes)  # read by the request side and by the fold
-    records = fold_contacts(homes, contact_pages(homes, facts) if include_contacts else None)
+    records = fold_contacts(homes, contact_pages(homes, facts, most_contacts) if include_contacts else None)
     if include_socials:
         records = social_fallback(cut_lineage(records), facts)
     return records.select(

@@ -69,7 +69,8 @@ def location_counters(leads: DataFrame, kept: DataFrame, routed: DataFrame) -> D
         *[
             c.alias(n)
             for n, c in {
-                **{n: F.col(n) for n in ("collected", "already_processed", "after_dedup", "qualified", "emails", "linkedin", "instagram")},
+                "collected": F.col("collected") - F.col("already_processed"),
+                **{n: F.col(n) for n in ("already_processed", "after_dedup", "qualified", "emails", "linkedin", "instagram")},
                 "scraped": F.col("collected") - F.col("already_processed"),
                 "exported": F.col("qualified"),
                 "duplicates": F.col("collected") - F.col("already_processed") - F.col("after_dedup"),

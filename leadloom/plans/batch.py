@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions.patterns import CONTACT_PAGES
 from leadloom.functions.urls import site_key
 from leadloom.operators.dedup import dedup_leads
 from leadloom.operators.joins import Pieces, cut_lineage, filled, hot_keys, keyed_join
-from leadloom.operators.ledger import LEDGER_SCHEMA, exclude_processed, growth, normalized
+from leadloom.operators.ledger import LEDGER_SCHEMA, exclude_processed, exclude_processed_cards, growth, normalized
 from leadloom.operators.listings import collect_listings
 from leadloom.operators.records import company_records
 from leadloom.operators.routing import DEFAULT_COLUMNS, SCRAPED_FIELDS, enrich, route
@@ -73,7 +74,9 @@ def _by_location(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     scraped = Pieces(spark.createDataFrame([], "site string, record_website string"))
     kept = Pieces(_one_pass_order(found).limit(0))
     for location in locations:
-        here = exclude_processed(found.filter(F.col("location_ord") == location), ledger.rows())
+        known = ledger.rows()
+        here = exclude_processed_cards(found.filter(F.col("location_ord") == location), known)
+        here = exclude_processed(here, known)
         here = cut_lineage(mark_reused(here, scraped.rows()))
         new = kept.add(dedup_leads(here, ["is_fresh", "card_ord"]))
         ledger.add(growth(new))
@@ -101,7 +104,7 @@ def run_batch(
     found = cut_lineage(collect_listings(listings, max_results, normalized(ledger) if ledger is not None else None))
     leads, kept = _by_location(found) if order == "by_location" else _one_pass(found)
     kept = cut_lineage(kept)
-    records = company_records(kept.select(F.col("record_website").alias("website")), facts)
+    records = company_records(kept.select(F.col("record_website").alias("website")), facts, most_contacts=CONTACT_PAGES)
     enriched = _with_records(kept, records)
     routed = cut_lineage(route(enriched, columns, mode))
     counters = cut_lineage(location_counters(leads, kept, routed))
@@ -120,13 +123,13 @@ def _with_records(kept: DataFrame, records: DataFrame) -> DataFrame:
 def run_single_location(listings: DataFrame, facts: DataFrame, columns=DEFAULT_COLUMNS, max_results: int | None = None) -> DataFrame:
     """One search without dedup or ledger; rows that miss a required field are skipped."""
     found = cut_lineage(collect_listings(listings, max_results))
-    leads = enrich(found, company_records(found, facts))
+    leads = enrich(found, company_records(found, facts, most_contacts=CONTACT_PAGES))
     return route(leads, columns, mode="simple").filter(F.col("reject_reason").isNull())
 
 
 def skip_scrape(listings: DataFrame, max_results: int | None = None, ledger: DataFrame | None = None) -> DataFrame:
     """Collect only: the clean listing rows without any page work."""
-    return collect_listings(listings, max_results, ledger)
+    return collect_listings(listings, max_results, ledger).drop("card_name")
 
 
 __all__ = ["BatchResult", "SCRAPED_FIELDS", "mark_reused", "run_batch", "run_single_location", "skip_scrape"]

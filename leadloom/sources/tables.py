@@ -11,19 +11,9 @@ from leadloom.functions.arrays import joined
 from leadloom.operators.parse import decode_html
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give a scan of few splits one partition per core; page work is heavy per byte.
-
-    A scan with fewer splits than the cluster has cores is small by the split size, so this
-    never shuffles large data: a larger scan is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Crawled pages; raw bytes are decoded, bad ones replaced."""
-    pages = spread(spark.read.parquet(path), "page_id")
+    pages = spark.read.parquet(path)
     if isinstance(pages.schema["html"].dataType, BinaryType):
         pages = pages.withColumn("html", decode_html(F.col("html")))
     return pages
@@ -70,8 +60,9 @@ def grown(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_rows(df: DataFrame, path: str) -> None:
-    """Append rows; columns the table does not know yet are added, old files stay as they are."""
-    df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns]).write.mode("append").parquet(path)
+    """Append rows as cell text; columns the table does not know yet are added, old files stay as they are."""
+    named = df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns])
+    cells(named).write.mode("append").parquet(path)
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame | None:

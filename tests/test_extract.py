@@ -131,3 +131,15 @@ def test_facts_add_no_exchange(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = page_facts(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_loose_emails_in_a_long_word_take_linear_time(spark):
+    """A start inside a run can't match where its edge didn't, so each run is read once."""
+    import time
+
+    from leadloom.functions.patterns import LOOSE_EMAIL
+
+    text = spark.createDataFrame([("@" + "a" * 1_000_000 + " x@y.zz-u@v.ww",)], "t string")
+    started = time.perf_counter()
+    found = text.select(F.regexp_extract_all("t", F.lit(LOOSE_EMAIL), F.lit(0)).alias("f")).first().f
+    assert found == ["x@y.zz", "-u@v.ww"] and time.perf_counter() - started < 20

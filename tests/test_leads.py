@@ -260,7 +260,20 @@ def test_ranks_are_cut_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 3  # partial and final, for copies and for the first few
 
 
-@pytest.mark.parametrize("bad", [0, 101])
-def test_number_of_results_is_checked(spark, bad):
+def test_number_of_results_is_checked(spark):
+    listings = spark.createDataFrame(listing_rows(1), LISTING)
     with pytest.raises(ValueError):
-        result_cards(spark.createDataFrame(listing_rows(1), LISTING), bad)
+        result_cards(listings, 0)
+    assert result_cards(listings, 101).count() == len(listing_rows(1))
+
+
+def test_card_names_meet_names_of_earlier_locations(spark, facts):
+    """The card of location 1 shows the name of a kept lead, its page another one."""
+    rows = [
+        (0, 0, "T0", 0, "m0", "Acme", "Acme", "https://s1.org", "", ""),
+        (1, 1, "T1", 1, "m1", "Acme", "Acme Berlin", "https://s2.org", "", ""),
+        (2, 1, "T1", 2, "m2", "Other", "Other", "https://s4.org", "", ""),
+        (3, 1, "T1", 3, "m3", "Other", "Other Berlin", "https://s5.org", "", ""),  # same location: not yet known
+    ]
+    kept = run_batch(spark.createDataFrame(rows, LISTING), facts, None, COLUMNS).routed.collect()
+    assert sorted(r.listing_id for r in kept) == [0, 2, 3]

@@ -53,6 +53,13 @@ def test_append_grows_columns(spark, tmp_path):
     assert rows(got, "Company Name", "Phone", "Extra") == [("", "2", "x"), ("a", "1", "")]
 
 
+def test_append_list_before_text(spark, tmp_path):
+    path = str(tmp_path / "accepted")
+    T.append_rows(spark.createDataFrame([(["1", "2"],)], "Phone array<string>"), path)
+    T.append_rows(spark.createDataFrame([("3",)], "Phone string"), path)
+    assert rows(T.read_rows(spark, path)) == [("1, 2",), ("3",)]
+
+
 def test_summary_is_replaced_unless_empty(spark, tmp_path):
     path = str(tmp_path / "summary")
     summary = spark.createDataFrame([("Qualified Leads", "3")], "label string, value string")
