@@ -89,7 +89,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "id", c
     for radius in range(max(w for _, w in borders) + 1):
         covered = len(borders) * (radius + 1) - 1
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        met = _probes(left, borders, radius).join(index, ["segment", "value"]).filter(distance <= covered)
+        # Spark takes the probes for as few as the queries they come from and would broadcast them.
+        met = _probes(left, borders, radius).hint("merge").join(index, ["segment", "value"]).filter(distance <= covered)
         met = met.select("query", "code", distance.alias("distance"), "least", "n").distinct()
         best = written(_best(met, k + 1))
         # With itself, a query needs k + 1 rows within the covered distance; k + 1 codes always do.
