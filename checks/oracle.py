@@ -464,6 +464,37 @@ FROM ordered o LEFT JOIN kept a ON a.nk = o.nk LEFT JOIN kept b ON b.sk = o.sk""
     }
 
 
+def by_location_ctes() -> dict[str, str]:
+    """The batch location by location: known keys go, sites scraped before come first, then row by row."""
+    listings = """SELECT * REPLACE (CAST(location_ord % 7 AS INTEGER) AS location_ord,
+  CASE WHEN listing_id % 5 = 0 THEN 'Biz ' || CAST(listing_id * 11 % 400 AS VARCHAR) ELSE card_text END AS card_text) FROM listings"""
+    base = batch_ctes()
+    base["cards"] = base["cards"].replace("FROM listings)", f"FROM ({listings}))")
+    items = f"""SELECT location_ord, list({{'card': card_ord, 'id': listing_id, 'nk': {name_key('business_name')}, 'ck': {name_key('card_name')}, 'sk': {site_key('website')}}}) AS items
+FROM found GROUP BY location_ord"""
+    texts = "[]::VARCHAR[]"
+    keeps = "coalesce(list_contains(ac.names, el.nk), false) OR coalesce(list_contains(ac.sites, el.sk), false)"
+    add = lambda many, one: f"CASE WHEN el.{one} IS NULL THEN ac.{many} ELSE list_append(ac.{many}, el.{one}) END"
+    element = lambda fresh, card, row: f"{{'fresh': {fresh}, 'card': {card}, 'id': {row}.id, 'nk': {row}.nk, 'sk': {row}.sk, 'ids': []::BIGINT[], 'names': {texts}, 'sites': {texts}}}"
+    start = "{'fresh': -1, 'card': 0::BIGINT, 'id': 0::BIGINT, 'nk': NULL::VARCHAR, 'sk': NULL::VARCHAR, 'ids': []::BIGINT[], 'names': w.names, 'sites': w.sites}"
+    after = "{'fresh': ac.fresh, 'card': ac.card, 'id': ac.id, 'nk': ac.nk, 'sk': ac.sk, 'ids': list_append(ac.ids, el.id), 'names': " + add("names", "nk") + ", 'sites': " + add("sites", "sk") + "}"
+    new = """list_filter(i.items, lambda it: NOT (coalesce(list_contains(w.names, it.nk), false)
+  OR coalesce(list_contains(w.names, it.ck), false) OR coalesce(list_contains(w.sites, it.sk), false)))"""
+    fresh = "CASE WHEN coalesce(list_contains(scraped, it.sk), false) THEN 0 ELSE 1 END"
+    walk = f"""SELECT -1, {texts}, {texts}, {texts}, []::BIGINT[] UNION ALL
+SELECT location_ord, r.names, r.sites, list_distinct(list_concat(scraped, list_filter(list_transform(here, lambda it: it.sk), lambda sk: sk IS NOT NULL))), list_concat(ids, r.ids) FROM (
+  SELECT *, list_reduce(list_concat([first], list_sort(list_transform(here, lambda it: {element(fresh, 'it.card', 'it')}))), lambda ac, el: CASE WHEN {keeps} THEN ac ELSE {after} END) AS r FROM (
+    SELECT i.location_ord, w.scraped, w.ids, {start} AS first, {new} AS here FROM walk w JOIN items i ON i.location_ord = w.location_ord + 1))"""
+    kept = "SELECT f.* FROM found f WHERE f.listing_id IN (SELECT unnest(ids) FROM walk)"
+    out = {}
+    for name, sql in base.items():
+        if name == "ordered":
+            out["items"], out["walk(location_ord, names, sites, scraped, ids)"], out["kept"] = items, walk, kept
+        elif not name.startswith("walk") and name not in ("kept", "drops", "before", "after", "counters"):
+            out[name] = sql
+    return out
+
+
 # --- statements ---------------------------------------------------------------------------
 
 
@@ -734,5 +765,6 @@ UNION ALL SELECT business_id, 4, {li_url} || '/about' FROM biz WHERE website <>
     on_leads("p11_overrides", f"SELECT listing_id, {', '.join(f'{v} AS {k}' for k, v in edited.items())} FROM leads")
 
     # memory
+    out["t1_batch_by_location"] = statement((*web, "ledger"), by_location_ctes(), "SELECT listing_id, location_ord, email, reject_reason FROM routed")
     on_cards("t2_second_run", "SELECT listing_id, location_ord FROM kept WHERE location_ord >= 12", dedup_ctes("collected"))
     return out

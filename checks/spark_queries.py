@@ -761,3 +761,13 @@ def _(spark, sf):
     first = dedup_leads(rows.filter(c("location_ord") < 12), ["location_ord", "card_ord"])
     second = L.exclude_processed(rows.filter(c("location_ord") >= 12), cut_lineage(L.growth(first)))
     return dedup_leads(second, ["location_ord", "card_ord"]).select("listing_id", "location_ord")
+
+
+@query("t1_batch_by_location")
+def _(spark, sf):
+    """The default batch over cards that often show another name than their page, in longer locations."""
+    cards = view(spark, sf, "listings").withColumn("location_ord", (c("location_ord") % 7).cast("int"))
+    other = F.concat(lit("Biz "), (c("listing_id") * 11 % 400).cast("string"))
+    cards = cards.withColumn("card_text", F.when(c("listing_id") % 5 == 0, other).otherwise(c("card_text")))
+    result = run_batch(cards, facts(spark, sf), view(spark, sf, "ledger"), REQUIRED)
+    return result.routed.select("listing_id", "location_ord", "email", "reject_reason")

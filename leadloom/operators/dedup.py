@@ -5,6 +5,10 @@ seen on a kept lead; dropped leads leave no trace. On the graph whose edges are
 whose nodes are names and sites that is the greedy maximal matching, which can be computed
 in rounds: an undecided lead that comes first in both of its groups is certainly kept, and
 everything that shares a key with it is certainly dropped.
+
+A lead may also have a ``seen_as`` name, which it does not claim but which drops it if a lead kept
+in an earlier step of the order (an earlier location) has that name. Such a lead is certain only
+once no undecided lead of an earlier step could still claim the name.
 """
 
 from __future__ import annotations
@@ -14,33 +18,39 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import name_key
 from leadloom.functions.urls import site_key
-from leadloom.operators.joins import HOT_ROWS, HOT_SHARE, Pieces, cut_lineage, filled, hot_keys, keyed_join
+from leadloom.operators.joins import Pieces, cut_lineage, filled
+
 
+EDGE = ("at", "name", "site", "seen_as")
 
-def _best_per(edges: DataFrame, node: str, other: str) -> DataFrame:
+
+def _best_per(edges: DataFrame, node: str) -> DataFrame:
     """First edge of every node: one row per node, combined before the shuffle."""
     return (
         edges.filter(F.col(node).isNotNull())
         .groupBy(node)
-        .agg(F.min(F.struct("at", other)).alias("best"))
-        .select(node, F.col("best.at").alias("at"), F.col(f"best.{other}").alias(other))
+        .agg(F.min(F.struct("at", *[c for c in EDGE[1:] if c != node])).alias("best"))
+        .select(node, "best.*")
+        .select(*EDGE)
     )
 
 
-def _certain(edges: DataFrame) -> DataFrame:
+def _unseen(edges: DataFrame, claims: DataFrame, step: str) -> DataFrame:
+    """Edges whose ``seen_as`` no claim (one per name) of an earlier step holds."""
+    claims = claims.filter(F.col("name").isNotNull()).select(F.col("name").alias("_key"), F.col(f"at.{step}").alias("_since"))
+    spread = edges.withColumn("_key", filled(F.col("seen_as"), "at"))
+    before = F.coalesce(F.col("_since") < F.col(f"at.{step}"), F.lit(False))
+    return spread.join(claims, "_key", "left").filter(~before).select(*EDGE)
+
+
+def _certain(edges: DataFrame, step: str | None) -> DataFrame:
     """Edges that come first in each group they belong to."""
-    by_name = _best_per(edges, "name", "site")
-    by_site = _best_per(edges, "site", "name")
-    columns = ["at", "name", "site"]
-    both = by_name.filter(F.col("site").isNotNull()).join(
-        by_site.filter(F.col("name").isNotNull()).select("at"), "at"
-    )
-    return (
-        by_name.filter(F.col("site").isNull())
-        .select(columns)
-        .unionByName(by_site.filter(F.col("name").isNull()).select(columns))
-        .unionByName(both.select(columns))
-    )
+    by_name, by_site = _best_per(edges, "name"), _best_per(edges, "site")
+    both = by_name.filter(F.col("site").isNotNull()).join(by_site.filter(F.col("name").isNotNull()).select("at"), "at", "left_semi")
+    first = by_name.filter(F.col("site").isNull()).unionByName(by_site.filter(F.col("name").isNull())).unionByName(both)
+    if step is None:
+        return first
+    return _unseen(first.unionByName(edges.filter(F.col("name").isNull() & F.col("site").isNull())), by_name, step)
 
 
 def kept_positions(
@@ -48,30 +58,29 @@ def kept_positions(
     order: list[str],
     name: Column | None = None,
     site: Column | None = None,
-    hot_share: int = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
+    seen_as: Column | None = None,
 ) -> DataFrame:
-    """The order columns of the kept leads. ``order`` must identify a lead.
+    """The order columns of the kept leads. ``order`` must identify a lead; its first column is the step.
 
-    Leads that agree in both keys can only be kept once, so they are merged to their first
+    Leads that agree in all keys can only be kept once, so they are merged to their first
     before the rounds start; leads without any key are always kept.
     """
     name = name_key(F.col("business_name")) if name is None else name
     site = site_key(F.col("website")) if site is None else site
-    keyed = leads.select(F.struct(*order).alias("at"), name.alias("name"), site.alias("site"))
-    blank = F.col("name").isNull() & F.col("site").isNull()
-    edges = cut_lineage(keyed.filter(~blank).groupBy("name", "site").agg(F.min("at").alias("at")))
-    hot = hot_keys(edges, "name", "site", share=hot_share, rows=hot_rows)
+    step = None if seen_as is None else order[0]
+    looked_up = F.lit(None).cast("string") if seen_as is None else F.when(~seen_as.eqNullSafe(name), seen_as)
+    keyed = leads.select(F.struct(*order).alias("at"), name.alias("name"), site.alias("site"), looked_up.alias("seen_as"))
+    blank = F.col("name").isNull() & F.col("site").isNull() & F.col("seen_as").isNull()
+    edges = cut_lineage(keyed.filter(~blank).groupBy(*EDGE[1:]).agg(F.min("at").alias("at")).select(*EDGE))
     kept = Pieces(keyed.limit(0))
     while not edges.isEmpty():
-        certain = kept.add(_certain(edges))
-        rest = edges
+        certain = kept.add(_certain(edges, step))
+        # Certain edges themselves hold a taken key, or, without name and site, are taken by position.
+        rest = edges.join(certain.filter(F.col("name").isNull() & F.col("site").isNull()).select("at"), "at", "left_anti") if step else edges
         for node in ("name", "site"):
-            taken = certain.filter(F.col(node).isNotNull()).select(F.col(node).alias("key"))
-            rest = keyed_join(
-                rest.withColumn("key", filled(F.col(node), "at")), taken, "key", "left_anti", hot[node]
-            ).drop("key")
-        edges = cut_lineage(rest)
+            taken = certain.filter(F.col(node).isNotNull()).select(F.col(node).alias("_key"))
+            rest = rest.withColumn("_key", filled(F.col(node), "at")).join(taken, "_key", "left_anti").drop("_key")
+        edges = cut_lineage(rest if step is None else _unseen(rest, certain, step))
     return keyed.filter(blank).unionByName(kept.rows()).select("at.*")
 
 

@@ -1,4 +1,10 @@
-"""Joins and cut points that hold up when one key has a large share of the rows."""
+"""Cut points of loops, and join keys that hold up when one key has a large share of the rows.
+
+Tables are joined against one row per key with plain equi-joins. A key with very many rows makes
+a large partition of one side only, which adaptive execution measures and splits at run time
+(``spark.sql.adaptive.skewJoin``, on by default) for inner, left, semi and anti joins alike. NULL
+keys are one such key that matches nothing; ``filled`` spreads them.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-HOT_SHARE = 1000  # a key is hot from one thousandth of the rows on, so at most 999 keys are hot
-HOT_ROWS = 100_000  # below this many rows a key needs no splitting
-
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and keeps plans of loops short.
@@ -54,42 +56,6 @@ class Pieces:
         return reduce(DataFrame.unionByName, [*self._merged, *self._recent] or [self._none])
 
 
-def hot_keys(df: DataFrame, *keys: str, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> dict[str, list]:
-    """Per key column, the values that hold a large share of ``df``: fewer than ``share`` each.
-
-    Counts are combined on the map side; a row count below ``rows`` ends the work early.
-    """
-    total = df.count()
-    if total < rows:
-        return {key: [] for key in keys}
-    found = {}
-    for key in keys:
-        counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-        hot = counts.filter((F.col("count") >= rows) & (F.col("count") * share > total))
-        found[key] = [r[0] for r in hot.select(key).collect()]
-    return found
-
-
 def filled(key: Column, *row: str) -> Column:
     """Key in which every NULL is a value of its own: it matches nothing and spreads evenly."""
     return F.coalesce(key, F.concat(F.lit("\0"), F.hex(F.xxhash64(*row))))
-
-
-def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: list | None = None) -> DataFrame:
-    """Equi-join where ``left`` may be skewed on ``key`` and ``right`` has one row per key.
-
-    Rows of hot keys are spread over salts that depend on the row itself, so a retried task
-    gives the same split; the one matching row on the right is repeated per salt.
-    """
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    zero = F.lit(0).cast("long")
-    salted = left.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(zero)
-    )
-    repeated = right.withColumn(
-        "_salt",
-        F.explode(F.when(is_hot, F.sequence(zero, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(zero))),
-    )
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import name_key, strip
 from leadloom.functions.urls import site_key, website_key
-from leadloom.operators.joins import filled, hot_keys, keyed_join
+from leadloom.operators.joins import filled
 
 # Headers that name the key columns, in the order they are tried.
 NAME_HEADERS = ("company name", "business name")
@@ -73,7 +73,6 @@ def growth(leads: DataFrame) -> DataFrame:
 
 
 def _known(ledger: DataFrame, kind: str, column: str) -> DataFrame:
-    # Distinct: a join side with one row per key is what the skew handling relies on.
     return ledger.filter(F.col("kind") == kind).select(F.col("key").alias(column)).distinct()
 
 
@@ -81,12 +80,9 @@ def _without(df: DataFrame, keys: list[tuple[Column, str]], ledger: DataFrame) -
     """Drop rows with any key in the ledger: one anti join per key, blank keys never match."""
     names = [f"_key{i}" for i in range(len(keys))]
     rest = df.select("*", *[key.alias(n) for n, (key, _) in zip(names, keys)])
-    hot = hot_keys(rest, *names)
     for name, (_, kind) in zip(names, keys):
-        rest = keyed_join(
-            rest.withColumn(name, filled(F.col(name), *df.columns)),
-            _known(ledger, kind, name), name, "left_anti", hot[name],
-        ).drop(name)
+        spread = rest.withColumn(name, filled(F.col(name), *df.columns))
+        rest = spread.join(_known(ledger, kind, name), name, "left_anti").drop(name)
     return rest.select(*df.columns)
 
 

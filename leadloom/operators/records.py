@@ -10,7 +10,7 @@ from leadloom.functions.arrays import let, ordered_concat, string_array, unique_
 from leadloom.functions.urls import candidate_urls, contact_guess, facebook_about_url, linkedin_candidates
 from leadloom.functions.text import strip
 from leadloom.operators.extract import discovered_socials, page_facts, social
-from leadloom.operators.joins import cut_lineage, hot_keys, keyed_join
+from leadloom.operators.joins import cut_lineage
 from leadloom.operators.predicates import is_login_wall
 
 _FACTS = (
@@ -56,7 +56,7 @@ def homepages(sites: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Join requests to facts by address; many requests may name the same address."""
-    return keyed_join(requests, facts, "url", "inner", hot_keys(requests, "url")["url"])
+    return requests.join(facts, "url")
 
 
 def contact_pages(homes: DataFrame, facts: DataFrame, most: int | None = None) -> DataFrame:

@@ -11,7 +11,6 @@ from leadloom.functions.arrays import joined
 from leadloom.functions.patterns import NETWORKS
 from leadloom.functions.text import blank_to_empty, strip
 from leadloom.operators.extract import exported_socials
-from leadloom.operators.joins import hot_keys, keyed_join
 from leadloom.operators.predicates import is_missing
 
 # Exportable fields and the fields that come from a scraped page.
@@ -84,7 +83,7 @@ def enrich(listings: DataFrame, records: DataFrame) -> DataFrame:
         *[blank_to_empty(F.col(n)).alias(n) for n in ("instagram", "facebook", "linkedin", "twitter", "youtube", "tiktok")],
         blank_to_empty(F.col("error")).alias("error"),
     )
-    with_record = keyed_join(listings, flat, "website", "left", hot_keys(listings, "website")["website"])
+    with_record = listings.join(flat, "website", "left")
     return with_record.select(
         *listings.columns, *[blank_to_empty(F.col(c)).alias(c) for c in (*SCRAPED_FIELDS, "error")]
     )

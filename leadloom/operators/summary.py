@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import elapsed, name_key, stamp, strip
 from leadloom.functions.urls import site_key
-from leadloom.operators.joins import filled, hot_keys, keyed_join
+from leadloom.operators.joins import filled
 from leadloom.operators.predicates import counts_as_email
 
 COUNTERS = (
@@ -21,31 +21,24 @@ def _filled(column: str) -> Column:
 
 
 def dropped_as_known(leads: DataFrame, kept: DataFrame) -> DataFrame:
-    """Leads with ``known``: a kept lead of an earlier location has the same name or site.
+    """Leads with ``known``: a kept lead of an earlier location has the same name or site, or the card's name.
 
-    A name or site occurs on one kept lead only, so both lookups meet unique keys.
+    A name or site occurs on one kept lead only, so the lookups meet unique keys.
     """
-    keyed = leads.select(
-        "listing_id",
-        "location_ord",
-        name_key(F.col("business_name")).alias("name"),
-        site_key(F.col("website")).alias("site"),
-    )
+    keys = {"_name": ("name", name_key(F.col("business_name"))), "_site": ("site", site_key(F.col("website")))}
+    if "card_name" in leads.columns:
+        keys["_card"] = ("name", name_key(F.col("card_name")))
     holders = kept.select(
         F.col("location_ord").alias("at"),
         name_key(F.col("business_name")).alias("name"),
         site_key(F.col("website")).alias("site"),
     )
-    hot = hot_keys(keyed, "name", "site")
-    for key in ("name", "site"):
-        held = holders.filter(F.col(key).isNotNull()).select(key, F.col("at").alias(f"{key}_at"))
-        keyed = keyed_join(
-            keyed.withColumn(key, filled(F.col(key), "listing_id")), held, key, "left", hot[key]
-        )
-    earlier = lambda c: F.coalesce(F.col(c) < F.col("location_ord"), F.lit(False))
-    return keyed.select(
-        "listing_id", "location_ord", (earlier("name_at") | earlier("site_at")).alias("known")
-    )
+    keyed = leads.select("*", *[key.alias(column) for column, (_, key) in keys.items()])
+    for column, (kind, _) in keys.items():
+        held = holders.filter(F.col(kind).isNotNull()).select(F.col(kind).alias(column), F.col("at").alias(f"{column}_at"))
+        keyed = keyed.withColumn(column, filled(F.col(column), "listing_id")).join(held, column, "left")
+    earlier = F.greatest(*[F.coalesce(F.col(f"{column}_at") < F.col("location_ord"), F.lit(False)) for column in keys], F.lit(False))
+    return keyed.select(*leads.columns, earlier.alias("known"))
 
 
 def location_counters(leads: DataFrame, kept: DataFrame, routed: DataFrame) -> DataFrame:

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.patterns import CONTACT_PAGES
+from leadloom.functions.text import name_key
 from leadloom.functions.urls import site_key
 from leadloom.operators.dedup import dedup_leads
-from leadloom.operators.joins import Pieces, cut_lineage, filled, hot_keys, keyed_join
-from leadloom.operators.ledger import LEDGER_SCHEMA, exclude_processed, exclude_processed_cards, growth, normalized
+from leadloom.operators.joins import cut_lineage, filled
+from leadloom.operators.ledger import growth, normalized
 from leadloom.operators.listings import collect_listings
 from leadloom.operators.records import company_records
 from leadloom.operators.routing import DEFAULT_COLUMNS, SCRAPED_FIELDS, enrich, route
-from leadloom.operators.summary import location_counters, run_summary
+from leadloom.operators.summary import dropped_as_known, location_counters, run_summary
 
 
 @dataclass(frozen=True)
@@ -29,59 +30,55 @@ class BatchResult:
 def mark_reused(leads: DataFrame, scraped: DataFrame) -> DataFrame:
     """Leads whose site was scraped before come first and use that scrape.
 
-    ``scraped``: (site, record_website), one row per site. Adds ``is_fresh`` (0 for reuse)
-    and the website whose record applies.
+    ``scraped``: (site, record_website[, first_at]), one row per site; with ``first_at`` it serves
+    the locations after that one. Adds ``is_fresh`` (0 for reuse) and the website whose record applies.
     """
-    keyed = leads.withColumn("site", site_key(F.col("website")))
-    known = scraped.select("site", F.col("record_website"))
-    hot = hot_keys(keyed, "site")["site"]
-    joined = keyed_join(keyed.withColumn("site", filled(F.col("site"), *leads.columns)), known, "site", "left", hot)
+    keyed = leads.withColumn("_site", filled(site_key(F.col("website")), *leads.columns))
+    joined = keyed.join(scraped.withColumnRenamed("site", "_site"), "_site", "left")
+    served = F.col("record_website").isNotNull()
+    if "first_at" in scraped.columns:
+        served &= F.coalesce(F.col("first_at") < F.col("location_ord"), F.lit(False))
     return joined.select(
         *leads.columns,
-        F.when(F.col("record_website").isNull(), 1).otherwise(0).alias("is_fresh"),
-        F.coalesce("record_website", "website").alias("record_website"),
+        F.when(served, 0).otherwise(1).alias("is_fresh"),
+        F.when(served, F.col("record_website")).otherwise(F.col("website")).alias("record_website"),
     )
 
 
-def _scraped_sites(leads: DataFrame) -> DataFrame:
-    """Sites that a location scrapes; of several spellings the last one is remembered."""
-    fresh = leads.filter(F.col("is_fresh") == 1).withColumn("site", site_key(F.col("website")))
+def _first_scrapes(leads: DataFrame) -> DataFrame:
+    """The location that scrapes a site first; of several spellings there the last one is remembered."""
+    at = F.struct(F.col("location_ord").alias("location_ord"), (-F.col("card_ord")).alias("from_last"))
     return (
-        fresh.filter(F.col("site").isNotNull())
+        leads.withColumn("site", site_key(F.col("website")))
+        .filter(F.col("site").isNotNull())
         .groupBy("site")
-        .agg(F.max_by("website", "card_ord").alias("record_website"))
+        .agg(F.min_by("website", at).alias("record_website"), F.min("location_ord").alias("first_at"))
     )
 
 
-def _one_pass(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All locations at once, in (location, card) order."""
-    leads = _one_pass_order(found)
-    return leads, dedup_leads(leads, ["location_ord", "card_ord"])
+def kept_leads(found: DataFrame, reuse_first: bool = True) -> DataFrame:
+    """The leads a queue of locations keeps, with ``is_fresh`` and ``record_website``.
 
-
-def _one_pass_order(found: DataFrame) -> DataFrame:
-    return found.withColumn("is_fresh", F.lit(1)).withColumn("record_website", F.col("website"))
-
-
-def _by_location(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One location after the other: the ledger grows and earlier scrapes are reused first.
-
-    The loop runs over the queue of searches; the leads of each step stay distributed.
+    Location by location, leads known from kept leads of earlier locations go (by card name, name
+    or site), the others are scraped, and those whose site an earlier location scraped come first.
+    Which leads come first depends only on earlier locations, so all locations are decided at once
+    from a guess of ``is_fresh`` and again until the guess agrees with its outcome: each repeat
+    settles at least one more location that reuse reaches, and usually all of them. Without
+    ``reuse_first`` the first guess, nothing reused, is taken as it is.
     """
-    spark = found.sparkSession
-    locations = [r[0] for r in found.select("location_ord").distinct().orderBy("location_ord").collect()]
-    ledger = Pieces(spark.createDataFrame([], LEDGER_SCHEMA))
-    scraped = Pieces(spark.createDataFrame([], "site string, record_website string"))
-    kept = Pieces(_one_pass_order(found).limit(0))
-    for location in locations:
-        known = ledger.rows()
-        here = exclude_processed_cards(found.filter(F.col("location_ord") == location), known)
-        here = exclude_processed(here, known)
-        here = cut_lineage(mark_reused(here, scraped.rows()))
-        new = kept.add(dedup_leads(here, ["is_fresh", "card_ord"]))
-        ledger.add(growth(new))
-        scraped.add(_scraped_sites(here))
-    return found, kept.rows()
+    leads = found.withColumn("is_fresh", F.lit(1)).withColumn("record_website", F.col("website"))
+    while True:
+        kept = cut_lineage(
+            dedup_leads(leads, ["location_ord", "is_fresh", "card_ord"], seen_as=name_key(F.col("card_name")))
+        )
+        if not reuse_first:
+            return kept
+        scraped = _first_scrapes(dropped_as_known(leads, kept).filter(~F.col("known")))
+        guess = F.struct("is_fresh", "record_website")
+        marked = cut_lineage(mark_reused(leads.withColumn("_guess", guess).drop("is_fresh", "record_website"), scraped))
+        if marked.filter(~F.col("_guess").eqNullSafe(guess)).isEmpty():
+            return kept
+        leads = marked.drop("_guess")
 
 
 def run_batch(
@@ -96,18 +93,16 @@ def run_batch(
 ) -> BatchResult:
     """Run a queue of locations.
 
-    ``order``: "by_location" is exact step by step; "one_pass" decides all locations in one
-    set of rounds and differs only where a reused scrape would move a lead to the front of
-    its location. Names and sites alone decide which leads stay, so only the sites of kept
+    ``order``: "by_location" puts leads with a reused scrape first in their location; "one_pass"
+    leaves them where they are (see ``kept_leads``). Names and sites alone decide which leads stay, so only the sites of kept
     leads are turned into records.
     """
     found = cut_lineage(collect_listings(listings, max_results, normalized(ledger) if ledger is not None else None))
-    leads, kept = _by_location(found) if order == "by_location" else _one_pass(found)
-    kept = cut_lineage(kept)
+    kept = kept_leads(found, reuse_first=order == "by_location")
     records = company_records(kept.select(F.col("record_website").alias("website")), facts, most_contacts=CONTACT_PAGES)
     enriched = _with_records(kept, records)
     routed = cut_lineage(route(enriched, columns, mode))
-    counters = cut_lineage(location_counters(leads, kept, routed))
+    counters = cut_lineage(location_counters(found, kept, routed))
     return BatchResult(routed, counters, run_summary(counters, seconds), growth(kept))
 
 
@@ -132,4 +127,4 @@ def skip_scrape(listings: DataFrame, max_results: int | None = None, ledger: Dat
     return collect_listings(listings, max_results, ledger).drop("card_name")
 
 
-__all__ = ["BatchResult", "SCRAPED_FIELDS", "mark_reused", "run_batch", "run_single_location", "skip_scrape"]
+__all__ = ["BatchResult", "SCRAPED_FIELDS", "kept_leads", "mark_reused", "run_batch", "run_single_location", "skip_scrape"]

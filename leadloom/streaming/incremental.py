@@ -54,7 +54,8 @@ def process_batch(
     spark = listings.sparkSession
     listings = cut_lineage(listings)
     failed = cut_lineage(failed_locations(listings))
-    usable = listings.join(failed.select("location_ord"), "location_ord", "left_anti")
+    bad = failed.select(F.col("location_ord").alias("_bad"))
+    usable = listings.join(bad, F.col("location_ord").eqNullSafe(F.col("_bad")), "left_anti")
     result = run_batch(usable, facts, ledger_before(spark, root, batch_id), columns, **options)
     keys = ("listing_id", "location_ord")
     tables = {

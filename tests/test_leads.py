@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators.dedup import dedup_leads, kept_positions
-from leadloom.operators.joins import SALTS, Pieces, hot_keys, keyed_join
+from leadloom.operators.joins import Pieces, cut_lineage
 from leadloom.operators.ledger import exclude_processed, ledger_of, normalized
-from leadloom.operators.listings import result_cards
+from leadloom.operators.listings import collect_listings, result_cards
 from leadloom.operators.records import facts_by_url
 from leadloom.operators.routing import ColumnSpec, accepted_rows, apply_overrides, column_map, rejected_rows
-from leadloom.plans.batch import run_batch, run_single_location
+from leadloom.plans.batch import kept_leads, run_batch, run_single_location
 
 LISTING = (
     "listing_id long, location_ord int, search_location string, card_ord long, maps_url string, card_text string,"
@@ -64,8 +64,7 @@ def test_dedup_with_one_name_on_a_third_of_the_rows(spark):
     rng = random.Random(4)
     rows = [(i, "hot" if rng.random() < 0.34 else name, web) for i, name, web in random_rows(rng, 1200, 300, 300)]
     rows = [(i, name, "s0" if rng.random() < 0.2 else web) for i, name, web in rows]
-    # Low bounds send the same rows through the salted joins.
-    assert dedup(spark, rows, hot_share=20, hot_rows=10) == greedy(rows)
+    assert dedup(spark, rows) == greedy(rows)
 
 
 def test_dedup_chain_needs_many_rounds(spark):
@@ -87,17 +86,32 @@ def test_dedup_keeps_all_columns_and_blank_rows(spark):
     assert sorted((r.at, r.extra) for r in dedup_leads(df, ["at"]).collect()) == [(1, "p"), (2, "q"), (3, "r")]
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
-    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), "id")
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), ("z", 4)], "key string, value int")
-    hot = hot_keys(left, "key", share=10, rows=100)["key"]
-    assert hot == ["hot"]
-    salted = keyed_join(left, right, "key", how, hot)
-    plain = left.join(right, "key", how)
-    assert sorted(map(tuple, salted.select(plain.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-    spread = salted if how == "left_anti" else salted.filter("key = 'hot'")
-    assert spread.count() > 0 and SALTS > 1
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
+def test_one_key_with_half_the_rows_is_split(spark, how):
+    """The joins rely on adaptive execution: with low bounds one key becomes several tasks."""
+    key = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000))
+    left = spark.range(0, 400_000, 1, 16).select(key.alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    right = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).alias("value"))
+    if how != "left_anti":
+        right = right.unionByName(spark.createDataFrame([("hot", 2)], "key string, value int"))
+    bounds = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in bounds}
+    for name, value in bounds.items():
+        spark.conf.set(name, value)
+    try:
+        joined = cut_lineage(left.join(right, "key", how))
+        assert joined.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if how != "left_anti":
+            assert joined.filter("key = 'hot'").count() == 200_000
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def test_ledger_anti_join_is_not_a_nested_loop(spark):
@@ -139,8 +153,9 @@ def listing_rows(seed, n=70, locations=3):
         number = rng.randrange(14)  # sites 12 and 13 have no page
         spelling = rng.choice(["https://s{}.org", "https://www.s{}.org/"]) if number == 3 else "https://s{}.org"
         name = f"Firm {rng.randrange(25)}" if rng.random() > 0.08 else ""
+        card = name if rng.random() > 0.25 else f"Firm {rng.randrange(25)}"
         rows.append(
-            (i, i * locations // n, f"Town {i * locations // n}", i, f"https://maps.example/{i}", name, name,
+            (i, i * locations // n, f"Town {i * locations // n}", i, f"https://maps.example/{i}", card, name,
              spelling.format(number) if rng.random() > 0.05 else "", "4.5 stars", "10 reviews")
         )
     return rows
@@ -155,7 +170,8 @@ def plain_batch(rows, names, sites):
     names, sites, cache, leads, counters = set(names), set(sites), {}, {}, {}
     for location in sorted({r[1] for r in rows}):
         found = [r for r in rows if r[1] == location and r[7]]
-        new = [r for r in found if not (r[6].lower() and r[6].lower() in names) and site(r[7]) not in sites]
+        known = lambda name: name != "" and name.lower() in names
+        new = [r for r in found if not known(r[5]) and not known(r[6]) and site(r[7]) not in sites]
         hits = [(r, cache[site(r[7])], "") for r in new if site(r[7]) in cache]
         scraped = []
         for r in new:
@@ -178,9 +194,9 @@ def plain_batch(rows, names, sites):
 COLUMNS = [ColumnSpec("Name", "maps_business_name"), ColumnSpec("Mail", "email", required=True), ColumnSpec("Site", "source_url")]
 
 
-@pytest.mark.parametrize("seed", [11, 12])
-def test_batch_by_location_equals_loop(spark, facts, seed):
-    rows = listing_rows(seed)
+@pytest.mark.parametrize("seed,locations", [(11, 3), (12, 3), (13, 8), (14, 14)])
+def test_batch_by_location_equals_loop(spark, facts, seed, locations):
+    rows = listing_rows(seed, locations=locations)
     listings = spark.createDataFrame(rows, LISTING)
     ledger = spark.createDataFrame([("name", "firm 3"), ("site", "http://www.s5.org/#x")], "kind string, key string")
     result = run_batch(listings, facts, ledger, COLUMNS)
@@ -277,3 +293,30 @@ def test_card_names_meet_names_of_earlier_locations(spark, facts):
     ]
     kept = run_batch(spark.createDataFrame(rows, LISTING), facts, None, COLUMNS).routed.collect()
     assert sorted(r.listing_id for r in kept) == [0, 2, 3]
+
+
+def test_jobs_do_not_grow_with_the_queue(spark, facts):
+    def jobs(locations):
+        rows = [
+            (i, i % locations, "T", i, f"m{i}", f"N{i}", f"N{i}", f"https://s{i}.org", "", "") for i in range(40)
+        ]
+        found = cut_lineage(collect_listings(spark.createDataFrame(rows, LISTING)))
+        group = f"queue-{locations}"
+        spark.sparkContext.setJobGroup(group, group)
+        kept = kept_leads(found).count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert kept == 40
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    # Adaptive execution starts a few jobs more or less; a loop over locations would start ten times as many.
+    assert 0 < jobs(20) < 2 * jobs(2)
+
+
+def test_names_looked_up_by_leads_without_keys_of_their_own(spark):
+    """A lead that only looks a name up goes if an earlier step kept that name, not if its own or a later step did."""
+    rows = [(0, 0, "a", "s0", "b"), (1, 0, "", "", "a"), (2, 1, "", "", "a"), (3, 1, "b", "s1", "a"), (4, 2, "b", "s2", "c"), (5, 3, "c", "s2", "b")]
+    df = spark.createDataFrame(rows, "at long, step long, business_name string, website string, card string")
+    seen = F.nullif("card", F.lit(""))
+    kept = kept_positions(df, ["step", "at"], seen_as=seen).collect()
+    # 3 falls to a, so 4 keeps b and s2, and 5 falls to both.
+    assert sorted(r.at for r in kept) == [0, 1, 4]
