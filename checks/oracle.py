@@ -467,7 +467,8 @@ FROM ordered o LEFT JOIN kept a ON a.nk = o.nk LEFT JOIN kept b ON b.sk = o.sk""
 def by_location_ctes() -> dict[str, str]:
     """The batch location by location: known keys go, sites scraped before come first, then row by row."""
     listings = """SELECT * REPLACE (CAST(location_ord % 7 AS INTEGER) AS location_ord,
-  CASE WHEN listing_id % 5 = 0 THEN 'Biz ' || CAST(listing_id * 11 % 400 AS VARCHAR) ELSE card_text END AS card_text) FROM listings"""
+  CASE WHEN listing_id % 5 = 0 THEN 'Biz ' || CAST(listing_id * 11 % 400 AS VARCHAR) ELSE card_text END AS card_text,
+  CASE WHEN listing_id % 3 = 0 THEN 'Chain ' || CAST(location_ord % 7 AS VARCHAR) || '-' || CAST(listing_id % 4 AS VARCHAR) ELSE business_name END AS business_name) FROM listings"""
     base = batch_ctes()
     base["cards"] = base["cards"].replace("FROM listings)", f"FROM ({listings}))")
     items = f"""SELECT location_ord, list({{'card': card_ord, 'id': listing_id, 'nk': {name_key('business_name')}, 'ck': {name_key('card_name')}, 'sk': {site_key('website')}}}) AS items

@@ -78,8 +78,8 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return _once(spark, sf, name, build)
 
 
-def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_pages(view(spark, sf, "lead_pages"))
+def parsed(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return parse_pages(view(spark, sf, "lead_pages"), *columns)
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,11 +149,11 @@ def query(name: str):
 
 
 def _on(name: str, source: str, *columns: Callable[[], Column] | str) -> None:
-    """Query that selects columns from a table or a shared view."""
+    """Query that selects columns from a table, a shared view or, as ``parsed:a,b``, from parsed columns."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        if source == "parsed":
-            df = parsed(spark, sf)
+        if source.startswith("parsed:"):
+            df = parsed(spark, sf, *source.removeprefix("parsed:").split(","))
         elif source in VIEWS:
             df = view(spark, sf, source)
         else:
@@ -297,12 +297,12 @@ def _(spark, sf):
 
 @query("b2_visible_text")
 def _(spark, sf):
-    return parsed(spark, sf).select("page_id", F.size("text_parts").alias("parts"), "text")
+    return parsed(spark, sf, "text", "text_parts").select("page_id", F.size("text_parts").alias("parts"), "text")
 
 
 @query("b3_text_parts")
 def _(spark, sf):
-    return parsed(spark, sf).select("page_id", F.posexplode("text_parts").alias("pos", "part"))
+    return parsed(spark, sf, "text_parts").select("page_id", F.posexplode("text_parts").alias("pos", "part"))
 
 
 @query("b4_unescape")
@@ -312,7 +312,7 @@ def _(spark, sf):
 
 @query("b5_nav_links")
 def _(spark, sf):
-    return parsed(spark, sf).select(
+    return parsed(spark, sf, "links").select(
         "page_id", F.size(F.filter("links", lambda a: a["in_nav"])).alias("in_nav"), F.size("links").alias("links")
     )
 
@@ -320,7 +320,7 @@ def _(spark, sf):
 @query("b6_links")
 def _(spark, sf):
     return (
-        parsed(spark, sf)
+        parsed(spark, sf, "links")
         .select("page_id", F.posexplode("links").alias("pos", "link"))
         .select("page_id", "pos", "link.href", "link.text", "link.in_nav")
     )
@@ -329,19 +329,19 @@ def _(spark, sf):
 @query("b7_meta")
 def _(spark, sf):
     return (
-        parsed(spark, sf)
+        parsed(spark, sf, "meta")
         .select("page_id", F.posexplode("meta").alias("pos", "entry"))
         .select("page_id", "pos", "entry.key", "entry.content")
     )
 
 
-_on("b8_title", "parsed", "page_id", "title")
+_on("b8_title", "parsed:title", "page_id", "title")
 
 
 @query("b9_elements")
 def _(spark, sf):
     return (
-        parsed(spark, sf)
+        parsed(spark, sf, "elements")
         .select("page_id", F.posexplode("elements").alias("pos", "element"))
         .select("page_id", "pos", "element.tag", "element.text")
     )
@@ -429,11 +429,11 @@ _on(
 
 # --- extractors ---------------------------------------------------------------------------
 
-_on("e1_emails", "parsed", "page_id", "url", lambda: text_of(E.emails(c("text"), c("links"))).alias("emails"))
-_on("e2_loose_emails", "parsed", "page_id", lambda: text_of(E.loose_emails(E.loose_matches(c("plain_text")), c("hrefs"))).alias("emails"))
-_on("e3_first_email", "parsed", "page_id", lambda: E.first_email(E.loose_matches(c("plain_text"))).alias("email"))
-_on("e4_phones", "parsed", "page_id", lambda: text_of(E.phones(c("text"), c("links"))).alias("phones"))
-_on("e5_location", "parsed", "page_id", lambda: E.location(c("meta"), c("text_parts"), c("text")).alias("location"))
+_on("e1_emails", "parsed:text,links", "page_id", "url", lambda: text_of(E.emails(c("text"), c("links"))).alias("emails"))
+_on("e2_loose_emails", "parsed:plain_text,hrefs", "page_id", lambda: text_of(E.loose_emails(E.loose_matches(c("plain_text")), c("hrefs"))).alias("emails"))
+_on("e3_first_email", "parsed:plain_text", "page_id", lambda: E.first_email(E.loose_matches(c("plain_text"))).alias("email"))
+_on("e4_phones", "parsed:text,links", "page_id", lambda: text_of(E.phones(c("text"), c("links"))).alias("phones"))
+_on("e5_location", "parsed:text,text_parts,meta", "page_id", lambda: E.location(c("meta"), c("text_parts"), c("text")).alias("location"))
 _on(
     "e6_location_chunks", "documents", "doc_id",
     lambda: E.location(F.array().cast("array<struct<key:string,content:string>>"), string_array(), F.concat(c("text"), lit("; No. "), c("doc_id").cast("string"), lit(" Floor 3|x"))).alias("location"),
@@ -442,22 +442,22 @@ _on(
 
 @query("e7_socials")
 def _(spark, sf):
-    profiles = parsed(spark, sf).select("page_id", E.socials(E.resolved_links(c("url"), c("links"))).alias("s"))
+    profiles = parsed(spark, sf, "links").select("page_id", E.socials(E.resolved_links(c("url"), c("links"))).alias("s"))
     return profiles.select("page_id", *[E.social(c("s"), n).alias(n) for n in P.NETWORKS])
 
 
-_on("e8_company_name", "parsed", "page_id", lambda: E.company_name(c("url"), c("title"), c("meta"), c("elements")).alias("name"))
-_on("e9_contact_links", "parsed", "page_id", lambda: text_of(E.contact_links(c("url"), E.resolved_links(c("url"), c("links")))).alias("contacts"))
-_on("e10_nav_labels", "parsed", "page_id", lambda: text_of(E.nav_labels(c("links"))).alias("labels"))
-_on("e11_section_labels", "parsed", "page_id", lambda: text_of(E.section_labels(c("elements"))).alias("labels"))
-_on("e12_heading_labels", "parsed", "page_id", lambda: text_of(E.heading_labels(c("elements"))).alias("labels"))
-_on("e13_services", "parsed", "page_id", lambda: text_of(E.services(c("links"), c("elements"))).alias("services"))
+_on("e8_company_name", "parsed:title,meta,elements", "page_id", lambda: E.company_name(c("url"), c("title"), c("meta"), c("elements")).alias("name"))
+_on("e9_contact_links", "parsed:links", "page_id", lambda: text_of(E.contact_links(c("url"), E.resolved_links(c("url"), c("links")))).alias("contacts"))
+_on("e10_nav_labels", "parsed:links", "page_id", lambda: text_of(E.nav_labels(c("links"))).alias("labels"))
+_on("e11_section_labels", "parsed:elements", "page_id", lambda: text_of(E.section_labels(c("elements"))).alias("labels"))
+_on("e12_heading_labels", "parsed:elements", "page_id", lambda: text_of(E.heading_labels(c("elements"))).alias("labels"))
+_on("e13_services", "parsed:links,elements", "page_id", lambda: text_of(E.services(c("links"), c("elements"))).alias("services"))
 _on("e14_unique_ignoring_case", "documents", "doc_id", lambda: joined(unique_ignoring_case(F.split(c("text"), " ")), " ").alias("words"))
 
 
 @query("e15_all_socials")
 def _(spark, sf):
-    profiles = parsed(spark, sf).select("page_id", E.socials(E.resolved_links(c("url"), c("links"))).alias("s"))
+    profiles = parsed(spark, sf, "links").select("page_id", E.socials(E.resolved_links(c("url"), c("links"))).alias("s"))
     return profiles.select(
         "page_id",
         E.discovered_socials(c("s")).alias("discovered"),
@@ -646,14 +646,14 @@ def _(spark, sf):
     return S.result_cards(view(spark, sf, "listings"), 5).select("location_ord", "listing_id")
 
 
-_on("w3_first_contacts", "parsed", "page_id", lambda: text_of(F.slice(E.contact_links(c("url"), E.resolved_links(c("url"), c("links"))), 1, P.CONTACT_PAGES)).alias("contacts"))
+_on("w3_first_contacts", "parsed:links", "page_id", lambda: text_of(F.slice(E.contact_links(c("url"), E.resolved_links(c("url"), c("links"))), 1, P.CONTACT_PAGES)).alias("contacts"))
 _on(
-    "w4_first_match", "parsed", "page_id",
+    "w4_first_match", "parsed:plain_text,links", "page_id",
     lambda: E.social(E.socials(E.resolved_links(c("url"), c("links"))), "twitter").alias("twitter"),
     lambda: E.first_email(E.loose_matches(c("plain_text"))).alias("email"),
 )
-_on("w5_sorted_fields", "parsed", "page_id", lambda: text_of(E.emails(c("text"), c("links"))).alias("emails"), lambda: text_of(E.phones(c("text"), c("links"))).alias("phones"))
-_on("w6_running_state", "parsed", "page_id", lambda: F.size(E.section_labels(c("elements"))).alias("in_section"), lambda: F.size("text_parts").alias("visible"))
+_on("w5_sorted_fields", "parsed:text,links", "page_id", lambda: text_of(E.emails(c("text"), c("links"))).alias("emails"), lambda: text_of(E.phones(c("text"), c("links"))).alias("phones"))
+_on("w6_running_state", "parsed:text_parts,elements", "page_id", lambda: F.size(E.section_labels(c("elements"))).alias("in_section"), lambda: F.size("text_parts").alias("visible"))
 
 
 @query("w7_lead_order")
@@ -685,7 +685,7 @@ def _(spark, sf):
 
 
 _on(
-    "p3_mailto_union", "parsed", "page_id",
+    "p3_mailto_union", "parsed:plain_text,hrefs", "page_id",
     lambda: F.size(E.loose_emails(E.loose_matches(c("plain_text")), c("hrefs"))).alias("both"),
     lambda: F.size(E.loose_emails(string_array(), c("hrefs"))).alias("mailto"),
 )
@@ -765,9 +765,11 @@ def _(spark, sf):
 
 @query("t1_batch_by_location")
 def _(spark, sf):
-    """The default batch over cards that often show another name than their page, in longer locations."""
+    """The default batch over cards that often show another name than their page, with chains that lose sites to one name."""
     cards = view(spark, sf, "listings").withColumn("location_ord", (c("location_ord") % 7).cast("int"))
     other = F.concat(lit("Biz "), (c("listing_id") * 11 % 400).cast("string"))
     cards = cards.withColumn("card_text", F.when(c("listing_id") % 5 == 0, other).otherwise(c("card_text")))
+    chain = F.concat(lit("Chain "), c("location_ord").cast("string"), lit("-"), (c("listing_id") % 4).cast("string"))
+    cards = cards.withColumn("business_name", F.when(c("listing_id") % 3 == 0, chain).otherwise(c("business_name")))
     result = run_batch(cards, facts(spark, sf), view(spark, sf, "ledger"), REQUIRED)
     return result.routed.select("listing_id", "location_ord", "email", "reject_reason")

@@ -6,9 +6,9 @@ _PAGES_WITH_HOST = (
 
 LEAD_PAGES = f"""
 SELECT p.page_id, p.url, p.host,
-  p.html || CASE WHEN p.page_id % 2 = 0 THEN
-      '<a href="/contact/missing">Contact us</a><a href="' || h.first_url || '">Get in touch</a><a href="' || h.last_url
-      || '">Support</a><a href="' || p.url || '">Enquiries</a><a href="https://other.test/contact">Contact</a>'
+  coalesce(p.html, '') || CASE WHEN p.page_id % 2 = 0 THEN
+      '<a href="/contact/missing">Contact us</a><a href="' || regexp_extract(p.url, '^(https?://[^/?#]+)', 1)
+      || '/contact">Get in touch</a><a href="' || p.url || '">Enquiries</a><a href="https://other.test/contact">Contact</a>'
     ELSE '' END ||
   CASE p.page_id % 16
   WHEN 0 THEN '<a href="mailto:Info@' || p.host || '">Mail</a><p>sales [at] ' || p.host || '</p><p>INFO@' || p.host || '</p>'
@@ -29,8 +29,6 @@ SELECT p.page_id, p.url, p.host,
   WHEN 15 THEN '<p>Caf&eacute; &#8212; &#x20AC;5 &hellip; &copy2024 &notit; &AMP; end</p>'
   ELSE '' END AS html
 FROM ({_PAGES_WITH_HOST}) p
-JOIN (SELECT host, min_by(url, page_id) AS first_url, max_by(url, page_id) AS last_url
-      FROM ({_PAGES_WITH_HOST}) a GROUP BY host) h ON p.host = h.host
 """
 
 # Lead pages plus the pages that fallbacks look up. page_id stays unique: extra rows are negative.
@@ -69,12 +67,12 @@ SELECT c.c_custkey AS listing_id, CAST(c.c_nationkey AS INT) AS location_ord, n.
   'https://maps.example/maps/place/' || CAST(c.c_custkey - c.c_custkey % 9 % 2 AS STRING) AS maps_url,
   CASE WHEN c.c_custkey % 17 = 0 THEN '' ELSE chr(10) || '  Biz ' || CAST(c.c_custkey * 7 % (c.n_pages * 2 + 1) AS STRING) || ' ' END || chr(10) || '4.5 stars' AS card_text,
   CASE WHEN c.c_custkey % 17 = 0 THEN '' ELSE ' BIZ  ' || CAST(c.c_custkey * 7 % (c.n_pages * 2 + 1) AS STRING) || ' ' END AS business_name,
-  CASE WHEN c.c_custkey % 11 = 0 THEN '' WHEN c.c_custkey % 101 = 0 THEN 'https://nowhere.example/' || CAST(c.c_custkey AS STRING) ELSE p.url END AS website,
+  CASE WHEN c.c_custkey % 11 = 0 THEN '' WHEN c.c_custkey % 101 = 0 THEN 'https://nowhere.example/' || CAST(c.c_custkey AS STRING) ELSE coalesce(p.url, '') END AS website,
   CAST(c.c_custkey % 7 AS STRING) || '.' || CAST(c.c_custkey % 10 AS STRING) || ' star rating' AS rating_label,
   CAST(c.c_custkey % 3 AS STRING) || ',' || CAST(100 + c.c_custkey AS STRING) || ' reviews' AS review_label
 FROM ({_CUSTOMER_PAGE}) c
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN pages p ON p.page_id = c.picked_page
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN pages p ON p.page_id = c.picked_page
 """
 
 LEDGER = """
@@ -86,10 +84,10 @@ SELECT DISTINCT 'site' AS kind, lower(trim(website)) AS key FROM listings WHERE
 BUSINESSES = f"""
 SELECT c.c_custkey AS business_id, 'Firm ' || CAST(c.c_custkey AS STRING) AS business_name,
   CAST(c.c_custkey % 5 AS STRING) AS rating,
-  CASE WHEN c.c_custkey % 13 = 0 THEN '  ' WHEN c.c_custkey % 3 = 0 THEN 'https://gone.example/' || CAST(c.c_custkey AS STRING) ELSE ' ' || p.url END AS website,
+  CASE WHEN c.c_custkey % 13 = 0 THEN '  ' WHEN c.c_custkey % 3 = 0 THEN 'https://gone.example/' || CAST(c.c_custkey AS STRING) ELSE ' ' || coalesce(p.url, '') END AS website,
   CASE WHEN c.c_custkey % 2 = 0 THEN 'https://facebook.com/f' || CAST(c.picked_page - c.picked_page % 8 + 3 AS STRING) || '/?ref=1' ELSE '' END AS facebook_url,
   CASE WHEN c.c_custkey % 5 < 3 THEN 'https://www.linkedin.com/company/c' || CAST(c.picked_page - c.picked_page % 8 + 3 AS STRING) || '/' ELSE '' END AS linkedin_url
-FROM ({_CUSTOMER_PAGE}) c JOIN pages p ON p.page_id = c.picked_page
+FROM ({_CUSTOMER_PAGE}) c LEFT JOIN pages p ON p.page_id = c.picked_page
 """
 
 # In order of use: later views read earlier ones.

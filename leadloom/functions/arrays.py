@@ -63,6 +63,40 @@ def unique_ignoring_case(items: Column) -> Column:
     return let(items, lambda xs: F.when(F.size(xs) < 2, xs).otherwise(unique(xs)))
 
 
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state after each item, starting from ``zero``.
+
+    States are appended to chunks of about the square root of the length, and the chunks joined at
+    the end: appending to one list would copy it for every item.
+    """
+
+    def over(xs: Column, width: Column) -> Column:
+        def chunk(state: Column, begin: Column) -> Column:
+            return F.aggregate(
+                F.slice(xs, begin + 1, width),
+                F.struct(state.alias("state"), F.slice(F.array(zero), 1, 0).alias("states")),
+                lambda acc, x: let(
+                    step(acc["state"], x),
+                    lambda s: F.struct(s.alias("state"), F.concat(acc["states"], F.array(s)).alias("states")),
+                ),
+            )
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(xs) - 1, width),
+            F.struct(zero.alias("state"), F.slice(F.array(F.array(zero)), 1, 0).alias("chunks")),
+            lambda acc, begin: let(
+                chunk(acc["state"], begin),
+                lambda c: F.struct(c["state"].alias("state"), F.concat(acc["chunks"], F.array(c["states"])).alias("chunks")),
+            ),
+            lambda acc: F.flatten(acc["chunks"]),
+        )
+
+    def bound(xs: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda width: over(xs, width))
+
+    return let(items, lambda xs: F.when(F.size(xs) == 0, F.slice(F.array(zero), 1, 0)).otherwise(bound(xs)))
+
+
 def sorted_set(items: Column) -> Column:
     return F.array_sort(F.array_distinct(items))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.arrays import let
+from leadloom.functions.arrays import let, running
 from leadloom.functions.text import strip, title_case
 
 _SCHEME = r"^[\x00-\x20]*+([A-Za-z][A-Za-z0-9+.-]*):"
@@ -96,11 +96,21 @@ def _resolve_path(base_path: Column, path: Column) -> Column:
     )
 
     def resolved(segments: Column) -> Column:
-        kept = F.aggregate(
-            segments,
-            F.array().cast("array<string>"),
-            lambda acc, x: F.when(x == "..", _without_last(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
-        )
+        # From the end: a name goes for each ".." that is still open.
+        def climbed(from_last: Column) -> Column:
+            opened = running(
+                from_last,
+                F.lit(0),
+                lambda n, x: F.when(x == "..", n + 1).when(x == ".", n).otherwise(F.greatest(n - 1, F.lit(0))),
+            )
+            return let(
+                opened,
+                lambda o: F.filter(from_last, lambda x, i: ~x.isin(".", "..") & (F.coalesce(F.get(o, i - 1), F.lit(0)) == 0)),
+            )
+
+        kept = F.when(
+            F.array_contains(segments, ".."), F.reverse(let(F.reverse(segments), climbed))
+        ).otherwise(F.filter(segments, lambda x: x != "."))
         ends_on_folder = F.get(segments, F.size(segments) - 1).isin(".", "..")
         folder = F.when(ends_on_folder, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
         return let(

@@ -9,9 +9,8 @@ array, and every structure is read from positions in that array:
 * hidden and navigation regions come from a clamped depth that is folded over the region
   tags only.
 
-Slices are disjoint, so the work grows with the page (only the depth list grows with the
-square of the number of region tags, a few per page), and the parse stays a narrow stage
-that runs where the page was read.
+Slices are disjoint, so the work grows with the page, and the parse stays a narrow stage that
+runs where the page was read.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.arrays import last, let, run_ends, run_starts
+from leadloom.functions.arrays import last, let, run_ends, run_starts, running
 from leadloom.functions.entities import name_table, unescape
 from leadloom.functions.once import once_per_application
 from leadloom.functions.text import squash, strip
@@ -56,6 +55,7 @@ _ATTR_VALUE = r"(?s)^[^\s/>][^\s/=>]*+\s*+=+\s*+(.*)\z"
 HIDDEN_TAGS = ("script", "style", "noscript", "template", "svg")
 NAV_TAGS = ("nav", "header")
 HEADINGS = ("h1", "h2", "h3", "h4")
+PARSED = ("text", "plain_text", "title", "text_parts", "links", "hrefs", "meta", "elements")
 ELEMENT_TAGS = (*HEADINGS, "li")
 _UNSEEN_TAGS = ("template", "rt", "rp")  # text that a plain text dump of the page leaves out
 _START_TAGS = ("a", "meta", "title", *ELEMENT_TAGS, *NAV_TAGS, "noscript", "template", "svg", "rt", "rp")
@@ -182,14 +182,8 @@ def _in_regions(events: Column, tags: tuple[str, ...], change: Callable[[Column]
     """
 
     def split_at(marks: Column) -> Column:
-        depths = F.aggregate(
-            marks,
-            F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("all")),
-            lambda acc, m: let(
-                F.greatest(acc["depth"] + F.when(m["kind"].startswith("/"), -1).otherwise(1), F.lit(0)),
-                lambda d: F.struct(d.alias("depth"), F.concat(acc["all"], F.array(d)).alias("all")),
-            ),
-            lambda acc: acc["all"],
+        depths = running(
+            marks, F.lit(0), lambda depth, m: F.greatest(depth + F.when(m["kind"].startswith("/"), -1).otherwise(1), F.lit(0))
         )
 
         def part(j: Column, depth: Column) -> Column:
@@ -319,31 +313,27 @@ def _meta(events: Column, names: Column) -> Column:
     )
 
 
-def parsed_page(html: Column) -> Column:
-    """STRUCT with the parsed columns of ``PARSED_SCHEMA``."""
+def parsed_page(html: Column, columns: tuple[str, ...] = PARSED) -> Column:
+    """STRUCT with the wanted parsed columns."""
 
     def build(events: Column, names: Column) -> Column:
+        def dump() -> Column:
+            shown = F.filter(_in_regions(events, _UNSEEN_TAGS, _drop_text), lambda e: e["kind"] == _TEXT)
+            # White space never matters for what is read from the dump.
+            return squash(F.array_join(F.transform(shown, lambda e: e["dump"]), " "))
+
         def from_seen(seen: Column) -> Column:
-            parts = _texts(seen)
-            return F.struct(
-                squash(F.array_join(parts, " ")).alias("text"),
-                # White space never matters for what is read from the dump.
-                squash(
-                    F.array_join(
-                        F.transform(
-                            F.filter(_in_regions(events, _UNSEEN_TAGS, _drop_text), lambda e: e["kind"] == _TEXT),
-                            lambda e: e["dump"],
-                        ),
-                        " ",
-                    )
-                ).alias("plain_text"),
-                _title(seen).alias("title"),
-                parts.alias("text_parts"),
-                _links(seen).alias("links"),
-                F.transform(F.filter(events, lambda e: e["kind"] == "a"), lambda e: e["value"]).alias("hrefs"),
-                _meta(events, names).alias("meta"),
-                _elements(seen).alias("elements"),
-            )
+            build_column = {
+                "text": lambda: _joined_text(seen),
+                "plain_text": dump,
+                "title": lambda: _title(seen),
+                "text_parts": lambda: _texts(seen),
+                "links": lambda: _links(seen),
+                "hrefs": lambda: F.transform(F.filter(events, lambda e: e["kind"] == "a"), lambda e: e["value"]),
+                "meta": lambda: _meta(events, names),
+                "elements": lambda: _elements(seen),
+            }
+            return F.struct(*[build_column[c]().alias(c) for c in columns])
 
         return let(
             _in_regions(events, HIDDEN_TAGS, _drop_text),
@@ -368,11 +358,12 @@ def _parsed_columns() -> Column:
     return F.inline(F.array(parsed_page(F.col("html"))))
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Pages with the html replaced by its parsed columns.
+def parse_pages(pages: DataFrame, *columns: str) -> DataFrame:
+    """Pages with the html replaced by its parsed columns, all of them or the named ones.
 
     The struct passes through a generator, which keeps the optimizer from copying the parse
     expression into several consumers or into a pushed-down filter.
     """
     kept = [c for c in pages.columns if c != "html"]
-    return pages.select(*kept, _parsed_columns())
+    parsed = F.inline(F.array(parsed_page(F.col("html"), columns))) if columns else _parsed_columns()
+    return pages.select(*kept, parsed)

@@ -143,3 +143,30 @@ def test_loose_emails_in_a_long_word_take_linear_time(spark):
     started = time.perf_counter()
     found = text.select(F.regexp_extract_all("t", F.lit(LOOSE_EMAIL), F.lit(0)).alias("f")).first().f
     assert found == ["x@y.zz", "-u@v.ww"] and time.perf_counter() - started < 20
+
+
+def test_paths_of_many_segments(spark):
+    import random
+    import time
+    from urllib.parse import urljoin
+
+    from leadloom.functions.urls import resolve_url
+
+    rng = random.Random(5)
+    paths = ["/".join(rng.choice(["a", "b", "..", ".", "c.d"]) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    paths += ["/" + p for p in paths[:150]]
+    df = spark.createDataFrame([(p,) for p in paths], "href string")
+    got = df.select("href", resolve_url(F.lit("https://h.org/x/y/z"), F.col("href")).alias("url")).collect()
+    assert {r.href: r.url for r in got} == {p: urljoin("https://h.org/x/y/z", p) for p in paths}
+    long = "/" + "a/" * 100_000 + "../" * 99_999 + "end"
+    started = time.perf_counter()
+    found = spark.createDataFrame([(long,)], "href string").select(resolve_url(F.lit("https://h.org/"), F.col("href")).alias("u")).first().u
+    assert found == "https://h.org/a/end" and time.perf_counter() - started < 30
+
+
+@pytest.mark.parametrize("name", ["e1_emails", "b8_title"])
+def test_page_queries_have_no_exchange(spark, name):
+    from checks.spark_queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -184,3 +184,21 @@ def test_plain_text_leaves_out_templates_only(spark):
 def test_bytes_that_are_not_utf8(spark):
     row = spark.createDataFrame([(bytearray(b"caf\xe9 \xc3\xa9"),)], "html binary").select(decode_html(F.col("html")).alias("h")).first()
     assert row.h == "caf� é"
+
+
+def test_named_columns_only(spark):
+    pages = spark.createDataFrame([(1, "<title>a</title><p>b</p>")], "page_id long, html string")
+    one = parse_pages(pages, "title", "text_parts")
+    assert one.columns == ["page_id", "title", "text_parts"]
+    assert one.collect() == parse_pages(pages).select(one.columns).collect()
+
+
+def test_many_regions_take_linear_time(spark):
+    """Every region tag is a step of the running depth; hidden text stays hidden in all of them."""
+    import time
+
+    html = "<svg>no</svg>yes" * 50_000 + "</svg></svg><nav><svg><svg>no</svg>no</svg>end"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    started = time.perf_counter()
+    parts = parse_pages(pages, "text_parts").first().text_parts
+    assert parts == ["yes"] * 50_000 + ["end"] and time.perf_counter() - started < 30
