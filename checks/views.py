@@ -33,24 +33,24 @@ FROM ({_PAGES_WITH_HOST}) p
 
 # Lead pages plus the pages that fallbacks look up. page_id stays unique: extra rows are negative.
 WEB_PAGES = """
-SELECT page_id, url, url AS final_url, html FROM lead_pages
+SELECT page_id, url, url AS final_url, html, CASE WHEN page_id % 3 > 0 THEN TIMESTAMP '2024-02-28 23:00:00' + INTERVAL '1' MINUTE * page_id END AS crawled_at FROM lead_pages
 UNION ALL
 SELECT -(page_id * 4 + 1), CASE WHEN url LIKE 'https:%' THEN 'https' ELSE 'http' END || '://facebook.com/f' || CAST(page_id AS STRING) || '/about',
   CASE WHEN page_id % 16 = 3 THEN 'https://facebook.com/Login?next=f' ELSE 'https://facebook.com/f' || CAST(page_id AS STRING) || '/about' END,
-  '<title>f</title><p>Write to FB' || CAST(page_id AS STRING) || ' [at] mail.example dot org or b@example.org</p>'
+  '<title>f</title><p>Write to FB' || CAST(page_id AS STRING) || ' [at] mail.example dot org or b@example.org</p>', NULL
 FROM pages WHERE page_id % 8 = 3
 UNION ALL
 SELECT -(page_id * 4 + 2), 'https://www.linkedin.com/company/c' || CAST(page_id AS STRING),
   CASE WHEN page_id % 24 = 3 THEN 'https://www.linkedin.com/authwall' ELSE 'https://www.linkedin.com/company/c' || CAST(page_id AS STRING) END,
-  CASE WHEN page_id % 24 = 3 THEN '<p>wall@example.org</p>' WHEN page_id % 32 = 3 THEN '<p>main@c' || CAST(page_id AS STRING) || '.example.net</p>' ELSE '<p>no mail</p>' END
+  CASE WHEN page_id % 24 = 3 THEN '<p>wall@example.org</p>' WHEN page_id % 32 = 3 THEN '<p>main@c' || CAST(page_id AS STRING) || '.example.net</p>' ELSE '<p>no mail</p>' END, NULL
 FROM pages WHERE page_id % 8 = 3
 UNION ALL
 SELECT -(page_id * 4 + 3), 'https://www.linkedin.com/company/c' || CAST(page_id AS STRING) || '/about',
   'https://www.linkedin.com/company/c' || CAST(page_id AS STRING) || '/about',
-  '<p>jobs@c' || CAST(page_id AS STRING) || '.example.net, or a@b.example.net</p>'
+  '<p>jobs@c' || CAST(page_id AS STRING) || '.example.net, or a@b.example.net</p>', NULL
 FROM pages WHERE page_id % 8 = 3
 UNION ALL
-SELECT -(min(page_id) * 4 + 4), url, url, min('<p>Z desk@' || host || ' and Archive@' || host || '</p>')
+SELECT -(min(page_id) * 4 + 4), url, url, min('<p>Z desk@' || host || ' and Archive@' || host || '</p>'), NULL
 FROM (SELECT page_id, host, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/contact' AS url FROM lead_pages) c
 WHERE page_id % 3 = 0 GROUP BY url
 """

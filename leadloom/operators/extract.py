@@ -318,10 +318,12 @@ def services(links: Column, elements: Column) -> Column:
 
 
 def with_final_url(pages: DataFrame) -> DataFrame:
-    """Pages know the address they were requested by and, if redirected, where they ended."""
-    if "final_url" in pages.columns:
-        return pages
-    return pages.withColumn("final_url", F.col("url"))
+    """Pages know the address they were requested by and, if redirected, where they ended; perhaps when they were read."""
+    if "final_url" not in pages.columns:
+        pages = pages.withColumn("final_url", F.col("url"))
+    if "crawled_at" not in pages.columns:
+        pages = pages.withColumn("crawled_at", F.lit(None).cast("timestamp"))
+    return pages
 
 
 @once_per_application
@@ -340,6 +342,7 @@ def _fact_columns() -> list[Column]:
         c("page_id"),
         c("url"),
         c("final_url"),
+        c("crawled_at"),
         company_name(c("final_url"), c("title"), c("meta"), c("elements")).alias("company_name"),
         emails(c("text"), c("links")).alias("emails"),
         services(c("links"), c("elements")).alias("services"),

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from leadloom.functions import patterns as P
 from leadloom.functions.arrays import let, ordered_concat, string_array, unique_ignoring_case
 from leadloom.functions.urls import candidate_urls, contact_guess, facebook_about_url, linkedin_candidates
-from leadloom.functions.text import strip
+from leadloom.functions.text import stamp, strip
 from leadloom.operators.extract import discovered_socials, page_facts, social
 from leadloom.operators.joins import cut_lineage
 from leadloom.operators.predicates import is_login_wall
 
 _FACTS = (
-    "final_url", "company_name", "emails", "services", "phones", "location", "socials",
+    "final_url", "crawled_at", "company_name", "emails", "services", "phones", "location", "socials",
     "contact_links", "loose_emails", "first_email",
 )
 
@@ -79,7 +79,7 @@ def _first_per_network(profiles: Column) -> Column:
 def fold_contacts(homes: DataFrame, contacts: DataFrame | None) -> DataFrame:
     """Home page facts completed by those of the contact pages, in page order."""
     base = homes.select(
-        "website", "url", "company_name", "emails", "services", "phones", "location", "socials", "error"
+        "website", "url", "company_name", "emails", "services", "phones", "location", "socials", "crawled_at", "error"
     )
     if contacts is None:
         merged = base.select(
@@ -112,6 +112,7 @@ def fold_contacts(homes: DataFrame, contacts: DataFrame | None) -> DataFrame:
         unique_ignoring_case(both("phones")).alias("phone"),
         F.coalesce(F.nullif("location", F.lit("")), F.col("more_location"), F.lit("")).alias("location"),
         _first_per_network(both("socials")).alias("socials"),
+        "crawled_at",
         "error",
     )
 
@@ -163,14 +164,17 @@ def company_records(
     include_contacts: bool = True,
     include_socials: bool = True,
     most_contacts: int | None = None,
+    run_at: Column | None = None,
 ) -> DataFrame:
-    """One record per distinct website of ``sites``; ``most_contacts`` bounds the contact pages read for each."""
+    """One record per distinct website of ``sites``; ``most_contacts`` bounds the contact pages read for each.
+
+    ``timestamp`` is the crawl time of the home page, else ``run_at``, by default the time of the run.
+    """
+    run_at = F.current_timestamp() if run_at is None else run_at
     homes = homepages(sites, facts)
-    if include_contacts:
-        homes = cut_lineage(homes)  # read by the request side and by the fold
     records = fold_contacts(homes, contact_pages(homes, facts, most_contacts) if include_contacts else None)
     if include_socials:
-        records = social_fallback(cut_lineage(records), facts)
+        records = social_fallback(records, facts)
     return records.select(
         "website",
         "company_name",
@@ -180,6 +184,7 @@ def company_records(
         "location",
         *[social(F.col("socials"), n).alias(n) for n in P.NETWORKS],
         discovered_socials(F.col("socials")).alias("all_socials"),
+        F.when(F.col("error").isNull(), stamp(F.coalesce("crawled_at", run_at))).alias("timestamp"),
         "error",
     )
 
@@ -188,7 +193,7 @@ def record_json(records: DataFrame) -> DataFrame:
     """(website, json): the record, or the short error form for a website without a page."""
     good = F.to_json(
         F.struct(
-            "company_name", "email", "services", "phone", "location", *P.NETWORKS, "all_socials",
+            "company_name", "email", "services", "phone", "location", *P.NETWORKS, "all_socials", "timestamp",
         ),
         {"ignoreNullFields": "false"},
     )

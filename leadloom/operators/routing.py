@@ -71,8 +71,12 @@ def column_map(columns) -> list[ColumnSpec]:
     return specs
 
 
-def enrich(listings: DataFrame, records: DataFrame) -> DataFrame:
-    """Listings with the flat record of their website; without a record the error text stays."""
+def enrich(listings: DataFrame, records: DataFrame, with_timestamp: bool = False) -> DataFrame:
+    """Listings with the flat record of their website; without a record the error text stays.
+
+    Batch leads carry no time of their own; single-location runs ask for it.
+    """
+    extra = ["timestamp"] if with_timestamp else []
     flat = records.select(
         "website",
         blank_to_empty(F.col("company_name")).alias("company_name"),
@@ -81,11 +85,11 @@ def enrich(listings: DataFrame, records: DataFrame) -> DataFrame:
         blank_to_empty(F.col("location")).alias("location"),
         joined(F.col("services")).alias("services"),
         *[blank_to_empty(F.col(n)).alias(n) for n in ("instagram", "facebook", "linkedin", "twitter", "youtube", "tiktok")],
-        blank_to_empty(F.col("error")).alias("error"),
+        *[blank_to_empty(F.col(c)).alias(c) for c in (*extra, "error")],
     )
     with_record = listings.join(flat, "website", "left")
     return with_record.select(
-        *listings.columns, *[blank_to_empty(F.col(c)).alias(c) for c in (*SCRAPED_FIELDS, "error")]
+        *listings.columns, *[blank_to_empty(F.col(c)).alias(c) for c in (*SCRAPED_FIELDS, *extra, "error")]
     )
 
 

@@ -118,7 +118,7 @@ def _with_records(kept: DataFrame, records: DataFrame) -> DataFrame:
 def run_single_location(listings: DataFrame, facts: DataFrame, columns=DEFAULT_COLUMNS, max_results: int | None = None) -> DataFrame:
     """One search without dedup or ledger; rows that miss a required field are skipped."""
     found = cut_lineage(collect_listings(listings, max_results))
-    leads = enrich(found, company_records(found, facts, most_contacts=CONTACT_PAGES))
+    leads = enrich(found, company_records(found, facts, most_contacts=CONTACT_PAGES), with_timestamp=True)
     return route(leads, columns, mode="simple").filter(F.col("reject_reason").isNull())
 
 
