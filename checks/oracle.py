@@ -769,5 +769,10 @@ UNION ALL SELECT business_id, 4, {li_url} || '/about' FROM biz WHERE website <>
 
     # memory
     out["t1_batch_by_location"] = statement((*web, "ledger"), by_location_ctes(), "SELECT listing_id, location_ord, email, reject_reason FROM routed")
+    out["a7_leads_csv"] = statement(("listings",), {}, "SELECT CASE WHEN listing_id = 0 THEN '' ELSE CAST(listing_id AS VARCHAR) END AS listing_id, business_name, card_text, website FROM listings")
+    cell = lambda n: f"CASE WHEN {n} = 0 THEN '' ELSE CAST({n} AS VARCHAR) END AS {n}"
+    out["a10_results_table"] = statement(("listings",), {}, f"SELECT {cell('listing_id')}, {cell('location_ord')}, maps_url FROM listings")
+    out["a16_summary_table"] = out["g4_summary"]
+    on_cards("t1_two_batches", "SELECT listing_id, location_ord, CASE WHEN location_ord < 12 THEN 0 ELSE 1 END AS batch_id FROM kept", dedup_ctes("collected"))
     on_cards("t2_second_run", "SELECT listing_id, location_ord FROM kept WHERE location_ord >= 12", dedup_ctes("collected"))
     return out

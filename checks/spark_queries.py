@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,11 @@ from leadloom.operators import records as R
 from leadloom.operators import routing as O
 from leadloom.operators import summary as Y
 from leadloom.operators.dedup import dedup_leads
-from leadloom.operators.joins import cut_lineage
+from leadloom.operators.joins import cut_lineage, shared_folder
 from leadloom.operators.parse import attributes, decode_html, page_tokens, parse_pages
 from leadloom.plans.batch import mark_reused, run_batch, run_single_location, skip_scrape
-from leadloom.sources.tables import cells, grown, read_pages
+from leadloom.sources.tables import cells, grown, read_leads_csv, read_pages, write_csv, write_results, write_summary
+from leadloom.streaming.incremental import process_batch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -773,3 +775,40 @@ def _(spark, sf):
     cards = cards.withColumn("business_name", F.when(c("listing_id") % 3 == 0, chain).otherwise(c("business_name")))
     result = run_batch(cards, facts(spark, sf), view(spark, sf, "ledger"), REQUIRED)
     return result.routed.select("listing_id", "location_ord", "email", "reject_reason")
+
+
+def _output(spark: SparkSession) -> str:
+    """A new folder for what a query writes and reads back."""
+    return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
+
+
+@query("a7_leads_csv")
+def _(spark, sf):
+    path = _output(spark)
+    write_csv(cells(view(spark, sf, "listings").select("listing_id", "business_name", "card_text", "website")), path)
+    rows = read_leads_csv(spark, path)
+    return rows.select(*[F.coalesce(n, lit("")).alias(n) for n in rows.columns])
+
+
+@query("a10_results_table")
+def _(spark, sf):
+    path = _output(spark)
+    write_results(view(spark, sf, "listings").select("listing_id", "location_ord", "maps_url"), path)
+    return spark.read.parquet(path)
+
+
+@query("a16_summary_table")
+def _(spark, sf):
+    path = _output(spark)
+    write_summary(batch(spark, sf).summary, path)
+    return spark.read.parquet(path)
+
+
+@query("t1_two_batches")
+def _(spark, sf):
+    """Leads that two micro-batches handle, the second one against the ledger of the first."""
+    root, rows = _output(spark), view(spark, sf, "listings")
+    for batch_id, half in enumerate((c("location_ord") < 12, c("location_ord") >= 12)):
+        process_batch(rows.filter(half), batch_id, facts(spark, sf), root, REQUIRED, order="one_pass")
+    handled = [read_table(spark, root, t).select("listing_id", "location_ord", "batch_id") for t in ("accepted", "rejected")]
+    return handled[0].unionByName(handled[1]).withColumn("batch_id", c("batch_id").cast("int"))

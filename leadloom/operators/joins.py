@@ -10,23 +10,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and keeps plans of loops short.
+def shared_folder(session: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, else one in the warehouse: all executors share it."""
+    return session.conf.get("spark.checkpoint.dir", None) or session.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; without one it lies
-    inside the warehouse, which all executors share.
-    """
-    session = df.sparkSession
-    context = session.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives lost executors and keeps plans of loops short."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = session.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            named = session.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

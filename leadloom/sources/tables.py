@@ -42,7 +42,9 @@ def cells(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; without rows the files are empty, header included."""
-    df.write.mode("overwrite").option("header", not df.isEmpty()).option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", not df.isEmpty()).option("escape", '"')
+    # White space at the ends of a value is part of it.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_results(df: DataFrame, path: str) -> bool:

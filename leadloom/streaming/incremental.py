@@ -7,12 +7,16 @@ replayed after a failure therefore writes the same tables again.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.operators.joins import cut_lineage
 from leadloom.operators.ledger import LEDGER_SCHEMA
+from leadloom.operators.predicates import is_verification_page
 from leadloom.operators.routing import DEFAULT_COLUMNS, accepted_rows, rejected_rows
 from leadloom.plans.batch import run_batch
 
@@ -37,13 +41,21 @@ def ledger_before(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
 
 
 def failed_locations(listings: DataFrame) -> DataFrame:
-    """Locations whose input is unusable: a missing card address or position."""
-    bad = F.col("maps_url").isNull() | F.col("card_ord").isNull() | F.col("listing_id").isNull()
+    """Locations whose input is unusable: a missing location, card address or position, or a verification page.
+
+    The last is seen if the listings carry the page they were read from, as ``result_url`` and ``result_html``.
+    """
+    bad = reduce(or_, [F.col(c).isNull() for c in ("location_ord", "maps_url", "card_ord", "listing_id")])
+    blocked = F.lit(False)
+    if {"result_url", "result_html"} <= set(listings.columns):
+        blocked = is_verification_page(F.coalesce("result_url", F.lit("")), F.coalesce("result_html", F.lit("")))
+    reason = F.when(F.col("blocked_rows") > 0, F.lit("verification page")).otherwise(F.format_string("%d unusable listings", "bad_rows"))
     return (
-        listings.groupBy("location_ord", "search_location")
-        .agg(F.count_if(bad).alias("bad_rows"))
-        .filter(F.col("bad_rows") > 0)
-        .withColumn("error", F.format_string("%d unusable listings", "bad_rows"))
+        listings.groupBy("location_ord")
+        .agg(F.min("search_location").alias("search_location"), F.count_if(bad).alias("bad_rows"), F.count_if(blocked).alias("blocked_rows"))
+        .filter((F.col("bad_rows") > 0) | (F.col("blocked_rows") > 0))
+        .withColumn("error", reason)
+        .drop("blocked_rows")
     )
 
 

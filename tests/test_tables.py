@@ -122,6 +122,25 @@ def test_failed_location_is_isolated(spark, facts, tmp_path):
     assert state(spark, root) == state(spark, clean)
 
 
+def test_blocked_and_nameless_locations_are_isolated(spark, facts, tmp_path):
+    good = listing_rows(25, 40, 2)
+    root, clean = str(tmp_path / "out"), str(tmp_path / "clean")
+    rows_in = [(*r, None, "<p>maps</p>") for r in good]
+    rows_in += [(900, 7, "Walled", 900, "m900", "X", "X", "https://s1.org", "", "", "https://maps.example/", "Solve the Captcha")]
+    rows_in += [(901, None, None, 901, "m901", "Y", "Y", "https://s2.org", "", "", None, None)]
+    process_batch(spark.createDataFrame(rows_in, LISTING + ", result_url string, result_html string"), 0, facts, root, COLUMNS)
+    process_batch(spark.createDataFrame(good, LISTING), 0, facts, clean, COLUMNS)
+    failed = {(r.location_ord, r.error) for r in read_table(spark, root, "failed").collect()}
+    assert failed == {(7, "verification page"), (None, "1 unusable listings")}
+    assert state(spark, root) == state(spark, clean)
+
+
+def test_csv_keeps_white_space_at_the_ends(spark, tmp_path):
+    df = spark.createDataFrame([(" a ", 'say "x"\nand, y ')], "a string, b string")
+    T.write_csv(df, str(tmp_path / "c"))
+    assert T.read_leads_csv(spark, str(tmp_path / "c")).collect() == df.collect()
+
+
 def test_required_field_in_exported_mode(spark, facts):
     listings = spark.createDataFrame(listing_rows(24, 20, 1), LISTING)
     specs = [ColumnSpec("Map", "maps_url", required=True)]
