@@ -67,12 +67,6 @@ _RELEVANT = (
 _TEXT = "#"
 _NAV_LINK = "a+"
 
-PARSED_SCHEMA = (
-    "text string, plain_text string, title string, text_parts array<string>, "
-    "links array<struct<href:string,text:string,in_nav:boolean>>, hrefs array<string>, "
-    "meta array<struct<key:string,content:string>>, elements array<struct<tag:string,text:string>>"
-)
-
 
 def tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
