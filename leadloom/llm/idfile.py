@@ -222,7 +222,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids
     forget(staged)
 
 
-def _slices(batch: pa.RecordBatch, count_column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, count_column: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` ids each."""
     ends, start = np.cumsum(batch.column(count_column).to_numpy()), 0
     while start < len(ends):

@@ -46,6 +46,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._library = Tokenizer.from_file(path)
+        self._model = self._library.model
         self._letters = byte_letters()
         # Ids by chunk; the mark stands before a chunk that follows no space. None: has white space.
         self._memo: dict[str, bytes | None] = {}
@@ -56,28 +57,19 @@ class Encoder:
     def size(self) -> int:
         return self._library.get_vocab_size()
 
-    def _whole(self, chunks: list[str]) -> list[bytes]:
-        found = self._library.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _word(self, key: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         """Ids of a chunk of letters: one pre-token, which the library's model takes as it is."""
-        known = self._older.get(key)
-        if known is None:
-            word, head = (key[1:], "") if key[0] == MARK else (key, "\u0120")  # the letter for a space
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self._letters)
-            known = array("I", [t.id for t in self._library.model.tokenize(head + word)]).tobytes()
-        self._memo[key] = known
-        return known
+        piece = word[1:] if word[0] == MARK else "\u0120" + word  # the letter for a space
+        if not word.isascii():
+            piece = word.lstrip(MARK).encode().decode("latin-1").translate(self._letters)
+            piece = piece if word[0] == MARK else "\u0120" + piece
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
 
     def _lookup(self, chunks: list[str]) -> list[bytes | None]:
-        memo, older, match = self._memo, self._older, WORD.fullmatch
+        memo, older, match, of_word = self._memo, self._older, WORD.fullmatch, self._word
         found = list(map(memo.get, chunks))
         rest = []
-        for i, known in enumerate(found):
-            if known is not None:
-                continue
+        for i in [i for i, known in enumerate(found) if known is None]:
             key = chunks[i]
             known = older.get(key)
             if known is None:
@@ -86,9 +78,13 @@ class Encoder:
                     rest.append(i)
                     continue
                 word, end = m.groups()
-                known = memo.get(word) or self._word(word)
                 if end:
+                    known = memo.get(word) or older.get(word)
+                    if known is None:
+                        known = memo[word] = of_word(word)
                     known += memo.get(MARK + end) or self._whole([MARK + end])[0]
+                else:
+                    known = of_word(key)
             memo[key] = found[i] = known
         plain = [i for i in rest if self._plain(chunks[i])]
         for j in range(0, len(plain), 4096):
