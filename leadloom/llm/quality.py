@@ -3,10 +3,14 @@
 Measures of every document are plain column expressions. A KLL sketch of each measure is kept per
 language and source; sketches merge, so a group of few rows takes its language's thresholds and a
 language of few rows those of all documents, without reading the rows again. A document is
-rejected if a measure lies outside its group's fence: the group's median plus (or minus)
-``WIDTH`` times its spread, which is the larger of the distances to the 10 % and 75 % quantiles and
-a least spread per measure. So a source whose pages are all full of symbols gets a wide fence, and
-clean documents stay however even their group is. Only DataFrame operations are used.
+rejected if a measure lies outside its group's fence. The fence follows the group's quantiles from
+the median out to the far tail, as long as the next one is at most twice as far from the median as
+the last, or within a small ``reach`` per measure; it lies twice as far out as the last quantile
+reached. Junk that is set off from the rest by a gap doesn't move it, up to just under half of the
+group. ``WIDTH`` times the spread (distances to the 10 % and 75 % quantiles, ``reach`` at least)
+bounds it where junk runs on from clean rows without a gap. So a source whose pages are all full of
+symbols gets a wide fence, and clean documents stay however even their group is. Only DataFrame
+operations are used.
 
 Base rules come first: fewer than 50 words, or over half of them in repeated three-word windows.
 
@@ -29,14 +33,15 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SKETCH_K = 400
 LEAST_ROWS = 200  # a group with fewer takes the thresholds of a larger one
-WIDTH = 8.0
-#: Measure: least spread, and whether low values are outliers too.
+WIDTH = 5.0
+TAIL = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.975, 0.99, 0.995]
+#: Measure: reach (least distance of the fence from the median), and whether low values are outliers too.
 MEASURES = {
-    "q_symbols": (0.01, False),  # symbols per character in words
-    "q_upper": (0.04, False),  # share of words without lower-case letters
-    "q_dup_lines": (0.06, False),  # share of lines that repeat an earlier one
-    "q_repeats": (0.04, False),  # share of words in repeated windows
-    "q_word_length": (0.5, True),  # characters per word
+    "q_symbols": (0.02, False),  # symbols per character in words
+    "q_upper": (0.02, False),  # share of words without lower-case letters
+    "q_dup_lines": (0.15, False),  # share of lines that repeat an earlier one
+    "q_repeats": (0.06, False),  # share of words in repeated windows
+    "q_word_length": (1.0, True),  # characters per word
 }
 
 
@@ -137,12 +142,19 @@ def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
 
     def fence(m: str) -> list[Column]:
         sketch = F.when(enough("q_good"), F.col(m)).when(enough("q_good_1"), F.col(f"{m}_1")).otherwise(F.col(f"{m}_0"))
-        least, both = MEASURES[m]
+        reach, both = MEASURES[m]
         at = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-        spread = F.greatest(at(0.5) - at(0.1), at(0.75) - at(0.5), F.lit(least))
+        spread = F.greatest(at(0.5) - at(0.1), at(0.75) - at(0.5), F.lit(reach))
         some = F.coalesce(F.col("q_good_0"), F.lit(0)) > 0  # no document passes the base rules: no fences
-        low = F.when(some, at(0.5) - WIDTH * spread) if both else F.lit(None).cast("double")
-        return [low.alias(f"{m}_low"), F.when(some, at(0.5) + WIDTH * spread).alias(f"{m}_high")]
+
+        def distance(ranks: list[float]) -> Column:
+            """From the median to the fence on the side of ``ranks``."""
+            away = F.transform(F.array(*(at(q) for q in ranks)), lambda x: F.abs(x - at(0.5)))
+            last = F.aggregate(away, F.lit(0.0), lambda done, x: F.when(x <= F.greatest(F.lit(reach), 2 * done), x).otherwise(done))
+            return F.least(F.greatest(F.lit(reach), 2 * last), WIDTH * spread)
+
+        low = F.when(some, at(0.5) - distance([1 - q for q in TAIL])) if both else F.lit(None).cast("double")
+        return [low.alias(f"{m}_low"), F.when(some, at(0.5) + distance(TAIL)).alias(f"{m}_high")]
 
     return written(joined.select("q_key", "q_rows", *(c for m in MEASURES for c in fence(m))))
 

@@ -408,6 +408,29 @@ def test_quality_counts_and_fences(spark, docs):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def test_quality_fences_follow_the_sketches(spark):
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+
+    def text(share):  # symbols per character in words
+        words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(120)]
+        symbols = round(share / (1 - share) * sum(map(len, words)))
+        for i in range(symbols):
+            words[i * 7 % 120] += "#"
+        return " ".join(words)
+
+    groups = {
+        "clean": [0.0] * 300 + [0.07] * 9,
+        "a third junk": [0.0] * 210 + [0.3] * 45 + [0.11] * 45,
+        "symbols": [rng.uniform(0.03, 0.09) for _ in range(300)] + [0.3] * 9,
+    }
+    rows = [(text(share), "en", source, share) for source, shares in groups.items() for share in shares]
+    judged = quality.judged(spark.createDataFrame(rows, "text string, lang string, source string, share double")).collect()
+    assert len(judged) == len(rows)
+    wrong = [(r.source, r.share, r.q_kept) for r in judged if r.q_kept != (r.share == 0 or r.source == "symbols" and r.share < 0.1)]
+    assert not wrong
+
+
 # --- sharding -------------------------------------------------------------------------------
 
 
