@@ -1,7 +1,7 @@
 """Documents to packed training sequences: quality, lines, near duplicates, personal data, packing.
 
 Each stage takes what its predecessor kept and returns the columns of ``documents``; the last one
-returns the packed pieces. Cases and their results are those of the operators in ``leadloom.llm``.
+returns the packed pieces with their ids. Cases and their results are those of the operators in ``leadloom.llm``.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 2048 ids."""
+    """Pieces of windows of 2048 ids, each with its place and its ids as they lie in the built window."""
     return packing.packed(docs, vocabulary_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 

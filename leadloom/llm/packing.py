@@ -6,7 +6,9 @@ found by a segment tree indexed by remaining capacity. Pieces of equal length ar
 placement needs only the number of pieces of each length: it runs on that histogram (as many
 entries as the capacity, whatever the number of documents), moves whole runs of equal windows at
 once and gives the same windows as placing piece by piece. The result is a short table of runs;
-every piece finds its place there by its rank among the pieces of its length.
+every piece finds its place there by its rank among the pieces of its length. The ids are then
+shuffled to their windows and laid out there; what is told of a piece's ids is cut back out of the
+finished window.
 
 Defined results: null text is empty (one id: the end); null doc_ids are kept; repeated rows are
 documents of their own; extra columns are not read; an empty table gives no pieces.
@@ -14,7 +16,6 @@ documents of their own; extra columns are not read; an empty table gives no piec
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import written
-from leadloom.llm.tokens import binary_array, id_blocks
+from leadloom.llm.tokens import binary_array, encoder, id_blocks
+
+
+LAID_OUT = 512  # windows laid out at once
 
 
 class OpenWindows:
@@ -98,8 +102,15 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return runs
 
 
+def stored(tokenizer: str, end_id: int) -> str:
+    """Type of the ids on their way to the windows: two bytes if every id fits."""
+    return "<u2" if max(*encoder(tokenizer).ids(), end_id) < 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Pieces of every document with their ids, numbered per task and length; one written table."""
+    """Pieces of every document with their ids (as ``stored``), numbered per task and length; one written table."""
+    kind = stored(tokenizer, end_id)
+    size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -115,15 +126,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_colum
             rank = np.empty(len(doc), np.int64)
             rank[order] = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number) + np.repeat(seen, number)
             seen += number
-            raw = ids.astype("<u4").tobytes()
-            ends = np.cumsum(length) * 4
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-            columns = [pa.array(np.full(len(doc), part)), pa.array(document + doc), keys.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(counts[doc]), pa.array(rank), pa.array(crc, pa.int64()), binary_array(length * 4, raw)]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "document", "doc_id", "start", "length", "doc_tokens", "rank", "ids_crc32", "ids"])
+            raw = ids.astype(kind).tobytes()
+            columns = [pa.array(np.full(len(doc), part)), pa.array(document + doc), keys.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(counts[doc]), pa.array(rank), binary_array(length * size, raw)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "document", "doc_id", "start", "length", "doc_tokens", "rank", "ids"])
             document += len(counts)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return written(rows.mapInArrow(run, "part long, document long, doc_id long, start long, length long, doc_tokens long, rank long, ids_crc32 long, ids binary"))
+    return written(rows.mapInArrow(run, "part long, document long, doc_id long, start long, length long, doc_tokens long, rank long, ids binary"))
 
 
 def placed(cut: DataFrame, capacity: int) -> DataFrame:
@@ -151,29 +160,47 @@ def placed(cut: DataFrame, capacity: int) -> DataFrame:
             _, first_rank, each, window, offset = table[at].T
             step = rank - first_rank
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:6], pa.array(window + step // each), pa.array(offset + step % each * length), batch.column(7)],
-                ["part", "document", "doc_id", "start", "doc_tokens", "length", "sequence_id", "offset", "ids_crc32"],
+                [*batch.columns[:6], pa.array(window + step // each), pa.array(offset + step % each * length)],
+                ["part", "document", "doc_id", "start", "doc_tokens", "length", "sequence_id", "offset"],
             )
 
     ranked = cut.join(before, ["length", "part"]).select(
-        "part", "document", "doc_id", "start", "doc_tokens", "length", (F.col("rank") + F.col("before")).alias("rank"), "ids_crc32"
+        "part", "document", "doc_id", "start", "doc_tokens", "length", (F.col("rank") + F.col("before")).alias("rank")
     )
-    return ranked.mapInArrow(run, "part long, document long, doc_id long, start long, doc_tokens long, length long, sequence_id long, offset long, ids_crc32 long")
-
-
-def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, **columns: str) -> DataFrame:
-    """Every piece of every document with its place: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32``."""
-    return placed(pieces(docs, tokenizer, end_id, capacity, **columns), capacity).drop("part", "document")
+    return ranked.mapInArrow(run, "part long, document long, doc_id long, start long, doc_tokens long, length long, sequence_id long, offset long")
 
 
 def windows(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, pad_id: int = 0, **columns: str) -> DataFrame:
-    """The packed sequences: ``sequence_id, n_tokens, ids`` (capacity ids each, padded) and the doc_ids inside, by offset."""
+    """The packed sequences: ``sequence_id, n_tokens, ids`` (capacity ids each, padded), and by offset the doc_ids and ``pieces`` inside."""
     cut = pieces(docs, tokenizer, end_id, capacity, **columns)
     keys = ["part", "document", "start"]
     rows = placed(cut, capacity).join(cut.select(*keys, "ids"), keys)
-    held = F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "ids")))  # at most `capacity` pieces
+    held = F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "start", "doc_tokens", "ids")))  # at most `capacity` pieces
     full = rows.groupBy("sequence_id").agg(held.alias("held"), F.sum("length").alias("n_tokens"))
     ids = F.aggregate("held", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
-    pad = np.array([pad_id], "<u4").tobytes().hex()
-    padding = F.unhex(F.repeat(F.lit(pad), (F.lit(capacity) - F.col("n_tokens")).cast("int")))
-    return full.select("sequence_id", "n_tokens", F.col("held.doc_id").alias("doc_ids"), F.concat(ids, padding).alias("ids"))
+    inside = F.transform("held", lambda x: x.dropFields("ids"))
+    laid = full.select("sequence_id", "n_tokens", F.col("held.doc_id").alias("doc_ids"), inside.alias("pieces"), ids.alias("ids"))
+    kind = stored(tokenizer, end_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, LAID_OUT):
+                some = batch.slice(first, LAID_OUT)
+                out = np.full((some.num_rows, capacity), pad_id, "<u4")
+                for row, x in zip(out, some.column(4), strict=True):
+                    held = np.frombuffer(x.as_buffer(), kind)
+                    row[: len(held)] = held
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], binary_array(np.full(len(out), 4 * capacity), out)], batch.schema.names)
+
+    return laid.mapInArrow(run, laid.schema)
+
+
+def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, **columns: str) -> DataFrame:
+    """Every piece of every document with its place and its ids there: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids``.
+
+    ``ids`` (4 bytes each, little endian) are cut out of the built sequence by offset and length.
+    """
+    each = windows(docs, tokenizer, end_id, capacity, **columns).select("sequence_id", F.col("ids").alias("all"), F.explode("pieces").alias("p"))
+    ids = F.substring("all", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
+    names = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids")
+    return each.select("p.*", "sequence_id", ids.alias("ids")).withColumn("ids_crc32", F.crc32("ids")).select(*names)

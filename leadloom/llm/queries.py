@@ -50,7 +50,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), vocabulary_file(BYTE_BPE), end_id=1, capacity=2048)
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary_file(BYTE_BPE), end_id=1, capacity=2048).drop("ids")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,9 @@ class Encoder:
     def size(self) -> int:
         return self._library.get_vocab_size()
 
+    def ids(self) -> list[int]:
+        return list(self._library.get_vocab().values())
+
     def _word(self, word: str) -> bytes:
         """Ids of a chunk of letters: one pre-token, which the library's model takes as it is."""
         piece = word[1:] if word[0] == MARK else "\u0120" + word  # the letter for a space

@@ -141,6 +141,32 @@ def test_packed_windows_hold_every_id_once(spark, docs):
     assert packing.packed(docs.limit(0), path, end_id=1).count() == 0
 
 
+@pytest.mark.parametrize("end", [1, 70_000])  # ids of two and of four bytes
+def test_pieces_are_cut_out_of_the_windows(spark, docs, end):
+    path = tokens.vocabulary_file(queries.BYTE_BPE)
+    rows = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    expected = {r.doc_id: library_ids(r.text) + [end] for r in rows.collect()}
+    found = packing.packed(rows, path, end_id=end, capacity=64).collect()
+    for r in found:
+        ids = expected[r.doc_id][r.start : r.start + r.length]
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.doc_tokens == len(expected[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(bytes(r.ids))
+    places = {(r.doc_id, r.start): (r.sequence_id, r.offset) for r in found}
+    for w in packing.windows(rows, path, end_id=end, capacity=64).collect():
+        flat = np.frombuffer(w.ids, "<u4").tolist()
+        for p in w.pieces:
+            assert flat[p.offset : p.offset + p.length] == expected[p.doc_id][p.start : p.start + p.length]
+        assert w.doc_ids == [p.doc_id for p in w.pieces] and sum(p.length for p in w.pieces) == w.n_tokens
+    assert set(places) == {(i, at) for i, x in expected.items() for at in range(0, len(x), 64)}
+
+
+def test_pipeline_returns_the_ids_of_the_masked_texts(spark):
+    text = "a short text of some words for the windows"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.pack(spark, docs, "").collect()}
+    assert found == {1: library_ids(text) + [1], 2: [1]}
+
+
 # --- lines ----------------------------------------------------------------------------------
 
 
