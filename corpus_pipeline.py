@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import lines, packing, pii, quality, simhash
-from leadloom.llm.common import table
+from leadloom.llm.common import table, written
 from leadloom.llm.tokens import vocabulary_file
 
 
@@ -27,15 +27,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group whose fingerprints link at 3 or fewer bits.
+    """One row of each group of rows whose fingerprints link at 3 or fewer bits.
 
-    Repeated rows of that doc_id are one document. Rows without a doc_id can't be named, so they
-    take no part and stay.
+    The row with the smallest doc_id stays (nulls last), among several the one with the smallest
+    fingerprint, then the smallest hash of all columns. Rows equal in all columns are one row. Rows
+    are told apart by that hash (64 bits), so two texts under one doc_id are two documents.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    found = simhash.near_duplicates(named, shingle=3, distance=3)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    rows = docs.withColumn("_row", row)
+    found = simhash.near_duplicates(rows, shingle=3, distance=3, id_column="_row").distinct()
+    named = rows.select("_row", F.col("doc_id").alias("name")).distinct()
+    first = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", "fp", "_row"))
+    kept = found.withColumnRenamed("doc_id", "_row").join(named, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *before, (_, last) = STAGES
+    for _, stage in before:
+        docs = written(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)

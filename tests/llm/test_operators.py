@@ -513,3 +513,14 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     for r in packed:
         got[r.doc_id] += r.length
     assert got == expected
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, b), (None, c), (None, c), (3, d), (None, d), (0, d)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (None, c), (0, d)])
