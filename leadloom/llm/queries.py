@@ -60,9 +60,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.uniform_shards(table(spark, sf_dir, "documents"), shards=8)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    dealt = sharding.uniform_shards(rows, shards=8)
+    dealt = dealt.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text)})
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

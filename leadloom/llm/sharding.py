@@ -63,9 +63,10 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray
 def uniform_shards(rows: DataFrame, shards: int = 8, seed: int = 0, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
-    ``rows`` are written once (narrow them before), so that counting and dealing see the same.
+    ``rows`` are written once, so that counting and dealing see the same. Counts read the two
+    hashes of the rows only; whole rows are shuffled twice, to their partition and to their shard.
     """
-    key = lambda salt: F.xxhash64(F.lit(f"{seed} {salt}"), *rows.columns)
+    key = lambda salt: F.xxhash64(F.lit(f"{seed} {salt}"), *rows.columns, *(F.col(c).isNull() for c in rows.columns))
     base = written(rows.select("*", key("local").alias("_local"), key("shard").alias("_order")))
     total = base.count()
     partitions = max(1, -(-total // partition_rows))
@@ -74,17 +75,16 @@ def uniform_shards(rows: DataFrame, shards: int = 8, seed: int = 0, partition_ro
     matrix = communication_matrix([sizes.get(i, 0) for i in range(partitions)], shards, seed)
     borders = rows.sparkSession.createDataFrame([(i, np.cumsum(m).tolist()) for i, m in enumerate(matrix)], "_part int, _borders array<long>")
 
-    # Rows that agree in their keys are told apart by the other columns; wholly equal rows are interchangeable.
-    local = Window.partitionBy("_part").orderBy("_local", *rows.columns)
+    # Rows that agree in both hashes (128 bits of all columns) are taken as wholly equal, so interchangeable.
+    local = Window.partitionBy("_part").orderBy("_local", "_order")
     ranked = base.withColumn("_rank", F.row_number().over(local) - 1).join(borders, "_part")
     shard = F.size(F.filter("_borders", lambda b: b <= F.col("_rank"))).cast("int")
-    dealt = ranked.select(*rows.columns, "_order", shard.alias("shard"))
+    dealt = ranked.select(*rows.columns, "_local", "_order", shard.alias("shard"))
 
     buckets = 1 << max(0, (partitions // shards).bit_length())
     dealt = dealt.withColumn("_bucket", F.shiftrightunsigned("_order", 64 - int(math.log2(buckets))) if buckets > 1 else F.lit(0).cast("long"))
-    dealt = written(dealt)
     counts = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     first = counts.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_first"))
-    inner = Window.partitionBy("shard", "_bucket").orderBy("_order", *rows.columns)
+    inner = Window.partitionBy("shard", "_bucket").orderBy("_order", "_local")
     slots = dealt.withColumn("_rank", F.row_number().over(inner) - 1).join(first, ["shard", "_bucket"])
     return slots.select(*rows.columns, "shard", (F.col("_first") + F.col("_rank")).alias("slot"))

@@ -475,6 +475,18 @@ def test_shards_are_exact_and_uniform(spark, docs):
     assert all(abs(r.m - 20_000) < 800 and abs(r.c) < 0.07 for r in many)
 
 
+def test_shards_get_the_texts(spark, docs, tmp_path, monkeypatch):
+    docs.drop("shard").write.parquet(str(tmp_path / "documents.parquet"))
+    dealt, whole = [], sharding.uniform_shards
+    monkeypatch.setattr(sharding, "uniform_shards", lambda rows, **options: dealt.append(whole(rows, **options)) or dealt[0])
+    found = queries.op9_sharding(spark, str(tmp_path)).collect()
+    places = {(r.shard, r.slot): r for r in dealt[0].collect()}
+    assert Counter(r.text for r in places.values()) == Counter(r.text for r in docs.collect())
+    for r in found:
+        text = (places[r.shard, r.slot].text or "").encode()
+        assert (r.size, r.text_crc32, r.doc_id) == (len(text) + 1, zlib.crc32(text), places[r.shard, r.slot].doc_id)
+
+
 def test_matrix_has_its_margins():
     sizes = [random.Random(i).randint(0, 50) for i in range(40)]
     matrix = sharding.communication_matrix(sizes, 8, seed=1)
