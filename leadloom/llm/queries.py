@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import hamming, idfile, lines, packing, pii, quality, secrets, sharding, simhash, transducer
-from leadloom.llm.common import table
+from leadloom.llm import divergence, hamming, idfile, lines, merkle, packing, pii, quality, secrets, sharding, simhash, sql, transducer, warc
+from leadloom.llm.common import table, work_folder
 from leadloom.llm.tokens import vocabulary_file
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -70,8 +70,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_pii, op3_line_dedup, op4_hamming_top_k, op5_simhash, op6_pieces, op7_packing, op8_quality, op9_sharding, op10_secrets)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark)
+    warc.write_bundles(table(spark, sf_dir, "pages"), path, least_bytes=1000)
+    back = warc.records(spark, path, payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_documents=30, top_terms=50)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc_id, n_chars = F.col("doc_id").cast("long"), F.col("n_chars").cast("long")
+    leaf = lambda n: merkle.leaf_of(doc_id, F.col("source"), F.col("lang"), n, F.col("text"))
+    tampered = F.when(F.crc32(doc_id.cast("string")) % 7 == 0, leaf(n_chars + 1)).otherwise(leaf(n_chars))
+    manifest = merkle.build(table(spark, sf_dir, "documents"), F.col("lang"), [doc_id], leaf(n_chars), doc_id=doc_id, claimed=tampered)
+    return merkle.proofs(manifest)
+
+
+_ALL = (
+    op1_token_ids, op2_pii, op3_line_dedup, op4_hamming_top_k, op5_simhash, op6_pieces, op7_packing,
+    op8_quality, op9_sharding, op10_secrets, op11_warc, op12_divergence, op13_merkle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
+    "op11_warc": sql.WARC,
+    "op12_divergence": sql.DIVERGENCE,
+    "op13_merkle": sql.MERKLE,
     "op4_hamming_top_k": f"""
 WITH signs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 pairs AS (
