@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import forget, spread_join, written
+from leadloom.llm.common import conf, forget, spread_join, written
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 27  # before compression
@@ -209,7 +209,9 @@ def write_bundles(
             yield close()
 
     linked = _linked(pages, least_bytes, id_column, url_column, payload_column, date_column)
-    staged = written(linked.mapInArrow(run, f"bundle string, archive binary, entries {ENTRIES}"))
+    # Whole pages go to Python: few at a time, for Arrow holds a batch twice while it grows.
+    with conf(pages.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
+        staged = written(linked.mapInArrow(run, f"bundle string, archive binary, entries {ENTRIES}"))
     # One row makes one file. The text sink ends a row with its separator: here the last four bytes
     # of the format, so the file ends as the format asks.
     ending = struct.pack("<I", SEEKABLE).decode("latin-1")
