@@ -8,8 +8,9 @@ for the prefixes that extend one kept before, the documents that hold them; a te
 the level is counted whole and is settled there. The loop ends when no kept prefix goes on, after
 about log2 of the longest kept prefix.
 
-Counting is pre-aggregated per task (each task adds one row per item), so a prefix that every
-document holds is a few rows in the shuffle. Which prefixes were kept reaches the tasks as a Bloom
+Texts are cut into terms once, into chunks that hold each term once and documents as numbers; the
+levels read the chunks. A chunk adds one row per item, so a prefix that every document holds is a
+few rows in the shuffle. Which prefixes were kept reaches the tasks as a Bloom
 filter of at most ``FILTER_BITS`` bits, whatever their number: it lets some extensions of dropped
 prefixes through, which the exact counts of the level then drop, and never loses one.
 
@@ -24,8 +25,9 @@ table gives no rows. All arithmetic is on integers.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -34,14 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import written
+from leadloom.llm.common import forget, written
 
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 4
-HELD = 1_000_000  # counts a task holds before it hands them on
+CHUNK_TERMS = 1 << 22
 TILE = 256  # sources per side of a matrix
 MATRICES = 64  # matrices a task holds before it hands them on
 UNIT = 1_000_000_000
+_CHUNK_COLUMNS = ["lang", "sources", "terms", "doc_source", "doc_terms", "steps", "n"]
 
 # Letters in lower case, bytes of characters beyond ASCII as they are, a space for all others.
 _SPLIT = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -51,26 +54,26 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_SPLIT).split()
 
 
-def _hashes(lang: str, items: list[bytes]) -> list[tuple[int, int]]:
-    """Two 64-bit hashes of each (lang, item)."""
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    both = (xxhash.xxh3_128_intdigest(item, seed) for item in items)
-    return [(h >> 64, h & (1 << 64) - 1 | 1) for h in both]
-
-
 class Filter:
     """Bloom filter over (lang, item)."""
 
     def __init__(self, words: np.ndarray):
-        self._words, self._mask = words, len(words) * 64 - 1
+        self._words = words
 
-    def __call__(self, lang: str, item: bytes) -> bool:
-        ((a, b),) = _hashes(lang, [item])
-        for i in range(FILTER_HASHES):
-            at = (a + i * b) & self._mask
-            if not int(self._words[at >> 6]) >> (at & 63) & 1:
-                return False
-        return True
+    def __call__(self, lang: str, items: list[bytes]) -> np.ndarray:
+        found = np.ones(len(items), bool)
+        for at in places(lang, items, len(self._words) * 64):
+            found &= (self._words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return found
+
+
+def places(lang: str, items: list[bytes], bits: int) -> Iterator[np.ndarray]:
+    """The bits of each item, one array per hash function."""
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(item, seed) for item in items]), ">u8").reshape(-1, 2).astype(np.uint64)
+    for i in range(FILTER_HASHES):
+        yield ((both[:, 0] + np.uint64(i) * (both[:, 1] | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def filter_of(items: DataFrame, most_bits: int = FILTER_BITS) -> Filter:
@@ -81,70 +84,137 @@ def filter_of(items: DataFrame, most_bits: int = FILTER_BITS) -> Filter:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [
-                (a + i * b) & (bits - 1)
-                for lang, item in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for a, b in _hashes(lang, [item])
-                for i in range(FILTER_HASHES)
-            ]
-            at = np.array(places, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+            by_lang = defaultdict(list)
+            for lang, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_lang[lang].append(item)
+            for lang, own in by_lang.items():
+                at = np.concatenate(list(places(lang, own, bits)))
+                words = np.zeros(bits // 64, np.uint64)
+                np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+                set_ = np.flatnonzero(words)
+                yield pa.RecordBatch.from_arrays([pa.array(set_), pa.array(words[set_].view(np.int64))], ["word", "bits"])
 
     words = np.zeros(bits // 64, np.int64)
-    set_ = items.select("lang", "item").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    for row in set_.collect():
+    for row in items.select("lang", "item").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
         words[row["word"]] = row["bits"]
     return Filter(words.view(np.uint64))
 
 
-class _Items(dict):
-    """The item that counts for a term on a level: the whole term, or its prefix and a ``+``; None if it counts nothing."""
+def term_chunks(docs: DataFrame, chunk_terms: int = CHUNK_TERMS) -> DataFrame:
+    """The terms of ``docs(lang, source, text)`` in chunks of documents of one language.
+
+    A chunk holds its terms once, sorted; its sources; and for every document its source, the number
+    of its terms, and their numbers (rising, as differences) and occurrences. Numbers are 32-bit,
+    little-endian. A task holds about ``chunk_terms`` occurrences and one document at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, defaultdict] = {}
+        open_: dict[str, list] = defaultdict(list)
+        held = 0
+
+        def chunk(lang: str) -> pa.RecordBatch:
+            # Numbers in order of first sight become numbers in order of the terms.
+            terms = sorted(numbers[lang])
+            rank = np.empty(len(terms), np.int64)
+            rank[[numbers[lang][t] for t in terms]] = np.arange(len(terms))
+            sources = sorted({source for source, _ in open_[lang]})
+            sizes = [len(own) for _, own in open_[lang]]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            cells, n = np.unique(doc * len(terms) + rank[np.concatenate([own for _, own in open_[lang]])], return_counts=True)
+            doc, ids = cells // len(terms), cells % len(terms)
+            steps = np.diff(ids, prepend=0)
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            steps[first] = ids[first]
+            number = dict(zip(sources, range(len(sources)), strict=True))
+            numeric = [np.array([number[source] for source, _ in open_[lang]]), np.bincount(doc, minlength=len(sizes)), steps, n]
+            row = [lang, sources, b"\n".join(terms), *[a.astype("<i4").tobytes() for a in numeric]]
+            types = [pa.string(), pa.list_(pa.string()), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], _CHUNK_COLUMNS)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang in list(open_):
+                yield chunk(lang)
+            numbers.clear()
+            open_.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms = terms_of(text)
+                if not terms:
+                    continue
+                known = numbers.get(lang)
+                if known is None:
+                    known = numbers[lang] = defaultdict()
+                    known.default_factory = known.__len__  # a new term gets the next number
+                open_[lang].append((source, np.array([known[t] for t in terms], np.int32)))
+                held += len(terms)
+                if held >= chunk_terms:
+                    yield from flushed()
+                    held = 0
+        yield from flushed()
+
+    kinds = ["string", "array<string>", *["binary"] * 5]
+    return docs.select("lang", "source", "text").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(_CHUNK_COLUMNS, kinds, strict=True)))
 
-    def __init__(self, lang: str, length: int, kept: Filter | None):
-        super().__init__()
-        self._lang, self._length, self._kept = lang, length, kept
 
-    def __missing__(self, term: bytes) -> bytes | None:
-        half, item = self._length // 2, None
-        if self._kept is None or (len(term) > half and self._kept(self._lang, term[:half])):
-            item = term if len(term) <= self._length else term[: self._length] + b"+"
-        self[term] = item
-        return item
+@dataclass(frozen=True)
+class Chunk:
+    lang: str
+    sources: list[str]
+    terms: list[bytes]
+    source: np.ndarray  # of each document
+    doc: np.ndarray  # of each (document, term)
+    term: np.ndarray
+    n: np.ndarray
 
 
-def _level(docs: DataFrame, length: int, kept: Filter | None, least_documents: int, held: int = HELD) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for lang, sources, terms, *numeric in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            source, size, steps, n = (np.frombuffer(a, "<i4") for a in numeric)
+            ids = np.cumsum(steps.astype(np.int64))
+            starts = np.cumsum(size) - size
+            before = np.concatenate([[0], ids])[starts]  # rows of each document start from zero
+            yield Chunk(lang, sources, terms.split(b"\n"), source, np.repeat(np.arange(len(size)), size), ids - np.repeat(before, size), n)
+
+
+def _level(chunks: DataFrame, length: int, kept: Filter | None, least_documents: int) -> DataFrame:
     """``lang, item, whole, documents`` of one level: prefixes of ``length`` bytes that extend a kept one of half of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, _Items] = {}
-        counts: dict[str, Counter] = defaultdict(Counter)
-
-        def flushed() -> pa.RecordBatch:
-            rows = [(lang, item.removesuffix(b"+"), not item.endswith(b"+"), n) for lang, c in counts.items() for item, n in c.items() if item is not None]
-            counts.clear()
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        for c in _chunks(batches):
+            if kept is None:
+                alive = range(len(c.terms))
+            else:
+                # Sorted terms: those of one prefix stand together.
+                parents = [t[: length // 2] if len(t) > length // 2 else b"" for t in c.terms]
+                distinct = list(dict.fromkeys(parents))
+                good = dict(zip(distinct, kept(c.lang, distinct).tolist(), strict=True)) | {b"": False}
+                alive = [i for i, parent in enumerate(parents) if good[parent]]
+            items = [t if len(t := c.terms[i]) <= length else t[:length] + b"+" for i in alive]
+            distinct = list(dict.fromkeys(items))
+            number = dict(zip(distinct, range(len(distinct)), strict=True))
+            item_of = np.full(len(c.terms), -1)
+            item_of[list(alive)] = [number[item] for item in items]
+            item = item_of[c.term]
+            doc, item = c.doc[item >= 0], item[item >= 0]
+            # Within a document terms rise, so equal items follow each other.
+            first = (np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0)
+            documents = np.bincount(item[first], minlength=len(distinct))
+            columns = [[c.lang] * len(distinct), [i.removesuffix(b"+") for i in distinct], [not i.endswith(b"+") for i in distinct], documents]
             types = [pa.string(), pa.binary(), pa.bool_(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "item", "whole", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["lang", "item", "whole", "n"])
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                items = known.setdefault(lang, _Items(lang, length, kept))
-                counts[lang].update({items[term] for term in set(terms_of(text))})
-            if sum(map(len, counts.values())) > held:
-                yield flushed()
-            if sum(map(len, known.values())) > held:
-                known.clear()
-        yield flushed()
-
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, item binary, whole boolean, n long")
+    found = chunks.mapInArrow(run, "lang string, item binary, whole boolean, n long")
     return found.groupBy("lang", "item", "whole").agg(F.sum("n").alias("documents")).filter(F.col("documents") >= least_documents)
 
 
-def kept_terms(docs: DataFrame, least_documents: int = 30, filter_bits: int = FILTER_BITS, held: int = HELD) -> DataFrame:
-    """``lang, item`` (the term's bytes), ``documents`` of the terms each language keeps. ``docs``: ``lang, text`` (binary)."""
+def kept_terms(chunks: DataFrame, least_documents: int = 30, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``lang, item`` (the term's bytes), ``documents`` of the terms each language keeps. ``chunks``: a written table of ``term_chunks``."""
     length, kept, settled = 1, None, []
     while True:
-        level = written(_level(docs, length, kept, least_documents, held))
+        level = written(_level(chunks, length, kept, least_documents))
         settled.append(level.filter("whole").drop("whole"))
         open_ = level.filter("NOT whole")
         if open_.isEmpty():
@@ -152,28 +222,20 @@ def kept_terms(docs: DataFrame, least_documents: int = 30, filter_bits: int = FI
         length, kept = length * 2, filter_of(open_, filter_bits)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, filter_bits: int = FILTER_BITS, held: int = HELD) -> DataFrame:
-    """``lang, source, item, n``: occurrences of the kept terms. ``docs``: ``lang, source, text`` (binary)."""
+def term_counts(chunks: DataFrame, terms: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``lang, source, item, n``: occurrences of the kept terms."""
     kept = filter_of(terms, filter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def flushed() -> pa.RecordBatch:
-            rows = [(*group, item, n) for group, c in counts.items() for item, n in c.items() if kept(group[0], item)]
-            counts.clear()
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            types = [pa.string(), pa.string(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "source", "item", "n"])
-
-        for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts[lang, source].update(terms_of(text))
-            if sum(map(len, counts.values())) > held:
-                yield flushed()
-        yield flushed()
-
-    found = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, item binary, n long")
+        for c in _chunks(batches):
+            good = kept(c.lang, c.terms)[c.term]
+            cell = c.source[c.doc[good]].astype(np.int64) * len(c.terms) + c.term[good]
+            cells, at = np.unique(cell, return_inverse=True)
+            n = np.bincount(at, c.n[good], len(cells)).astype(np.int64)
+            named = pa.array(c.sources).take(pa.array(cells // len(c.terms))), pa.array(c.terms, pa.binary()).take(pa.array(cells % len(c.terms)))
+            yield pa.RecordBatch.from_arrays([pa.array([c.lang]).take(pa.array(np.zeros(len(cells), np.int64))), *named, pa.array(n)], ["lang", "source", "item", "n"])
+
+    found = chunks.mapInArrow(run, "lang string, source string, item binary, n long")
     summed = found.groupBy("lang", "source", "item").agg(F.sum("n").alias("n"))
     return summed.join(terms.select("lang", "item"), ["lang", "item"], "left_semi").select("lang", "source", "item", "n")
 
@@ -222,13 +284,15 @@ def _distances(vectors: DataFrame, tile: int = TILE) -> DataFrame:
 
 def audit(
     docs: DataFrame, least_documents: int = 30, top_terms: int = 50, lang_column: str = "lang", source_column: str = "source", text_column: str = "text",
-    filter_bits: int = FILTER_BITS, held: int = HELD, tile: int = TILE,
+    filter_bits: int = FILTER_BITS, chunk_terms: int = CHUNK_TERMS, tile: int = TILE,
 ) -> DataFrame:
     """``lang, source, part, item, value, rank``: how far each source is from each other one, and its most typical terms."""
     named = {"lang": lang_column, "source": source_column, "text": text_column}
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in named.items())).withColumn("text", F.col("text").cast("binary"))
-    terms = kept_terms(rows, least_documents, filter_bits, held)
-    counts = written(term_counts(rows, terms, filter_bits, held))
+    chunks = written(term_chunks(rows, chunk_terms))
+    terms = kept_terms(chunks, least_documents, filter_bits)
+    counts = written(term_counts(chunks, terms, filter_bits))
+    forget(chunks)
 
     groups = rows.select("lang", "source").distinct()
     sizes = groups.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")

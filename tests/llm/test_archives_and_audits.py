@@ -148,21 +148,21 @@ def plain_audit(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("least", "sizes"), [(8, {}), (3, {"filter_bits": 64, "held": 5, "tile": 2}), (10_000, {})])
+@pytest.mark.parametrize(("least", "sizes"), [(8, {}), (3, {"filter_bits": 64, "chunk_terms": 40, "tile": 2}), (10_000, {})])
 def test_audit(spark, least, sizes):
-    """Also with a filter that lets nearly everything through, tasks that hand on at once, and several tiles of sources."""
+    """Also with a filter that lets nearly everything through, small chunks, and several tiles of sources."""
     got = divergence.audit(spark.createDataFrame(audit_rows(), DOC).repartition(5), least, top_terms=4, **sizes)
     assert sorted(map(tuple, got.collect())) == plain_audit(audit_rows(), least, 4)
 
 
 def test_levels_drop_prefixes(spark):
     rows = [("en", f"common{i % 3}".encode()) for i in range(30)] + [("en", f"rare{i}x".encode()) for i in range(9)]
-    docs = spark.createDataFrame(rows, "lang string, text binary")
-    level = divergence._level(docs, 4, None, 10)
+    chunks = divergence.term_chunks(spark.createDataFrame([(*r, "s") for r in rows], "lang string, text binary, source string"))
+    level = divergence._level(chunks, 4, None, 10)
     assert {(r["item"], r.whole, r.documents) for r in level.collect()} == {(b"comm", False, 30)}
     kept = divergence.filter_of(level)
-    assert kept("en", b"comm") and not kept("en", b"rare") and not kept("de", b"comm")
-    assert {bytes(r["item"]) for r in divergence.kept_terms(docs, 10).collect()} == {b"common"}
+    assert kept("en", [b"comm", b"rare"]).tolist() == [True, False] and not kept("de", [b"comm"])[0]
+    assert {bytes(r["item"]) for r in divergence.kept_terms(chunks, 10).collect()} == {b"common"}
 
 
 def test_shares_are_exact_beyond_long(spark):
