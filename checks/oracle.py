@@ -466,14 +466,22 @@ FROM ordered o LEFT JOIN kept a ON a.nk = o.nk LEFT JOIN kept b ON b.sk = o.sk""
     }
 
 
-def by_location_ctes() -> dict[str, str]:
-    """The batch location by location: known keys go, sites scraped before come first, then row by row."""
-    listings = """SELECT * REPLACE (CAST(location_ord % 7 AS INTEGER) AS location_ord,
+CHAINED = """SELECT * REPLACE (CAST(location_ord % 7 AS INTEGER) AS location_ord,
   CASE WHEN listing_id % 5 = 0 THEN 'Biz ' || CAST(listing_id * 11 % 400 AS VARCHAR) ELSE card_text END AS card_text,
   CASE WHEN listing_id % 3 = 0 THEN 'Chain ' || CAST(location_ord % 7 AS VARCHAR) || '-' || CAST(listing_id % 4 AS VARCHAR) ELSE business_name END AS business_name) FROM listings"""
+
+
+def by_location_ctes(cards: str | None = None, start_ledger: bool = True, excluded: str = "false") -> dict[str, str]:
+    """The batch location by location: known keys go, sites scraped before come first, then row by row.
+
+    ``cards`` replaces the listings; locations with ``excluded`` rows of them do not run.
+    """
     base = batch_ctes()
-    base["cards"] = base["cards"].replace("FROM listings)", f"FROM ({listings}))")
-    items = f"""SELECT location_ord, list({{'card': card_ord, 'id': listing_id, 'nk': {name_key('business_name')}, 'ck': {name_key('card_name')}, 'sk': {site_key('website')}}}) AS items
+    if cards is not None:
+        base["cards"] = base["cards"].replace("FROM listings)", f"FROM ({cards}))")
+    base["bad"] = f"SELECT DISTINCT location_ord FROM ({cards or 'SELECT * FROM listings'}) WHERE {excluded}"
+    base["found"] = (base["found"] if start_ledger else "SELECT * FROM collected c WHERE true") + " AND c.location_ord NOT IN (SELECT location_ord FROM bad)"
+    items = f"""SELECT row_number() OVER (ORDER BY location_ord) - 1 AS place, location_ord, list({{'card': card_ord, 'id': listing_id, 'nk': {name_key('business_name')}, 'ck': {name_key('card_name')}, 'sk': {site_key('website')}}}) AS items
 FROM found GROUP BY location_ord"""
     texts = "[]::VARCHAR[]"
     keeps = "coalesce(list_contains(ac.names, el.nk), false) OR coalesce(list_contains(ac.sites, el.sk), false)"
@@ -485,15 +493,22 @@ FROM found GROUP BY location_ord"""
   OR coalesce(list_contains(w.names, it.ck), false) OR coalesce(list_contains(w.sites, it.sk), false)))"""
     fresh = "CASE WHEN coalesce(list_contains(scraped, it.sk), false) THEN 0 ELSE 1 END"
     walk = f"""SELECT -1, {texts}, {texts}, {texts}, []::BIGINT[] UNION ALL
-SELECT location_ord, r.names, r.sites, list_distinct(list_concat(scraped, list_filter(list_transform(here, lambda it: it.sk), lambda sk: sk IS NOT NULL))), list_concat(ids, r.ids) FROM (
+SELECT place, r.names, r.sites, list_distinct(list_concat(scraped, list_filter(list_transform(here, lambda it: it.sk), lambda sk: sk IS NOT NULL))), list_concat(ids, r.ids) FROM (
   SELECT *, list_reduce(list_concat([first], list_sort(list_transform(here, lambda it: {element(fresh, 'it.card', 'it')}))), lambda ac, el: CASE WHEN {keeps} THEN ac ELSE {after} END) AS r FROM (
-    SELECT i.location_ord, w.scraped, w.ids, {start} AS first, {new} AS here FROM walk w JOIN items i ON i.location_ord = w.location_ord + 1))"""
-    kept = "SELECT f.* FROM found f WHERE f.listing_id IN (SELECT unnest(ids) FROM walk)"
+    SELECT i.place, w.scraped, w.ids, {start} AS first, {new} AS here FROM walk w JOIN items i ON i.place = w.place + 1))"""
+    kept = f"SELECT f.*, {name_key('business_name')} AS nk, {site_key('website')} AS sk FROM found f WHERE f.listing_id IN (SELECT unnest(ids) FROM walk)"
+    earlier = lambda alias: f"coalesce({alias}.location_ord < f.location_ord, false)"
+    drops = f"""SELECT f.listing_id, f.location_ord, {earlier('a')} OR {earlier('b')} OR {earlier('d')} AS known FROM found f
+LEFT JOIN kept a ON a.nk = {name_key('f.business_name')} LEFT JOIN kept b ON b.sk = {site_key('f.website')} LEFT JOIN kept d ON d.nk = {name_key('f.card_name')}"""
     out = {}
     for name, sql in base.items():
-        if name == "ordered":
-            out["items"], out["walk(location_ord, names, sites, scraped, ids)"], out["kept"] = items, walk, kept
-        elif not name.startswith("walk") and name not in ("kept", "drops", "before", "after", "counters"):
+        if name == "found":
+            out["bad"], out["found"] = base["bad"], sql
+        elif name == "ordered":
+            out["items"], out["walk(place, names, sites, scraped, ids)"], out["kept"] = items, walk, kept
+        elif name == "drops":
+            out["drops"] = drops
+        elif not name.startswith("walk") and name not in ("kept", "bad"):
             out[name] = sql
     return out
 
@@ -542,13 +557,15 @@ def build() -> dict[str, str]:
         out[name] = statement((*web, "ledger"), enriched_ctes(source), select)
 
     def on_batch(name: str, select: str) -> None:
-        out[name] = statement((*web, "ledger"), batch_ctes(), select)
+        out[name] = statement((*web, "ledger"), by_location_ctes(), select)
 
     def on_cards(name: str, select: str, extra: dict[str, str] | None = None) -> None:
         out[name] = statement(("listings", "ledger"), {**lead_ctes(), **(extra or {})}, select)
 
     # sources
     out["a1_pages"] = "SELECT page_id, url, html FROM pages"
+    latin = "regexp_replace(html, '[^\\x00-\\x7F\\x{A0}-\\x{FF}]', '?', 'g')"
+    out["a1_charsets"] = f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN {latin} WHEN 2 THEN {latin} || chr(8364) || chr(65533) ELSE html || chr(65533) END AS html FROM pages"
     out["a2_normalize_url"] = f"SELECT page_id, {NORMALIZED} AS url FROM pages"
     https = "regexp_matches(u, '^(?i)https:')"
     out["a3_candidate_urls"] = (
@@ -575,6 +592,7 @@ def build() -> dict[str, str]:
         ("listings",), {},
         "SELECT CASE WHEN location_ord < 12 THEN business_name ELSE '' END AS company_name, website, CASE WHEN location_ord >= 12 THEN maps_url ELSE '' END AS map FROM listings",
     )
+    out["a12_replayed_append"] = out["a12_header_growth"]
     on_leads("a13_legacy_rows", "SELECT company_name, website, coalesce(nullif(email, ''), 'Contact Form Only') AS company_email, search_location AS location, services FROM leads")
     on_batch("a14_rejected", f"SELECT listing_id, {', '.join(f'{v} AS {k}' for k, v in SHEET.items())}, reject_reason FROM routed WHERE reject_reason IS NOT NULL")
     on_batch("a15_rejected_minimal", "SELECT business_name, website, search_location, reject_reason FROM routed WHERE reject_reason IS NOT NULL")
@@ -673,7 +691,11 @@ def build() -> dict[str, str]:
         "SELECT page_id, contains(lower(final_url), 'login') OR contains(lower(final_url), 'authwall') AS walled, contains(lower(final_url), 'sorry') OR contains(lower(html), 'captcha') AS verification FROM web_pages",
     )
 
+    out["f10_headers"] = """SELECT n_regionkey::BIGINT AS region, n_regionkey % 2 = 0 AS refused,
+  CASE WHEN n_regionkey % 2 <> 0 THEN string_agg(array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), ',' ORDER BY n_nationkey) END AS headers FROM nation GROUP BY n_regionkey"""
+
     # joins
+    on_page("j1_kept_facts", f"SELECT page_id, {text_of('emails')} AS emails, page_id % 100 = 0 AS parsed FROM f_emails")
     on_facts("j1_homepages", f"SELECT website, {text_of('emails')} AS emails, {text_of('contacts')} AS contacts FROM home")
     on_facts("j2_contact_pages", f"SELECT website, CAST(place AS INTEGER) AS place, url, {text_of('emails')} AS emails FROM contact")
     on_facts("j3_social_fallback", f"SELECT website, {text_of('email')} AS email FROM rec")
@@ -719,12 +741,14 @@ UNION ALL SELECT business_id, 4, {li_url} || '/about' FROM biz WHERE website <>
         ("Companies Found", "scraped"), ("Qualified Leads", "qualified"), ("Emails Found", "emails"),
         ("LinkedIn Profiles", "linkedin"), ("Instagram Profiles", "instagram"), ("Duplicates Removed", "duplicates"),
     )
-    on_batch("g4_summary", " UNION ALL ".join(f"SELECT {q(label)} AS label, CAST(sum({col}) AS VARCHAR) AS value FROM counters HAVING sum(qualified) > 0" for label, col in totals))
+    summary = " UNION ALL ".join(f"SELECT {q(label)} AS label, CAST(sum({col}) AS VARCHAR) AS value FROM counters HAVING sum(qualified) > 0" for label, col in totals)
+    on_batch("g4_summary", summary)
     on_cards("g5_skip_counts", "SELECT location_ord, count(*) AS skipped FROM collected WHERE listing_id NOT IN (SELECT listing_id FROM fresh) GROUP BY location_ord")
     out["g6_sorted_set"] = "SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(text, ' '))), ' ') AS words FROM documents"
 
     # order and top-k
     on_cards("w1_dedup", "SELECT listing_id, business_name, website FROM kept", dedup_ctes("collected"))
+    out["w1_dedup_by_components"] = out["w1_dedup"]
     out["w2_first_cards"] = statement(("listings",), {"cards": cards_cte(5)}, "SELECT location_ord, listing_id FROM cards")
     on_page("w3_first_contacts", f"SELECT page_id, {text_of('contacts[1:3]')} AS contacts FROM page LEFT JOIN f_contacts USING (page_id)")
     on_page("w4_first_match", "SELECT page_id, twitter, first_email AS email FROM f_socials JOIN f_loose USING (page_id)")
@@ -768,11 +792,19 @@ UNION ALL SELECT business_id, 4, {li_url} || '/about' FROM biz WHERE website <>
     on_leads("p11_overrides", f"SELECT listing_id, {', '.join(f'{v} AS {k}' for k, v in edited.items())} FROM leads")
 
     # memory
-    out["t1_batch_by_location"] = statement((*web, "ledger"), by_location_ctes(), "SELECT listing_id, location_ord, email, reject_reason FROM routed")
+    chained = lambda select, **options: statement((*web, "ledger"), by_location_ctes(CHAINED, **options), select)
+    out["t1_batch_by_location"] = chained("SELECT listing_id, location_ord, email, reject_reason FROM routed")
+    out["t1_batch_by_components"] = out["t1_batch_by_location"]
+    out["t1_micro_batches_by_location"] = chained("SELECT listing_id, location_ord, location_ord // 2 AS batch_id, email, reject_reason FROM routed")
+    out["g4_micro_batch_summary"] = chained(summary)
+    out["t3_failed_locations"] = chained(
+        "SELECT location_ord, listing_id, 'handled' AS outcome FROM routed UNION ALL SELECT location_ord, NULL, 'failed' FROM bad",
+        excluded="(location_ord = 2 AND listing_id % 7 = 0) OR (location_ord = 5 AND listing_id % 5 = 0)",
+    )
     out["a7_leads_csv"] = statement(("listings",), {}, "SELECT CASE WHEN listing_id = 0 THEN '' ELSE CAST(listing_id AS VARCHAR) END AS listing_id, business_name, card_text, website FROM listings")
     cell = lambda n: f"CASE WHEN {n} = 0 THEN '' ELSE CAST({n} AS VARCHAR) END AS {n}"
     out["a10_results_table"] = statement(("listings",), {}, f"SELECT {cell('listing_id')}, {cell('location_ord')}, maps_url FROM listings")
     out["a16_summary_table"] = out["g4_summary"]
-    on_cards("t1_two_batches", "SELECT listing_id, location_ord, CASE WHEN location_ord < 12 THEN 0 ELSE 1 END AS batch_id FROM kept", dedup_ctes("collected"))
+    out["t1_two_batches"] = statement((*web, "ledger"), by_location_ctes(start_ledger=False), "SELECT listing_id, location_ord, CASE WHEN location_ord < 12 THEN 0 ELSE 1 END AS batch_id FROM kept")
     on_cards("t2_second_run", "SELECT listing_id, location_ord FROM kept WHERE location_ord >= 12", dedup_ctes("collected"))
     return out

@@ -25,7 +25,7 @@ from leadloom.operators.dedup import dedup_leads
 from leadloom.operators.joins import cut_lineage, shared_folder
 from leadloom.operators.parse import attributes, decode_html, page_tokens, parse_pages
 from leadloom.plans.batch import mark_reused, run_batch, run_single_location, skip_scrape
-from leadloom.sources.tables import cells, grown, read_leads_csv, read_pages, write_csv, write_results, write_summary
+from leadloom.sources.tables import append_rows, cells, grown, read_leads_csv, read_pages, read_rows, write_csv, write_results, write_summary
 from leadloom.streaming.incremental import process_batch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +132,7 @@ def batch(spark: SparkSession, sf: str):
     key = (spark.sparkContext.applicationId, sf, "batch")
     if key not in _shared:
         _shared[key] = run_batch(
-            view(spark, sf, "listings"), facts(spark, sf), view(spark, sf, "ledger"), REQUIRED, order="one_pass"
+            view(spark, sf, "listings"), facts(spark, sf), view(spark, sf, "ledger"), REQUIRED
         )
     return _shared[key]
 
@@ -176,6 +176,23 @@ def _(spark, sf):
     return pages.select("page_id", "url", decode_html(c("html").cast("binary")).alias("html"))
 
 
+@query("a1_charsets")
+def _(spark, sf):
+    """Pages as bytes in three charsets, with bytes that are wrong in theirs."""
+    pages, kind = read_pages(spark, f"{sf}/pages.parquet"), c("page_id") % 4
+    latin = F.regexp_replace("html", "[^\\x00-\\x7f\\xa0-\\xff]", "?")
+    as_bytes = (
+        F.when(kind == 0, F.encode("html", "UTF-8"))
+        .when(kind == 1, F.encode(latin, "ISO-8859-1"))
+        .when(kind == 2, F.concat(F.encode(latin, "ISO-8859-1"), F.unhex(lit("8081"))))
+        .otherwise(F.concat(F.encode("html", "UTF-8"), F.unhex(lit("FF"))))
+    )
+    header = F.when(kind == 1, "text/html; charset=ISO-8859-1").when(kind == 2, "text/html;Charset=\"Windows-1252\"; x=y").when(kind == 3, "text/html; charset=utf-8")
+    path = _output(spark)
+    pages.select("page_id", "url", as_bytes.alias("html"), header.alias("content_type")).write.parquet(path)
+    return read_pages(spark, path).select("page_id", "html")
+
+
 def _raw_url() -> Column:
     """Website spellings built from page addresses."""
     rest = F.regexp_replace(c("url"), "^https?://", "")
@@ -271,6 +288,17 @@ def _(spark, sf):
     return rows.toDF("company_name", "website", "company_email", "location", "services")
 
 
+@query("a12_replayed_append")
+def _(spark, sf):
+    """Two runs append to one table, the second one after an early end with other rows, and both are repeated."""
+    path, rows = _output(spark), view(spark, sf, "listings")
+    first = rows.filter(c("location_ord") < 12).select(c("business_name").alias("company_name"), "website")
+    second = rows.filter(c("location_ord") >= 12).select("website", c("maps_url").alias(" map "))
+    for run_id, part in (("one", first), ("two", second.limit(3)), ("two", second), ("one", first)):
+        append_rows(part, path, run_id)
+    return read_rows(spark, path)
+
+
 @query("a14_rejected")
 def _(spark, sf):
     rows = O.rejected_rows(batch(spark, sf).routed, REQUIRED, "listing_id")
@@ -642,6 +670,14 @@ def _(spark, sf):
     )
 
 
+@query("w1_dedup_by_components")
+def _(spark, sf):
+    """The same without the walk of the whole rest in one task, and with small components only."""
+    return dedup_leads(collected(spark, sf), ["location_ord", "card_ord"], local_rows=0, component_rows=5).select(
+        "listing_id", "business_name", "website"
+    )
+
+
 @query("w2_first_cards")
 def _(spark, sf):
     return S.result_cards(view(spark, sf, "listings"), 5).select("location_ord", "listing_id")
@@ -669,6 +705,30 @@ def _(spark, sf):
     return rows.select("listing_id", order, F.concat_ws("|", *[c(f"`{h}`") for h in rows.columns[1:]]).alias("row"))
 
 
+@query("f10_headers")
+def _(spark, sf):
+    """Headers per region, spelled with white space and, in some, a second time in capitals: those are refused."""
+    nations = table(spark, sf, "nation").select("n_regionkey", F.initcap("n_name").alias("name"), "n_nationkey").orderBy("n_nationkey")
+    found, rows = nations.collect(), []
+    for region in sorted({n.n_regionkey for n in found}):
+        headers = [f" {n.name} " for n in found if n.n_regionkey == region]
+        headers += [headers[0].strip().upper()] if region % 2 == 0 else [""]
+        try:
+            rows.append((region, ",".join(s.header for s in O.column_map([O.ColumnSpec(h, "email") for h in headers])), False))
+        except ValueError:
+            rows.append((region, None, True))
+    return spark.createDataFrame(rows, "region long, headers string, refused boolean")
+
+
+@query("j1_kept_facts")
+def _(spark, sf):
+    """Facts after a second run in which one page in a hundred has changed: only those are parsed."""
+    path, pages = _output(spark), view(spark, sf, "lead_pages")
+    before = F.when(c("page_id") % 100 == 0, F.concat(lit("<p>old@example.org</p>"), "html")).otherwise(c("html"))
+    R.refreshed_facts(pages.withColumn("html", before), path)
+    return R.refreshed_facts(pages, path).select("page_id", text_of(c("emails")).alias("emails"), "parsed")
+
+
 # --- projections and routing --------------------------------------------------------------
 
 
@@ -765,18 +825,69 @@ def _(spark, sf):
     return dedup_leads(second, ["location_ord", "card_ord"]).select("listing_id", "location_ord")
 
 
-@query("t1_batch_by_location")
-def _(spark, sf):
-    """The default batch over cards that often show another name than their page, with chains that lose sites to one name."""
+def _chained_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards of seven locations that often show another name than their page, with chains that lose sites to one name."""
     cards = view(spark, sf, "listings").withColumn("location_ord", (c("location_ord") % 7).cast("int"))
     other = F.concat(lit("Biz "), (c("listing_id") * 11 % 400).cast("string"))
     cards = cards.withColumn("card_text", F.when(c("listing_id") % 5 == 0, other).otherwise(c("card_text")))
     chain = F.concat(lit("Chain "), c("location_ord").cast("string"), lit("-"), (c("listing_id") % 4).cast("string"))
-    cards = cards.withColumn("business_name", F.when(c("listing_id") % 3 == 0, chain).otherwise(c("business_name")))
-    result = run_batch(cards, facts(spark, sf), view(spark, sf, "ledger"), REQUIRED)
+    return cards.withColumn("business_name", F.when(c("listing_id") % 3 == 0, chain).otherwise(c("business_name")))
+
+
+@query("t1_batch_by_location")
+def _(spark, sf):
+    result = run_batch(_chained_cards(spark, sf), facts(spark, sf), view(spark, sf, "ledger"), REQUIRED)
     return result.routed.select("listing_id", "location_ord", "email", "reject_reason")
 
 
+@query("t1_batch_by_components")
+def _(spark, sf):
+    """The same batch without the walk of a whole queue in one task: rounds, components, and guesses for larger ones."""
+    sizes = {"local_rows": 0, "component_rows": 100}
+    result = run_batch(_chained_cards(spark, sf), facts(spark, sf), view(spark, sf, "ledger"), REQUIRED, **sizes)
+    return result.routed.select("listing_id", "location_ord", "email", "reject_reason")
+
+
+def _micro_batches(spark: SparkSession, sf: str) -> str:
+    """The folder of a run over the same cards in four micro-batches of whole locations, the second one replayed."""
+
+    def build() -> str:
+        root, cards = _output(spark), cut_lineage(_chained_cards(spark, sf))
+        start = {"start_ledger": view(spark, sf, "ledger"), "buckets": 8, "most_parts": 2}
+        for batch_id in (0, 1, 1, 2, 3):
+            process_batch(cards.filter(F.shiftright("location_ord", 1) == batch_id), batch_id, facts(spark, sf), root, REQUIRED, **start)
+        return root
+
+    return _once(spark, sf, "micro_batches", build)
+
+
+@query("t1_micro_batches_by_location")
+def _(spark, sf):
+    """Leads of the micro-batches: scrapes and the ledger are remembered from one to the next."""
+    root = _micro_batches(spark, sf)
+    accepted, rejected = (read_table(spark, root, t) for t in ("accepted", "rejected"))
+    rows = accepted.withColumn("Reject Reason", lit(None).cast("string")).unionByName(rejected)
+    return rows.select("listing_id", "location_ord", c("batch_id").cast("int").alias("batch_id"), c("`Company Email`").alias("email"), c("`Reject Reason`").alias("reject_reason"))
+
+
+@query("g4_micro_batch_summary")
+def _(spark, sf):
+    """The summary that the last of the micro-batches leaves, without its times."""
+    return read_rows(spark, f"{_micro_batches(spark, sf)}/summary").filter(~c("label").isin("Time Generated", "Date Run"))
+
+
+@query("t3_failed_locations")
+def _(spark, sf):
+    """One micro-batch in which a location throws (a position that is no number), and one has cards without an address."""
+    cards = _chained_cards(spark, sf).withColumn("position", F.when((c("location_ord") == 2) & (c("listing_id") % 7 == 0), "n/a").otherwise(c("card_ord").cast("string")))
+    cards = cards.withColumn("maps_url", F.when(~((c("location_ord") == 5) & (c("listing_id") % 5 == 0)), c("maps_url")))
+    root = _output(spark)
+    process_batch(cards.withColumn("card_ord", c("position").cast("long")).drop("position"), 0, facts(spark, sf), root, REQUIRED, start_ledger=view(spark, sf, "ledger"), buckets=8)
+    handled = [read_table(spark, root, t).select("location_ord", "listing_id", lit("handled").alias("outcome")) for t in ("accepted", "rejected")]
+    failed = read_table(spark, root, "failed").select("location_ord", lit(None).cast("long").alias("listing_id"), lit("failed").alias("outcome"))
+    return handled[0].unionByName(handled[1]).unionByName(failed)
+
+
 def _output(spark: SparkSession) -> str:
     """A new folder for what a query writes and reads back."""
     return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
@@ -794,14 +905,14 @@ def _(spark, sf):
 def _(spark, sf):
     path = _output(spark)
     write_results(view(spark, sf, "listings").select("listing_id", "location_ord", "maps_url"), path)
-    return spark.read.parquet(path)
+    return read_rows(spark, path)
 
 
 @query("a16_summary_table")
 def _(spark, sf):
     path = _output(spark)
     write_summary(batch(spark, sf).summary, path)
-    return spark.read.parquet(path)
+    return read_rows(spark, path)
 
 
 @query("t1_two_batches")
@@ -809,6 +920,6 @@ def _(spark, sf):
     """Leads that two micro-batches handle, the second one against the ledger of the first."""
     root, rows = _output(spark), view(spark, sf, "listings")
     for batch_id, half in enumerate((c("location_ord") < 12, c("location_ord") >= 12)):
-        process_batch(rows.filter(half), batch_id, facts(spark, sf), root, REQUIRED, order="one_pass")
+        process_batch(rows.filter(half), batch_id, facts(spark, sf), root, REQUIRED, buckets=8)
     handled = [read_table(spark, root, t).select("listing_id", "location_ord", "batch_id") for t in ("accepted", "rejected")]
     return handled[0].unionByName(handled[1]).withColumn("batch_id", c("batch_id").cast("int"))

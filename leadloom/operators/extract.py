@@ -355,6 +355,6 @@ def _fact_columns() -> list[Column]:
     ]
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """One small row of extracted facts per page; a narrow job over the page scan."""
-    return parse_pages(with_final_url(pages)).select("*", *_shared_columns()).select(*_fact_columns())
+def page_facts(pages: DataFrame, *kept: str) -> DataFrame:
+    """One small row of extracted facts per page, with the columns ``kept`` of the page; a narrow job over the page scan."""
+    return parse_pages(with_final_url(pages)).select("*", *_shared_columns()).select(*_fact_columns(), *kept)

@@ -73,7 +73,8 @@ def growth(leads: DataFrame) -> DataFrame:
 
 
 def _known(ledger: DataFrame, kind: str, column: str) -> DataFrame:
-    return ledger.filter(F.col("kind") == kind).select(F.col("key").alias(column)).distinct()
+    # Only met by anti joins, where repeated keys do no harm; a bucketed ledger stays in its buckets.
+    return ledger.filter(F.col("kind") == kind).select(F.col("key").alias(column))
 
 
 def _without(df: DataFrame, keys: list[tuple[Column, str]], ledger: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,11 @@ def website_link(*hrefs: Column) -> Column:
 
 
 def collect_listings(
-    listings: DataFrame, max_results: int | None = None, ledger: DataFrame | None = None
+    listings: DataFrame, max_results: int | None = None, ledgers: Iterable[DataFrame] = ()
 ) -> DataFrame:
-    """Clean listing rows with a website, minus those the ledger already knows."""
+    """Clean listing rows with a website, minus those that a normalised ledger already knows."""
     cards = result_cards(listings, max_results).withColumn("business_name", clean_text(F.col("business_name")))
-    if ledger is not None:
+    for ledger in ledgers:
         cards = exclude_processed_cards(cards, ledger)
     return cards.select(
         "listing_id",

@@ -16,7 +16,9 @@ runs where the page was read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from encodings.aliases import aliases
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -337,9 +339,72 @@ def parsed_page(html: Column, columns: tuple[str, ...] = PARSED) -> Column:
     return let(name_table(), lambda names: let(_events(html, names), lambda events: build(events, names)))
 
 
-def decode_html(raw: Column) -> Column:
-    """Binary pages as text; bytes that are not UTF-8 become replacement characters."""
-    return F.make_valid_utf8(raw.cast("string"))
+def charset_key(name: Column) -> Column:
+    """A charset's name in the form that codecs are listed by."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
+
+
+def declared_charset(content_type: Column) -> Column:
+    """The charset that a Content-Type header names, else null."""
+    return F.nullif(F.regexp_extract(content_type, r"(?i);\s*charset\s*=\s*[\"']?([^\s;\"']+)", 1), F.lit(""))
+
+
+def sniffed_charset(raw: Column) -> Column:
+    """The charset that a byte-order mark or a meta tag near the start names, else null."""
+    head = F.decode(F.substring(raw, 1, 1024), "ISO-8859-1")
+    meta = F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([^\s\"'/>;]+)", 1), F.lit(""))
+    return F.when(head.startswith("\xef\xbb\xbf"), "utf-8").when(head.startswith("\xff\xfe") | head.startswith("\xfe\xff"), "utf-16").otherwise(meta)
+
+
+def _codecs() -> tuple[dict[str, str], dict[str, str]]:
+    """Names of charsets: those of one byte per character beyond ASCII with their characters 128 to 255, others with their codec."""
+    one_byte, others = {}, {}
+    for module in sorted(set(aliases.values())):
+        names = [module, *(a for a, m in aliases.items() if m == module)]
+        try:
+            text = bytes(range(256)).decode(module, "replace")
+        except (LookupError, UnicodeError):  # not a charset
+            continue
+        high = text[128:]
+        if len(text) == 256 and text[:128] == bytes(range(128)).decode() and (module == "ascii" or set(high) != {"\ufffd"}):
+            one_byte |= {name.lower(): high for name in names}
+        elif module.startswith(("utf_16", "utf_32", "shift_jis", "euc_", "gb", "big5", "cp9", "iso2022")):
+            others |= {name.lower(): module for name in names}
+    return one_byte, others
+
+
+@once_per_application
+def _one_byte_tables() -> Column:
+    return F.create_map(*[F.lit(x) for item in _codecs()[0].items() for x in item])
+
+
+def _by_codec(raw: Column, charset: Column) -> Column:
+    """Text of the rows whose charset has several bytes per character, null for others; runs in Python."""
+    codecs = _codecs()[1]
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else bytes(b).decode(codecs[n], "replace") for b, n in zip(raw, name, strict=True)], dtype=object)
+
+    key = charset_key(charset)
+    return decoded(F.when(key.isin(sorted(codecs)), raw), key)
+
+
+def decode_html(raw: Column, charset: Column | None = None, multibyte: bool = False) -> Column:
+    """Binary pages as text; bytes that are wrong in their charset become replacement characters.
+
+    Without a charset, or with an unknown one, a page is UTF-8. Charsets of one byte per character
+    stay in column functions. ``multibyte`` also takes UTF-16, UTF-32 and the East Asian ones,
+    which run in Python; without it pages in these are read as UTF-8.
+    """
+    utf8 = F.make_valid_utf8(raw.cast("string"))
+    if charset is None:
+        return utf8
+    table = F.try_element_at(_one_byte_tables(), F.coalesce(charset_key(charset), F.lit("")))
+    high = "".join(map(chr, range(128, 256)))
+    one_byte = F.call_function("translate", F.decode(raw, "ISO-8859-1"), F.lit(high), table)
+    text = F.when(table.isNotNull(), one_byte).otherwise(utf8)
+    return F.coalesce(_by_codec(raw, charset), text) if multibyte else text
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from leadloom.functions import patterns as P
 from leadloom.functions.arrays import let, ordered_concat, string_array, unique_ignoring_case
 from leadloom.functions.urls import candidate_urls, contact_guess, facebook_about_url, linkedin_candidates
 from leadloom.functions.text import stamp, strip
-from leadloom.operators.extract import discovered_socials, page_facts, social
+from leadloom.operators.extract import discovered_socials, page_facts, social, with_final_url
 from leadloom.operators.joins import cut_lineage
 from leadloom.operators.predicates import is_login_wall
+from leadloom.sources import versions
 
 _FACTS = (
     "final_url", "crawled_at", "company_name", "emails", "services", "phones", "location", "socials",
@@ -25,9 +26,39 @@ def facts_by_url(pages: DataFrame) -> DataFrame:
     Pages are parsed once; the small fact rows are what the lookups shuffle. The result is
     cut off from the parse because every lookup below reads it again.
     """
-    facts = page_facts(pages)
+    return cut_lineage(facts_of_pages(page_facts(pages)))
+
+
+def refreshed_facts(pages: DataFrame, path: str) -> DataFrame:
+    """Facts of all ``pages``, one row per page, parsing only those that are new or changed since the last call for ``path``.
+
+    ``path`` keeps the facts with a hash of what they were read from. Pages are compared by narrow
+    rows of page_id and hash; only the few changed ones are fetched whole and parsed. Pages that
+    are gone lose their facts. The new state is published in one step (see ``leadloom.sources.versions``),
+    so a run that ends early leaves the old one. Adds ``parsed``: the page was parsed in this call.
+    ``crawled_at`` is that of ``pages``. Rows without a page_id are parsed every time.
+    """
+    spark, pages = pages.sparkSession, with_final_url(pages)
+    parts = [F.coalesce(c, F.lit("")) for c in ("url", "final_url", "html")]
+    keyed = pages.withColumn("content", F.sha1(F.concat_ws("\0", *parts).cast("binary")))
+    known, key = versions.read(spark, path), ["page_id", "content"]
+    now = keyed.select(*key, "crawled_at").dropDuplicates(key)
+    changed = keyed if known is None else keyed.join(now.join(known.select(*key), key, "left_anti"), key, "left_semi")
+    if known is not None:
+        changed = changed.unionByName(keyed.filter(F.col("page_id").isNull()))
+    parsed = page_facts(changed, "content").withColumn("parsed", F.lit(True))
+    if known is not None:
+        same = known.drop("crawled_at", "parsed").join(now, key)
+        parsed = parsed.unionByName(same.withColumn("parsed", F.lit(False)))
+    versions.put(parsed, path, drop=lambda _: True)
+    versions.vacuum(spark, path)
+    return versions.read(spark, path).drop("content")
+
+
+def facts_of_pages(facts: DataFrame) -> DataFrame:
+    """Facts keyed by address, from facts by page (the lowest page_id wins)."""
     best = facts.groupBy("url").agg(F.min_by(F.struct(*_FACTS), "page_id").alias("facts"))
-    return cut_lineage(best.select("url", "facts.*"))
+    return best.select("url", "facts.*")
 
 
 def homepage_requests(sites: DataFrame) -> DataFrame:

@@ -14,27 +14,10 @@ from leadloom.operators.extract import exported_socials
 from leadloom.operators.predicates import is_missing
 
 # Exportable fields and the fields that come from a scraped page.
-BATCH_FIELDS = {
-    "maps_business_name": "Google Maps Business Name",
-    "source_url": "Website URL",
-    "rating": "Rating (stars)",
-    "review_count": "Review Count",
-    "company_name": "Scraped Company Name",
-    "email": "Company Email(s)",
-    "phone": "Phone Number(s)",
-    "location": "Location",
-    "services": "Services Offered",
-    "linkedin": "LinkedIn Profile",
-    "facebook": "Facebook Page",
-    "instagram": "Instagram Profile",
-    "twitter": "Twitter/X Profile",
-    "youtube": "YouTube Channel",
-    "tiktok": "TikTok Profile",
-    "all_socials": "All Social Links (comma-sep)",
-    "timestamp": "Scraped Timestamp",
-    "maps_url": "Google Maps URL",
-    "error": "Error",
-}
+BATCH_FIELDS = (
+    "maps_business_name", "source_url", "rating", "review_count", "company_name", "email", "phone", "location", "services",
+    "linkedin", "facebook", "instagram", "twitter", "youtube", "tiktok", "all_socials", "timestamp", "maps_url", "error",
+)
 SIMPLE_FIELDS = tuple(f for f in BATCH_FIELDS if f not in ("rating", "review_count"))
 SCRAPED_FIELDS = (
     "company_name", "email", "phone", "location", "services",

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.patterns import CONTACT_PAGES
 from leadloom.functions.text import name_key
 from leadloom.functions.urls import site_key
-from leadloom.operators.dedup import dedup_leads
+from leadloom.operators.dedup import LOCAL_ROWS, dedup_leads, with_component
 from leadloom.operators.joins import cut_lineage, filled
 from leadloom.operators.ledger import growth, normalized
 from leadloom.operators.listings import collect_listings
@@ -18,6 +21,10 @@ from leadloom.operators.records import company_records
 from leadloom.operators.routing import DEFAULT_COLUMNS, SCRAPED_FIELDS, enrich, route
 from leadloom.operators.summary import dropped_as_known, location_counters, run_summary
 
+# A remembered scrape: the site, the website whose page was read, and what it gave.
+SCRAPES_SCHEMA = ", ".join(f"{c} string" for c in ("site", "record_website", *SCRAPED_FIELDS))
+_ORDER = ["location_ord", "is_fresh", "card_ord"]
+
 
 @dataclass(frozen=True)
 class BatchResult:
@@ -25,6 +32,7 @@ class BatchResult:
     counters: DataFrame
     summary: DataFrame
     ledger: DataFrame  # rows to add
+    scrapes: DataFrame | None = None  # rows to add, if the run was given a memory of scrapes
 
 
 def mark_reused(leads: DataFrame, scraped: DataFrame) -> DataFrame:
@@ -56,29 +64,136 @@ def _first_scrapes(leads: DataFrame) -> DataFrame:
     )
 
 
-def kept_leads(found: DataFrame, reuse_first: bool = True) -> DataFrame:
-    """The leads a queue of locations keeps, with ``is_fresh`` and ``record_website``.
+def _remembered(leads: DataFrame, memory: DataFrame | None) -> DataFrame:
+    """``leads`` with ``memory``: what an earlier run scraped from their site, else null."""
+    fields = ("record_website", *SCRAPED_FIELDS)
+    if memory is None:
+        return leads.withColumn("memory", F.lit(None).cast("struct<" + ",".join(f"{c}:string" for c in fields) + ">"))
+    keyed = leads.withColumn("_site", filled(site_key(F.col("website")), *leads.columns))
+    known = memory.select(F.col("site").alias("_site"), F.struct(*fields).alias("memory"))
+    return keyed.join(known, "_site", "left").select(*leads.columns, "memory")
 
-    Location by location, leads known from kept leads of earlier locations go (by card name, name
-    or site), the others are scraped, and those whose site an earlier location scraped come first.
-    Which leads come first depends only on earlier locations, so all locations are decided at once
-    from a guess of ``is_fresh`` and again until the guess agrees with its outcome: each repeat
-    settles at least one more location that reuse reaches, and usually all of them. Without
-    ``reuse_first`` the first guess, nothing reused, is taken as it is.
+
+def _guessed(leads: DataFrame, scraped: DataFrame | None) -> DataFrame:
+    """``is_fresh`` and ``record_website`` by a guess of the scrapes of earlier locations; a remembered scrape goes before."""
+    own = leads.drop("is_fresh", "record_website")
+    if scraped is None:
+        marked = own.withColumn("is_fresh", F.lit(1)).withColumn("record_website", F.col("website"))
+    else:
+        marked = mark_reused(own, scraped)
+    return marked.withColumns({
+        "is_fresh": F.when(F.col("memory").isNotNull(), 0).otherwise(F.col("is_fresh")),
+        "record_website": F.coalesce("memory.record_website", "record_website"),
+    })
+
+
+def _walk_locations(leads: DataFrame) -> DataFrame:
+    """``location_ord, card_ord, is_fresh, record_website`` of the kept leads, location by location.
+
+    Partitions of ``leads(component, ...)`` hold whole components. A task holds one location of one.
     """
-    leads = found.withColumn("is_fresh", F.lit(1)).withColumn("record_website", F.col("website"))
-    while True:
-        kept = cut_lineage(
-            dedup_leads(leads, ["location_ord", "is_fresh", "card_ord"], seen_as=name_key(F.col("card_name")))
-        )
-        if not reuse_first:
-            return kept
-        scraped = _first_scrapes(dropped_as_known(leads, kept).filter(~F.col("known")))
-        guess = F.struct("is_fresh", "record_website")
-        marked = cut_lineage(mark_reused(leads.withColumn("_guess", guess).drop("is_fresh", "record_website"), scraped))
-        if marked.filter(~F.col("_guess").eqNullSafe(guess)).isEmpty():
+    keys = {"name": name_key(F.col("business_name")), "card": name_key(F.col("card_name")), "site": site_key(F.col("website"))}
+    columns = ["component", "location_ord", "card_ord", "website", "recalled", *keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, names, sites, scraped = object(), set(), set(), {}
+        place, here = None, []
+
+        def decided() -> list[tuple]:
+            new = [r for r in here if r[5] not in names and r[6] not in names and r[7] not in sites]
+            reused = {r[2]: r[4] or scraped.get(r[7]) for r in new}
+            order = sorted(new, key=lambda r: (reused[r[2]] is None, r[2]))
+            own_names, own_sites, kept = set(), set(), []
+            for _, at, card_ord, website, _, name, _, site in order:
+                if name in own_names or site in own_sites:
+                    continue
+                own_names.update(() if name is None else (name,))
+                own_sites.update(() if site is None else (site,))
+                kept.append((at, card_ord, 1 if reused[card_ord] is None else 0, reused[card_ord] or website))
+            names.update(own_names)
+            sites.update(own_sites)
+            # Of several spellings in one location the last one is remembered.
+            scraped.update({r[7]: r[3] for r in sorted(new, key=lambda r: r[2]) if reused[r[2]] is None and r[7] is not None})
             return kept
-        leads = marked.drop("_guess")
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names_out)
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != place:
+                    out += decided() if here else []
+                    if row[0] != component:
+                        component, names, sites, scraped = row[0], set(), set(), {}
+                    place, here = row[:2], []
+                here.append(row)
+            if out:
+                yield batch_of(out)
+        if here and (out := decided()):
+            yield batch_of(out)
+
+    order = [leads.schema[c].dataType for c in ("location_ord", "card_ord")]
+    names_out = ["location_ord", "card_ord", "is_fresh", "record_website"]
+    types = [pa.int32() if order[0].simpleString() == "int" else pa.int64(), pa.int32() if order[1].simpleString() == "int" else pa.int64(), pa.int32(), pa.string()]
+    rows = leads.withColumns({**keys, "recalled": F.col("memory.record_website")}).select(*columns)
+    schema = f"location_ord {order[0].simpleString()}, card_ord {order[1].simpleString()}, is_fresh int, record_website string"
+    return rows.sortWithinPartitions("component", "location_ord", "card_ord").mapInArrow(run, schema)
+
+
+def _kept_by_guess(leads: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(leads kept under their guess, all leads under the guess that follows, the old one as ``was``)."""
+    kept = cut_lineage(dedup_leads(leads, _ORDER, seen_as=name_key(F.col("card_name")), **options))
+    scraped = _first_scrapes(dropped_as_known(leads, kept).filter(~F.col("known") & F.col("memory").isNull()))
+    guess = F.struct("is_fresh", "record_website")
+    return kept, cut_lineage(_guessed(leads.withColumn("was", guess), scraped))
+
+
+def kept_leads(
+    found: DataFrame, reuse_first: bool = True, memory: DataFrame | None = None, local_rows: int = LOCAL_ROWS, component_rows: int = LOCAL_ROWS
+) -> DataFrame:
+    """The leads a queue of locations keeps, with ``is_fresh``, ``record_website`` and ``memory``.
+
+    Location by location, leads known from kept leads of earlier locations go (by card name, name
+    or site), the others are scraped, and those whose site an earlier location (or, by ``memory``,
+    an earlier run) scraped come first. A queue of up to ``local_rows`` leads is walked in one task.
+
+    For a larger one, which leads come first depends only on earlier locations, so all locations
+    are decided at once from a guess of ``is_fresh``. Where the guess disagrees with its outcome,
+    only the connected components of such leads are decided again: those of up to
+    ``component_rows`` leads location by location inside a task, larger ones by guesses until they
+    agree, each of which settles one more location that reuse reaches. Without ``reuse_first`` the
+    first guess is taken as it is.
+    """
+    options = {"local_rows": local_rows, "component_rows": component_rows}
+    leads = _guessed(_remembered(found, memory), None)
+    if not reuse_first:
+        return cut_lineage(dedup_leads(leads, _ORDER, seen_as=name_key(F.col("card_name")), **options))
+    leads = cut_lineage(leads)
+    place = ["location_ord", "card_ord"]
+    plain = leads.drop("is_fresh", "record_website")
+    if leads.count() <= local_rows:
+        return cut_lineage(plain.join(_walk_locations(leads.withColumn("component", F.lit(0)).coalesce(1)), place))
+    kept, marked = _kept_by_guess(leads, **options)
+    wrong = ~F.col("was").eqNullSafe(F.struct("is_fresh", "record_website"))
+    if marked.filter(wrong).isEmpty():
+        return kept
+    name = lambda c: F.concat(F.lit("n"), name_key(F.col(c)))
+    labelled = cut_lineage(with_component(marked, name("business_name"), F.concat(F.lit("s"), site_key(F.col("website"))), name("card_name")))
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("leads"), F.max(wrong).alias("wrong")).filter("wrong")
+    touched = labelled.join(sizes.select("component", "leads"), "component")
+    settled = kept.join(touched.select(*place), place, "left_anti")
+    small = touched.filter(F.col("leads") <= component_rows).drop("leads", "was", "is_fresh", "record_website")
+    walked = small.drop("component").join(_walk_locations(small.repartition("component")), place)
+    leads = cut_lineage(touched.filter(F.col("leads") > component_rows).drop("component", "leads", "was"))
+    pieces = [settled, walked]
+    while not leads.isEmpty():
+        kept, marked = _kept_by_guess(leads, **options)
+        if marked.filter(wrong).isEmpty():
+            pieces.append(kept)
+            break
+        leads = marked.drop("was")
+    return cut_lineage(reduce(DataFrame.unionByName, pieces))
 
 
 def run_batch(
@@ -90,29 +205,50 @@ def run_batch(
     mode: str = "scraped",
     order: str = "by_location",
     seconds: float | None = None,
+    remembered: list[DataFrame] = (),
+    memory: DataFrame | None = None,
+    **options,
 ) -> BatchResult:
     """Run a queue of locations.
 
     ``order``: "by_location" puts leads with a reused scrape first in their location; "one_pass"
-    leaves them where they are (see ``kept_leads``). Names and sites alone decide which leads stay, so only the sites of kept
-    leads are turned into records.
+    leaves them where they are (see ``kept_leads``). Names and sites alone decide which leads stay,
+    so only the sites of kept leads are turned into records. ``remembered``: normalised ledgers
+    beside ``ledger``, each met as it is stored. ``memory``: scrapes of earlier runs (see
+    ``SCRAPES_SCHEMA``), one row per site; with it the result holds the scrapes to add.
     """
-    found = cut_lineage(collect_listings(listings, max_results, normalized(ledger) if ledger is not None else None))
-    kept = kept_leads(found, reuse_first=order == "by_location")
-    records = company_records(kept.select(F.col("record_website").alias("website")), facts, most_contacts=CONTACT_PAGES)
+    found = collect_listings(listings, max_results, [*([normalized(ledger)] if ledger is not None else []), *remembered])
+    found = cut_lineage(found)
+    kept = kept_leads(found, reuse_first=order == "by_location", memory=memory, **options)
+    asked = kept.filter(F.col("memory").isNull()).select(F.col("record_website").alias("website"))
+    scraped = None
+    if memory is not None:
+        new = _remembered(dropped_as_known(found, kept).filter(~F.col("known")).drop("known"), memory).filter(F.col("memory").isNull())
+        scraped = cut_lineage(_first_scrapes(new).select("site", F.col("record_website").alias("website")))
+        asked = asked.unionByName(scraped.select("website"))
+    records = company_records(asked, facts, most_contacts=CONTACT_PAGES)
+    if memory is not None:
+        records = cut_lineage(records)  # leads and scrapes both look theirs up
+        scraped = cut_lineage(enrich(scraped, records).select("site", F.col("website").alias("record_website"), *SCRAPED_FIELDS))
     enriched = _with_records(kept, records)
     routed = cut_lineage(route(enriched, columns, mode))
     counters = cut_lineage(location_counters(found, kept, routed))
-    return BatchResult(routed, counters, run_summary(counters, seconds), growth(kept))
+    return BatchResult(routed, counters, run_summary(counters, seconds), growth(kept), scraped)
 
 
 def _with_records(kept: DataFrame, records: DataFrame) -> DataFrame:
-    """Enrich by the website whose record applies; a reused scrape brings no error along."""
+    """Enrich by the website whose record applies, or by the remembered scrape; a reused scrape brings no error along."""
     swapped = kept.withColumn("own_website", F.col("website")).withColumn("website", F.col("record_website"))
     out = enrich(swapped, records)
-    return out.withColumn("website", F.col("own_website")).withColumn(
-        "error", F.when(F.col("is_fresh") == 1, F.col("error")).otherwise(F.lit(""))
-    ).drop("own_website", "record_website", "is_fresh")
+
+    def field(name: str) -> Column:
+        return F.when(F.col("memory").isNotNull(), F.col(f"memory.{name}")).otherwise(F.col(name))
+
+    return out.withColumns({
+        "website": F.col("own_website"),
+        "error": F.when(F.col("is_fresh") == 1, F.col("error")).otherwise(F.lit("")),
+        **{name: field(name) for name in SCRAPED_FIELDS},
+    }).drop("own_website", "record_website", "is_fresh", "memory")
 
 
 def run_single_location(listings: DataFrame, facts: DataFrame, columns=DEFAULT_COLUMNS, max_results: int | None = None) -> DataFrame:
@@ -124,7 +260,7 @@ def run_single_location(listings: DataFrame, facts: DataFrame, columns=DEFAULT_C
 
 def skip_scrape(listings: DataFrame, max_results: int | None = None, ledger: DataFrame | None = None) -> DataFrame:
     """Collect only: the clean listing rows without any page work."""
-    return collect_listings(listings, max_results, ledger).drop("card_name")
+    return collect_listings(listings, max_results, [] if ledger is None else [ledger]).drop("card_name")
 
 
-__all__ = ["BatchResult", "SCRAPED_FIELDS", "kept_leads", "mark_reused", "run_batch", "run_single_location", "skip_scrape"]
+__all__ = ["BatchResult", "SCRAPED_FIELDS", "SCRAPES_SCHEMA", "kept_leads", "mark_reused", "run_batch", "run_single_location", "skip_scrape"]

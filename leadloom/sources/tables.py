@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
 from leadloom.functions.arrays import joined
-from leadloom.operators.parse import decode_html
+from leadloom.operators.parse import declared_charset, decode_html, sniffed_charset
+from leadloom.sources import versions
+
 
+def read_pages(spark: SparkSession, path: str, sniff: bool = False, multibyte: bool = False) -> DataFrame:
+    """Crawled pages; raw bytes are decoded, bad ones replaced.
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Crawled pages; raw bytes are decoded, bad ones replaced."""
+    The charset is the one that the column ``content_type``, if there is one, names; UTF-8 without.
+    With ``sniff`` a byte-order mark or a meta tag is asked before UTF-8 is taken; ``multibyte`` see ``decode_html``.
+    """
     pages = spark.read.parquet(path)
     if isinstance(pages.schema["html"].dataType, BinaryType):
-        pages = pages.withColumn("html", decode_html(F.col("html")))
+        raw, charset = F.col("html"), F.lit(None).cast("string")
+        if "content_type" in pages.columns:
+            charset = declared_charset(F.col("content_type"))
+        if sniff:
+            charset = F.coalesce(charset, sniffed_charset(raw))
+        known = sniff or "content_type" in pages.columns
+        pages = pages.withColumn("html", decode_html(raw, charset if known else None, multibyte))
     return pages
 
 
@@ -48,10 +60,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_results(df: DataFrame, path: str) -> bool:
-    """Replace a results table by the cells of ``df``; no rows leave the table untouched."""
+    """Replace a results table by the cells of ``df``; no rows leave the table untouched.
+
+    The new rows are written beside the old ones and then published, so readers (``read_rows``)
+    see either and a run that ends in between leaves the old table.
+    """
     if df.isEmpty():
         return False
-    cells(df).write.mode("overwrite").parquet(path)
+    versions.put(cells(df), path, drop=lambda _: True)
     return True
 
 
@@ -61,25 +77,24 @@ def grown(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(renamed, allowMissingColumns=True).na.fill("")
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append rows as cell text; columns the table does not know yet are added, old files stay as they are."""
+def append_rows(df: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Append rows as cell text; columns the table does not know yet are added, old files stay as they are.
+
+    Rows appended under a ``run_id`` take the place of those that this run appended before.
+    """
     named = df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns])
-    cells(named).write.mode("append").parquet(path)
+    versions.put(cells(named), path, uuid.uuid4().hex if run_id is None else f"run {run_id}")
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table that grew columns over time, blanks as ""; None if it does not exist yet."""
-    try:
-        return spark.read.option("mergeSchema", True).parquet(path).na.fill("")
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    """A results, summary or growing table, blanks as "" and known columns first; None if it does not exist yet."""
+    rows = versions.read(spark, path, merge=True)
+    return None if rows is None else rows.na.fill("")
 
 
 def write_summary(summary: DataFrame, path: str) -> bool:
-    """Replace the summary table; an empty summary changes nothing."""
+    """Replace the summary table as ``write_results`` does; an empty summary changes nothing."""
     if summary.isEmpty():
         return False
-    summary.write.mode("overwrite").parquet(path)
+    versions.put(summary, path, drop=lambda _: True)
     return True

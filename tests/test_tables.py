@@ -41,7 +41,7 @@ def test_results_are_replaced_unless_empty(spark, tmp_path):
     df = spark.createDataFrame([(["a", "b"], 0, None, True), ([], 2, "x", False)], "l array<string>, n int, s string, b boolean")
     assert T.write_results(df, path)
     assert not T.write_results(df.limit(0), path)
-    assert rows(spark.read.parquet(path)) == [("", "2", "x", ""), ("a, b", "", "", "True")]
+    assert rows(T.read_rows(spark, path)) == [("", "2", "x", ""), ("a, b", "", "", "True")]
 
 
 def test_append_grows_columns(spark, tmp_path):
@@ -64,7 +64,7 @@ def test_summary_is_replaced_unless_empty(spark, tmp_path):
     path = str(tmp_path / "summary")
     summary = spark.createDataFrame([("Qualified Leads", "3")], "label string, value string")
     assert T.write_summary(summary, path) and not T.write_summary(summary.limit(0), path)
-    assert rows(spark.read.parquet(path)) == [("Qualified Leads", "3")]
+    assert rows(T.read_rows(spark, path)) == [("Qualified Leads", "3")]
 
 
 def test_pages_as_bytes(spark, tmp_path):
