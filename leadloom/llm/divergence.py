@@ -223,7 +223,7 @@ def kept_terms(chunks: DataFrame, least_documents: int = 30, filter_bits: int =
 
 
 def term_counts(chunks: DataFrame, terms: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``lang, source, item, n``: occurrences of the kept terms."""
+    """``lang, item, n``: occurrences of the kept terms, by source."""
     kept = filter_of(terms, filter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +235,11 @@ def term_counts(chunks: DataFrame, terms: DataFrame, filter_bits: int = FILTER_B
             named = pa.array(c.sources).take(pa.array(cells // len(c.terms))), pa.array(c.terms, pa.binary()).take(pa.array(cells % len(c.terms)))
             yield pa.RecordBatch.from_arrays([pa.array([c.lang]).take(pa.array(np.zeros(len(cells), np.int64))), *named, pa.array(n)], ["lang", "source", "item", "n"])
 
-    found = chunks.mapInArrow(run, "lang string, source string, item binary, n long")
-    summed = found.groupBy("lang", "source", "item").agg(F.sum("n").alias("n"))
-    return summed.join(terms.select("lang", "item"), ["lang", "item"], "left_semi").select("lang", "source", "item", "n")
+    # Chunks have added up their rows. Dealt by term, all that follows needs no further shuffle of them.
+    found = chunks.mapInArrow(run, "lang string, source string, item binary, n long").repartition("lang", "item")
+    summed = found.groupBy("lang", "item", "source").agg(F.sum("n").alias("n"))
+    per_term = summed.groupBy("lang", "item").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("n"))
+    return per_term.join(terms.select("lang", "item"), ["lang", "item"], "left_semi")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -294,24 +296,22 @@ def audit(
     counts = written(term_counts(chunks, terms, filter_bits))
     forget(chunks)
 
-    groups = rows.select("lang", "source").distinct()
-    sizes = groups.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-    sizes = written(sizes.join(terms.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").na.fill(0, ["total", "v"]))
-    shares = counts.join(sizes, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
-    whole = sizes.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    of_lang = counts.groupBy("lang", "item").agg(F.sum("n").alias("lang_n"))
+    # One row per language: its sources in order with their sums, the number of its terms, and its sum.
+    totals = counts.select("lang", F.explode("n").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    sizes = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").na.fill(0, ["total"])
+    members = sizes.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("members"), F.sum("total").alias("lang_total"))
+    members = written(members.join(counts.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").drop("n"))
+
+    p = F.transform("members", lambda m: F.struct(m["source"].alias("source"), share(F.coalesce(F.try_element_at("n", m["source"]), F.lit(0)), m["total"], F.col("v")).alias("p")))
+    of_lang = share(F.aggregate(F.map_values("n"), F.lit(0).cast("long"), lambda a, x: a + x), F.col("lang_total"), F.col("v"))
+    shares = counts.join(members, "lang").select("lang", "item", "n", p.alias("p"), of_lang.alias("q"))
     typical = (
-        shares.join(of_lang, ["lang", "item"]).join(whole, "lang")
-        .withColumn("value", F.col("p") - share(F.col("lang_n"), F.col("lang_total"), F.col("v")))
-        .filter("value > 0").select("lang", "source", F.lit("term").alias("part"), F.col("item").cast("string").alias("item"), "value")
+        shares.select("lang", "item", "q", F.explode(F.filter("p", lambda x: F.map_contains_key("n", x["source"]))).alias("own"))
+        .select("lang", F.col("own.source").alias("source"), F.lit("term").alias("part"), F.col("item").cast("string").alias("item"), (F.col("own.p") - F.col("q")).alias("value"))
+        .filter("value > 0")
     )
 
-    # One row per language: its sources in order, each with the share of a term it does not have.
-    absent = F.when(F.col("v") > 0, share(F.lit(0), F.col("total"), F.greatest("v", F.lit(1)))).otherwise(0)
-    members = sizes.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", absent.alias("p")))).alias("members"))
-    present = shares.groupBy("lang", "item").agg(F.map_from_entries(F.collect_list(F.struct("source", "p"))).alias("present"))
-    dense = F.transform("members", lambda m: F.coalesce(F.try_element_at("present", m["source"]), m["p"]))
-    sums = _distances(present.join(members, "lang").select("lang", dense.alias("p")), tile)
+    sums = _distances(shares.select("lang", F.col("p.p").alias("p")), tile)
     sides = members.select("lang", "members", F.posexplode("members").alias("i", "one"))
     pairs = sides.select("lang", "i", F.col("one.source").alias("source"), F.posexplode("members").alias("j", "other")).filter("i != j")
     apart = (
