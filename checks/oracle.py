@@ -795,7 +795,7 @@ UNION ALL SELECT business_id, 4, {li_url} || '/about' FROM biz WHERE website <>
     chained = lambda select, **options: statement((*web, "ledger"), by_location_ctes(CHAINED, **options), select)
     out["t1_batch_by_location"] = chained("SELECT listing_id, location_ord, email, reject_reason FROM routed")
     out["t1_batch_by_components"] = out["t1_batch_by_location"]
-    out["t1_micro_batches_by_location"] = chained("SELECT listing_id, location_ord, location_ord // 2 AS batch_id, email, reject_reason FROM routed")
+    out["t1_micro_batches_by_location"] = chained("SELECT listing_id, location_ord, location_ord // 3 AS batch_id, email, reject_reason FROM routed")
     out["g4_micro_batch_summary"] = chained(summary)
     out["t3_failed_locations"] = chained(
         "SELECT location_ord, listing_id, 'handled' AS outcome FROM routed UNION ALL SELECT location_ord, NULL, 'failed' FROM bad",

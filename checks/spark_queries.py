@@ -842,20 +842,19 @@ def _(spark, sf):
 
 @query("t1_batch_by_components")
 def _(spark, sf):
-    """The same batch without the walk of a whole queue in one task: rounds, components, and guesses for larger ones."""
-    sizes = {"local_rows": 0, "component_rows": 100}
-    result = run_batch(_chained_cards(spark, sf), facts(spark, sf), view(spark, sf, "ledger"), REQUIRED, **sizes)
+    """The same batch without the walk of a whole queue in one task: rounds, then components with a wrong guess."""
+    result = run_batch(_chained_cards(spark, sf), facts(spark, sf), view(spark, sf, "ledger"), REQUIRED, local_rows=0)
     return result.routed.select("listing_id", "location_ord", "email", "reject_reason")
 
 
 def _micro_batches(spark: SparkSession, sf: str) -> str:
-    """The folder of a run over the same cards in four micro-batches of whole locations, the second one replayed."""
+    """The folder of a run over the same cards in three micro-batches of whole locations, the second one replayed."""
 
     def build() -> str:
         root, cards = _output(spark), cut_lineage(_chained_cards(spark, sf))
-        start = {"start_ledger": view(spark, sf, "ledger"), "buckets": 8, "most_parts": 2}
-        for batch_id in (0, 1, 1, 2, 3):
-            process_batch(cards.filter(F.shiftright("location_ord", 1) == batch_id), batch_id, facts(spark, sf), root, REQUIRED, **start)
+        start = {"start_ledger": view(spark, sf, "ledger"), "buckets": 8, "most_parts": 1}
+        for batch_id in (0, 1, 1, 2):
+            process_batch(cards.filter(F.floor(c("location_ord") / 3) == batch_id), batch_id, facts(spark, sf), root, REQUIRED, **start)
         return root
 
     return _once(spark, sf, "micro_batches", build)

@@ -9,6 +9,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from leadloom.functions.patterns import CONTACT_PAGES
 from leadloom.functions.text import name_key
@@ -88,57 +89,60 @@ def _guessed(leads: DataFrame, scraped: DataFrame | None) -> DataFrame:
 
 
 def _walk_locations(leads: DataFrame) -> DataFrame:
-    """``location_ord, card_ord, is_fresh, record_website`` of the kept leads, location by location.
+    """The kept leads with ``is_fresh`` and ``record_website``, location by location.
 
     Partitions of ``leads(component, ...)`` hold whole components. A task holds one location of one.
     """
     keys = {"name": name_key(F.col("business_name")), "card": name_key(F.col("card_name")), "site": site_key(F.col("website"))}
-    columns = ["component", "location_ord", "card_ord", "website", "recalled", *keys]
+    given = {f"_{k}": c for k, c in {**keys, "component": F.col("component"), "recalled": F.col("memory.record_website")}.items()}
+    rows = leads.withColumns(given).drop("component", "is_fresh", "record_website")
+    kept_columns = [c for c in rows.columns if c not in given]
+    read = ["_component", "location_ord", "card_ord", "website", "_recalled", "_name", "_card", "_site"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         component, names, sites, scraped = object(), set(), set(), {}
-        place, here = None, []
+        place, here = None, []  # rows of a location: its keys, and where it stands
 
-        def decided() -> list[tuple]:
+        def decided() -> Iterator[tuple[tuple[int, int], int, str]]:
             new = [r for r in here if r[5] not in names and r[6] not in names and r[7] not in sites]
-            reused = {r[2]: r[4] or scraped.get(r[7]) for r in new}
-            order = sorted(new, key=lambda r: (reused[r[2]] is None, r[2]))
-            own_names, own_sites, kept = set(), set(), []
-            for _, at, card_ord, website, _, name, _, site in order:
+            # Of a site that was scraped before: the website whose scrape is used.
+            reused = [(r[4] or scraped.get(r[7]), r) for r in new]
+            own_names, own_sites = set(), set()
+            for used, (_, _, _, website, _, name, _, site, at) in sorted(reused, key=lambda x: (x[0] is None, x[1][2])):
                 if name in own_names or site in own_sites:
                     continue
                 own_names.update(() if name is None else (name,))
                 own_sites.update(() if site is None else (site,))
-                kept.append((at, card_ord, 1 if reused[card_ord] is None else 0, reused[card_ord] or website))
+                yield at, int(used is None), used or website
             names.update(own_names)
             sites.update(own_sites)
             # Of several spellings in one location the last one is remembered.
-            scraped.update({r[7]: r[3] for r in sorted(new, key=lambda r: r[2]) if reused[r[2]] is None and r[7] is not None})
-            return kept
+            scraped.update({r[7]: r[3] for used, r in sorted(reused, key=lambda x: x[1][2]) if used is None and r[7] is not None})
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names_out)
+        held: dict[int, pa.RecordBatch] = {}
 
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        def taken(kept: list[tuple[tuple[int, int], int, str]]) -> Iterator[pa.RecordBatch]:
+            for number in sorted({at[0] for at, _, _ in kept}):
+                own = [(at[1], fresh, website) for at, fresh, website in kept if at[0] == number]
+                index, fresh, website = (list(c) for c in zip(*own, strict=True))
+                part = held[number].select(kept_columns).take(pa.array(index))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fresh, pa.int32()), pa.array(website, pa.string())], names=[*kept_columns, "is_fresh", "record_website"])
+
+        for number, batch in enumerate(batches):
+            held[number], kept = batch, []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in read), strict=True)):
                 if row[:2] != place:
-                    out += decided() if here else []
+                    kept += decided()
                     if row[0] != component:
                         component, names, sites, scraped = row[0], set(), set(), {}
                     place, here = row[:2], []
-                here.append(row)
-            if out:
-                yield batch_of(out)
-        if here and (out := decided()):
-            yield batch_of(out)
+                here.append((*row, (number, i)))
+            yield from taken(kept)
+            held = {n: b for n, b in held.items() if n >= here[0][-1][0]} if here else {}
+        yield from taken(list(decided()))
 
-    order = [leads.schema[c].dataType for c in ("location_ord", "card_ord")]
-    names_out = ["location_ord", "card_ord", "is_fresh", "record_website"]
-    types = [pa.int32() if order[0].simpleString() == "int" else pa.int64(), pa.int32() if order[1].simpleString() == "int" else pa.int64(), pa.int32(), pa.string()]
-    rows = leads.withColumns({**keys, "recalled": F.col("memory.record_website")}).select(*columns)
-    schema = f"location_ord {order[0].simpleString()}, card_ord {order[1].simpleString()}, is_fresh int, record_website string"
-    return rows.sortWithinPartitions("component", "location_ord", "card_ord").mapInArrow(run, schema)
+    schema = StructType([*(rows.schema[c] for c in kept_columns), StructField("is_fresh", IntegerType()), StructField("record_website", StringType())])
+    return rows.sortWithinPartitions("_component", "location_ord", "card_ord").mapInArrow(run, schema)
 
 
 def _kept_by_guess(leads: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -169,23 +173,22 @@ def kept_leads(
     leads = _guessed(_remembered(found, memory), None)
     if not reuse_first:
         return cut_lineage(dedup_leads(leads, _ORDER, seen_as=name_key(F.col("card_name")), **options))
-    leads = cut_lineage(leads)
-    place = ["location_ord", "card_ord"]
-    plain = leads.drop("is_fresh", "record_website")
-    if leads.count() <= local_rows:
-        return cut_lineage(plain.join(_walk_locations(leads.withColumn("component", F.lit(0)).coalesce(1)), place))
+    if found.count() <= local_rows:
+        return cut_lineage(_walk_locations(leads.withColumn("component", F.lit(0)).coalesce(1)))
     kept, marked = _kept_by_guess(leads, **options)
     wrong = ~F.col("was").eqNullSafe(F.struct("is_fresh", "record_website"))
     if marked.filter(wrong).isEmpty():
         return kept
+    place = ["location_ord", "card_ord"]
     name = lambda c: F.concat(F.lit("n"), name_key(F.col(c)))
-    labelled = cut_lineage(with_component(marked, name("business_name"), F.concat(F.lit("s"), site_key(F.col("website"))), name("card_name")))
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("leads"), F.max(wrong).alias("wrong")).filter("wrong")
-    touched = labelled.join(sizes.select("component", "leads"), "component")
-    settled = kept.join(touched.select(*place), place, "left_anti")
-    small = touched.filter(F.col("leads") <= component_rows).drop("leads", "was", "is_fresh", "record_website")
-    walked = small.drop("component").join(_walk_locations(small.repartition("component")), place)
-    leads = cut_lineage(touched.filter(F.col("leads") > component_rows).drop("component", "leads", "was"))
+    narrow = marked.select(*place, wrong.alias("wrong"), name("business_name").alias("name"), F.concat(F.lit("s"), site_key(F.col("website"))).alias("site"), name("card_name").alias("card"))
+    labelled = cut_lineage(with_component(narrow, F.col("name"), F.col("site"), F.col("card")).select(*place, "wrong", "component"))
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("leads"), F.max("wrong").alias("wrong")).filter("wrong")
+    touched = cut_lineage(labelled.drop("wrong").join(sizes.select("component", "leads"), "component"))
+    settled = kept.join(touched, place, "left_anti")
+    again = marked.drop("was").join(touched, place)
+    walked = _walk_locations(again.filter(F.col("leads") <= component_rows).drop("leads").repartition("component"))
+    leads = cut_lineage(again.filter(F.col("leads") > component_rows).drop("component", "leads"))
     pieces = [settled, walked]
     while not leads.isEmpty():
         kept, marked = _kept_by_guess(leads, **options)
@@ -229,7 +232,7 @@ def run_batch(
     records = company_records(asked, facts, most_contacts=CONTACT_PAGES)
     if memory is not None:
         records = cut_lineage(records)  # leads and scrapes both look theirs up
-        scraped = cut_lineage(enrich(scraped, records).select("site", F.col("website").alias("record_website"), *SCRAPED_FIELDS))
+        scraped = enrich(scraped, records).select("site", F.col("website").alias("record_website"), *SCRAPED_FIELDS)
     enriched = _with_records(kept, records)
     routed = cut_lineage(route(enriched, columns, mode))
     counters = cut_lineage(location_counters(found, kept, routed))

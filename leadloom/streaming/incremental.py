@@ -100,53 +100,48 @@ def _error_text(problem: Exception) -> str:
 def _isolated(listings: DataFrame, run: Callable[[DataFrame, _Done], BatchResult]) -> _Done:
     """Run all locations at once; if that throws, halve the queue until the locations that throw stand alone.
 
-    The halves run in the order of the queue, each against what went through before it, so the
-    others end as in a run without the failing ones. A location that throws alone becomes a failed
-    one with its error. If all of several locations throw, the fault is not theirs: the error is raised.
+    First the listings are read: a location whose rows cannot be read is found by reading only. What
+    was read runs as a whole, and only if that throws the halves run, in the order of the queue,
+    each against what went through before it; so the others end as in a run without the failing
+    ones. A location that throws alone becomes a failed one with its error. If all of several
+    locations throw, the fault is not theirs: the error is raised.
     """
     spark, done = listings.sparkSession, _Done([], [], [])
 
-    def attempt(rows: DataFrame) -> None:
-        rows = cut_lineage(rows)
-        failed = cut_lineage(failed_locations(rows))
-        bad = failed.select(F.col("location_ord").alias("_bad"))
-        result = run(rows.join(bad, F.col("location_ord").eqNullSafe(F.col("_bad")), "left_anti"), done)
-        done.results.append(result)
-        done.failed.append(failed.select("location_ord", "search_location", "bad_rows", "error"))
-
     def own(places: list) -> Column:
         known = [p for p in places if p is not None]
         here = F.col("location_ord").isin(known) if known else F.lit(False)
         return (here | F.col("location_ord").isNull()) if None in places else F.coalesce(here, F.lit(False))
 
-    def halved(places: list) -> None:
+    def by_halves(rows: DataFrame, step: Callable[[DataFrame], None], places: list | None = None) -> None:
         try:
-            attempt(listings.filter(own(places)))
-        except AnalysisException:
+            step(rows if places is None else rows.filter(own(places)))
+        except AnalysisException:  # a fault of the job, not of a location
             raise
         except (PySparkException, Py4JJavaError) as problem:
-            if len(places) == 1:
+            whole = places is None
+            if whole:  # one number per location of the batch
+                places = [r[0] for r in rows.select("location_ord").distinct().orderBy(F.asc_nulls_first("location_ord")).collect()]
+            if len(places) > 1:
+                by_halves(rows, step, places[: len(places) // 2])
+                by_halves(rows, step, places[len(places) // 2 :])
+            elif places:
                 done.thrown.append(problem)
-                row = [(places[0], None, 0, _error_text(problem))]
-                done.failed.append(spark.createDataFrame(row, FAILED_SCHEMA))
-            else:
-                halved(places[: len(places) // 2])
-                halved(places[len(places) // 2 :])
+                done.failed.append(spark.createDataFrame([(places[0], None, 0, _error_text(problem))], FAILED_SCHEMA))
+            if whole and (not places or len(done.thrown) == len(places) > 1):
+                raise
 
-    try:
-        attempt(listings)
-    except AnalysisException:  # a fault of the job, not of a location
-        raise
-    except (PySparkException, Py4JJavaError) as problem:
-        # One number per location of the batch.
-        places = [r[0] for r in listings.select("location_ord").distinct().orderBy(F.asc_nulls_first("location_ord")).collect()]
-        if len(places) > 1:
-            halved(places[: len(places) // 2])
-            halved(places[len(places) // 2 :])
-        elif places:
-            halved(places)
-        if not places or len(done.thrown) == len(places) > 1:
-            raise problem
+    def attempt(rows: DataFrame) -> None:
+        failed = cut_lineage(failed_locations(rows))
+        bad = failed.select(F.col("location_ord").alias("_bad"))
+        result = run(rows.join(bad, F.col("location_ord").eqNullSafe(F.col("_bad")), "left_anti"), done)
+        done.results.append(result)
+        done.failed.append(failed.select("location_ord", "search_location", "bad_rows", "error"))
+
+    read: list[DataFrame] = []
+    by_halves(listings, lambda rows: read.append(cut_lineage(rows)))
+    if read:
+        by_halves(reduce(DataFrame.unionByName, read), attempt)
     return done
 
 
@@ -199,8 +194,7 @@ def process_batch(
 
     def run(rows: DataFrame, done: _Done) -> BatchResult:
         memory = reduce(DataFrame.unionByName, [recalled, *[r.scrapes for r in done.results]])
-        result = run_batch(rows, facts, start_ledger, columns, remembered=[known, *[r.ledger for r in done.results]], memory=memory, **options)
-        return BatchResult(result.routed, result.counters, result.summary, cut_lineage(result.ledger), result.scrapes)
+        return run_batch(rows, facts, start_ledger, columns, remembered=[known, *[r.ledger for r in done.results]], memory=memory, **options)
 
     done = _isolated(listings, run)
     keys = ("listing_id", "location_ord")
