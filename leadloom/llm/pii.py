@@ -243,53 +243,49 @@ def train(found: DataFrame) -> SpanClassifier:
     return SpanClassifier(prior, weights)
 
 
-def spans(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row and ``spans``: array of (start, rank, end, kind, base), in order.
-
-    Candidates are found once and written; training and the final choice read that table.
-    """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    found = written(docs.select(*keep, candidates(text, places=True).alias("found")))
-    classifier = train(found)
+def _chosen(found: Column, classifier: SpanClassifier) -> Column:
+    """The spans among candidates: array of (start, rank, end, kind, base), in order."""
     name = lambda c: F.when(c["base"], c["kind"]).when(c["kind"] == "card", F.lit("number")).otherwise(c["kind"])
     order = F.create_map(*(F.lit(x) for i, k in enumerate((*BASE, "number", "person")) for x in (k, i)))
-    chosen = F.filter("found", lambda c: c["base"] | classifier.added(c))
     listed = F.transform(
-        chosen,
+        F.filter(found, lambda c: c["base"] | classifier.added(c)),
         lambda c: F.struct(c["start"].alias("start"), F.try_element_at(order, name(c)).alias("rank"), c["end"].alias("end"), name(c).alias("kind"), c["base"].alias("base")),
     )
-    return found.select(*keep, F.sort_array(listed).alias("spans"))
+    return F.sort_array(listed)
 
 
-def masked(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; null texts stay null.
+def spans(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
+    """The columns ``keep`` of every row and ``spans``: array of (start, rank, end, kind, base), in order.
 
-    Kinds are replaced one after the other, emails first, each in the text that the one before
-    has left, so overlapping spans leave nothing of either behind.
+    Candidates are found once and written; training and the final choice read that table.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    classifier = train(docs.select(candidates(text, places=False).alias("found")))
+    found = written(docs.select(*keep, candidates(text, places=True).alias("found")))
+    return found.select(*keep, _chosen(F.col("found"), train(found)).alias("spans"))
 
-    def replaced(text: Column, kind: str) -> Column:
-        def body(m: Column, gaps: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                good = valid(kind, x)
-                instead = F.when(good, F.lit(f"<{kind.upper()}>"))
-                if kind in ADDED:
-                    known = signals(kind, x, F.right(F.get(gaps, i), F.lit(BEFORE)), F.left(F.get(gaps, i + 1), F.lit(AFTER)), good)
-                    candidate = let(F.struct(F.lit(kind).alias("kind"), good.alias("base"), *(c.alias(n) for n, c in known.items())), classifier.added)
-                    instead = instead.when(candidate, F.lit(f"<{ADDED[kind].upper()}>"))
-                return F.concat(F.get(gaps, i), instead.otherwise(x))
 
-            return F.concat(F.array_join(F.transform(m, one), ""), F.get(gaps, F.size(m)))
+def _without(text: Column, spans_: Column) -> Column:
+    """``text`` rebuilt from the gaps between spans; spans that overlap or touch inside each other become one, named by the first."""
+    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("upto"))
+    cut = lambda begin, length: F.substring(text, (begin + 1).cast("int"), length.cast("int"))
+
+    def add(state: Column, span: Column) -> Column:
+        gap = cut(state["upto"], span["start"] - state["upto"])
+        new = F.concat(state["done"], gap, F.lit("<"), F.upper(span["kind"]), F.lit(">"))
+        return F.struct(F.when(span["start"] < state["upto"], state["done"]).otherwise(new).alias("done"), F.greatest(state["upto"], span["end"].cast("long")).alias("upto"))
 
-        return F.coalesce(matches(text, kind, body), text)
+    return F.aggregate(spans_, start, add, lambda s: F.concat(s["done"], cut(s["upto"], F.length(text))))
 
-    def step(text: Column, kind: str) -> Column:
-        return let(text, lambda t: replaced(t, kind))
 
-    result = text
-    for kind in ("email", "phone", "card", "ip", "person"):
-        result = step(result, kind)
-    return docs.withColumn(text_column, F.when(F.col(text_column).isNotNull(), result))
+def masked(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """``docs`` with every span of ``spans`` replaced by its kind in angle brackets; null texts stay null.
 
+    Spans are those of the original text. Of spans that overlap no character stays: together they
+    become the kind of the one that begins first (of several, the first kind as ``BASE`` lists them).
+    """
+    text = F.col(f"row.`{text_column}`").cast("string")
+    own = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    found = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), candidates(own, places=True).alias("found")))
+    chosen = _chosen(F.col("found"), train(found))
+    result = let(chosen, lambda spans_: F.when(F.size(spans_) > 0, _without(text, spans_)).otherwise(text))
+    return found.select(*[F.when(text.isNotNull(), result).alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
