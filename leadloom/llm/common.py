@@ -48,6 +48,14 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """Underscores that no column of ``frames`` begins with: a prefix for columns of one's own."""
+    names, prefix = [c.lower() for df in frames for c in df.columns], "_"
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
+
+
 def one_row(df: DataFrame, *columns: str):
     return df.select(*columns).first()
 
@@ -61,15 +69,16 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: s
     the row: the split grows with the key and no task gets more than about ``rows`` of one key.
     The number of copies of each key reaches ``left`` through a join on its hot keys only.
     """
+    p = free_prefix(left, right)
     copies = F.ceil(F.col(weight) / F.lit(rows)).cast("int")
-    hot = right.filter(F.col(weight) > rows).select(F.col(key).alias("_hot"), copies.alias("_copies"))
+    hot = right.filter(F.col(weight) > rows).select(F.col(key).alias(f"{p}hot"), copies.alias(f"{p}copies"))
     # At most rows(left) / `rows` hot keys; Spark broadcasts them if they are small.
-    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_copy",
-        F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_copies")).cast("int")),
+    dealt = left.join(hot, F.col(key) == F.col(f"{p}hot"), "left").withColumn(
+        f"{p}copy",
+        F.when(F.col(f"{p}copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col(f"{p}copies")).cast("int")),
     )
-    repeated = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))).drop(weight)
-    return dealt.drop("_hot", "_copies").join(repeated, [key, "_copy"], how).drop("_copy")
+    repeated = right.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))).drop(weight)
+    return dealt.drop(f"{p}hot", f"{p}copies").join(repeated, [key, f"{p}copy"], how).drop(f"{p}copy")
 
 
 @contextmanager

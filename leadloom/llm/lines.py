@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import written
+from leadloom.llm.common import free_prefix, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 DROPPED, OPEN, SEEN, LENGTH = 0, 1, 2, 3  # states of rows; LENGTH rows hold a document's number of lines
@@ -121,7 +121,7 @@ def dropped_lines(hashes: DataFrame, least_documents: int) -> DataFrame:
         .filter(F.col("documents") >= least_documents).drop("documents")
     )
     settled = (
-        open_.filter(F.col("state") == OPEN).join(F.broadcast(border), ["a", "b"])
+        open_.filter(F.col("state") == OPEN).join(border, ["a", "b"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("largest")))
     )
     columns = ["doc_id", "text_key", "line"]
@@ -155,27 +155,28 @@ def kept_text(text: str | None, keep: bytes, n_lines: int) -> str:
     return "\n".join(line for line, k in zip((text or "").split("\n"), bits, strict=True) if k)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with ``_n_lines, _n_dropped, _keep`` of their bitmaps."""
-    mapped = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), *(F.col(c).alias(f"_{c}") for c in ("n_lines", "n_dropped", "keep")))
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_doc")) & (text_key(F.col(text_column).cast("string")) == F.col("_key"))
-    return docs.join(mapped, same).drop("_doc", "_key")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, prefix: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with ``n_lines, n_dropped, keep`` of their bitmaps, their names behind ``prefix``."""
+    mapped = bitmaps.select(*(F.col(c).alias(f"{prefix}{c}") for c in ("doc_id", "text_key", "n_lines", "n_dropped", "keep")))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(f"{prefix}doc_id")) & (text_key(F.col(text_column).cast("string")) == F.col(f"{prefix}text_key"))
+    return docs.join(mapped, same).drop(f"{prefix}doc_id", f"{prefix}text_key")
 
 
 def deduplicated(docs: DataFrame, least_chars: int = 20, least_documents: int = 3, text_column: str = "text", **columns: str) -> DataFrame:
     """``docs`` with their texts rebuilt from the lines that stay; null texts stay null."""
-    bitmaps = keep_bitmaps(docs, least_chars, least_documents, text_column=text_column, **columns)
+    bitmaps, p = keep_bitmaps(docs, least_chars, least_documents, text_column=text_column, **columns), free_prefix(docs)
     rebuilt = F.pandas_udf(
         lambda text, keep, n: text.__class__([kept_text(t, k, c) for t, k, c in zip(text, keep, n, strict=True)]), "string"
     )
-    joined = with_bitmaps(docs, bitmaps, text_column=text_column, **columns)
-    text = F.when(F.col("_n_dropped") > 0, rebuilt(F.col(text_column), F.col("_keep"), F.col("_n_lines"))).otherwise(F.col(text_column))
+    joined = with_bitmaps(docs, bitmaps, p, text_column=text_column, **columns)
+    text = F.when(F.col(f"{p}n_dropped") > 0, rebuilt(F.col(text_column), F.col(f"{p}keep"), F.col(f"{p}n_lines"))).otherwise(F.col(text_column))
     return joined.withColumn(text_column, text).select(*docs.columns)
 
 
 def kept_digests(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` from the bitmaps applied to the texts."""
-    joined = with_bitmaps(docs, keep_bitmaps(docs, **options)).select("doc_id", "text", "_n_lines", "_n_dropped", "_keep")
+    docs = docs.select("doc_id", "text")
+    joined = with_bitmaps(docs, keep_bitmaps(docs, **options), "_").select("doc_id", "text", "_n_lines", "_n_dropped", "_keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,6 +95,7 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
+    "op3_line_dedup": sql.LINES,
     "op11_warc": sql.WARC,
     "op12_divergence": sql.DIVERGENCE,
     "op13_merkle": sql.MERKLE,

@@ -10,8 +10,8 @@ A shard is permuted in buckets of its random key: the first bits choose the buck
 bucket give each its first slot, and ranks inside a bucket are local. So neither a partition nor a
 shard is ever one task, and sizes differ by at most one (law ``rows``).
 
-Defined results: nulls in any column are kept; repeated rows are rows of their own (rows equal in
-all columns are interchangeable); an empty table gives no rows; extra columns stay, and only the
+Defined results: nulls in any column are kept; repeated rows are rows of their own, dealt as any
+others (the deal depends on the seed, the rows and where they were read); an empty table gives no rows; extra columns stay, and only the
 names ``shard`` and ``slot`` must be free.
 """
 
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import written
+from leadloom.llm.common import free_prefix, written
 
 PARTITION_ROWS = 1 << 16
 
@@ -66,25 +66,30 @@ def uniform_shards(rows: DataFrame, shards: int = 8, seed: int = 0, partition_ro
     ``rows`` are written once, so that counting and dealing see the same. Counts read the two
     hashes of the rows only; whole rows are shuffled twice, to their partition and to their shard.
     """
-    key = lambda salt: F.xxhash64(F.lit(f"{seed} {salt}"), *rows.columns, *(F.col(c).isNull() for c in rows.columns))
-    base = written(rows.select("*", key("local").alias("_local"), key("shard").alias("_order")))
+    p = free_prefix(rows)
+    local_, order, part, borders_, rank, bucket, first_, n = (f"{p}{c}" for c in ("local", "order", "part", "borders", "rank", "bucket", "first", "n"))
+    # Where a row was read is part of its hashes, so that wholly equal rows are dealt as others are.
+    number = f"{p}read_at"
+    numbered = rows.withColumn(number, F.monotonically_increasing_id())
+    key = lambda salt: F.xxhash64(F.lit(f"{seed} {salt}"), *numbered.columns, *(F.col(c).isNull() for c in rows.columns))
+    base = written(numbered.select(*rows.columns, key("local").alias(local_), key("shard").alias(order)))
     total = base.count()
     partitions = max(1, -(-total // partition_rows))
-    base = base.withColumn("_part", F.pmod(F.col("_local"), F.lit(partitions)).cast("int"))
-    sizes = {r["_part"]: r["count"] for r in base.groupBy("_part").count().collect()}
+    base = base.withColumn(part, F.pmod(F.col(local_), F.lit(partitions)).cast("int"))
+    sizes = {r[part]: r["count"] for r in base.groupBy(part).count().collect()}
     matrix = communication_matrix([sizes.get(i, 0) for i in range(partitions)], shards, seed)
-    borders = rows.sparkSession.createDataFrame([(i, np.cumsum(m).tolist()) for i, m in enumerate(matrix)], "_part int, _borders array<long>")
+    borders = rows.sparkSession.createDataFrame([(i, np.cumsum(m).tolist()) for i, m in enumerate(matrix)], f"{part} int, {borders_} array<long>")
 
-    # Rows that agree in both hashes (128 bits of all columns) are taken as wholly equal, so interchangeable.
-    local = Window.partitionBy("_part").orderBy("_local", "_order")
-    ranked = base.withColumn("_rank", F.row_number().over(local) - 1).join(borders, "_part")
-    shard = F.size(F.filter("_borders", lambda b: b <= F.col("_rank"))).cast("int")
-    dealt = ranked.select(*rows.columns, "_local", "_order", shard.alias("shard"))
+    # Rows that agree in both hashes (128 bits) are taken as wholly equal, so interchangeable.
+    local = Window.partitionBy(part).orderBy(local_, order)
+    ranked = base.withColumn(rank, F.row_number().over(local) - 1).join(borders, part)
+    shard = F.size(F.filter(borders_, lambda b: b <= F.col(rank))).cast("int")
+    dealt = ranked.select(*rows.columns, local_, order, shard.alias("shard"))
 
     buckets = 1 << max(0, (partitions // shards).bit_length())
-    dealt = dealt.withColumn("_bucket", F.shiftrightunsigned("_order", 64 - int(math.log2(buckets))) if buckets > 1 else F.lit(0).cast("long"))
-    counts = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    first = counts.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_first"))
-    inner = Window.partitionBy("shard", "_bucket").orderBy("_order", "_local")
-    slots = dealt.withColumn("_rank", F.row_number().over(inner) - 1).join(first, ["shard", "_bucket"])
-    return slots.select(*rows.columns, "shard", (F.col("_first") + F.col("_rank")).alias("slot"))
+    dealt = dealt.withColumn(bucket, F.shiftrightunsigned(order, 64 - int(math.log2(buckets))) if buckets > 1 else F.lit(0).cast("long"))
+    counts = dealt.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    first = counts.select("shard", bucket, (F.sum(n).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(n)).alias(first_))
+    inner = Window.partitionBy("shard", bucket).orderBy(order, local_)
+    slots = dealt.withColumn(rank, F.row_number().over(inner) - 1).join(first, ["shard", bucket])
+    return slots.select(*rows.columns, "shard", (F.col(first_) + F.col(rank)).alias("slot"))
