@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import lines, packing, pii, quality, simhash
-from leadloom.llm.common import table, written
+from leadloom.llm.common import free_prefix, table, written
 from leadloom.llm.tokens import vocabulary_file
 
 
@@ -34,12 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are told apart by that hash (64 bits), so two texts under one doc_id are two documents.
     """
     row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
-    rows = docs.withColumn("_row", row)
-    found = simhash.near_duplicates(rows, shingle=3, distance=3, id_column="_row").distinct()
-    named = rows.select("_row", F.col("doc_id").alias("name")).distinct()
-    first = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", "fp", "_row"))
-    kept = found.withColumnRenamed("doc_id", "_row").join(named, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    own = f"{free_prefix(docs)}row"
+    rows = docs.withColumn(own, row)
+    found = simhash.near_duplicates(rows.select(own, "text"), shingle=3, distance=3, id_column=own).distinct()
+    named = rows.select(own, F.col("doc_id").alias("name")).distinct()
+    first = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", "fp", own))
+    kept = found.withColumnRenamed("doc_id", own).join(named, own).groupBy("component_id").agg(first.alias("first")).select(f"first.{own}")
+    return rows.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
