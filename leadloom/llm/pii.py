@@ -283,9 +283,9 @@ def masked(docs: DataFrame, text_column: str = "text") -> DataFrame:
     Spans are those of the original text. Of spans that overlap no character stays: together they
     become the kind of the one that begins first (of several, the first kind as ``BASE`` lists them).
     """
-    text = F.col(f"row.`{text_column}`").cast("string")
-    own = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    found = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), candidates(own, places=True).alias("found")))
-    chosen = _chosen(F.col("found"), train(found))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    # Training reads a narrow table of candidates; texts are searched once more for their spans, not written beside them.
+    classifier = train(written(docs.select(candidates(text, places=False).alias("found"))))
+    chosen = let(candidates(text, places=True), lambda found: _chosen(found, classifier))
     result = let(chosen, lambda spans_: F.when(F.size(spans_) > 0, _without(text, spans_)).otherwise(text))
-    return found.select(*[F.when(text.isNotNull(), result).alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
+    return docs.withColumn(text_column, F.when(F.col(text_column).isNotNull(), result))
