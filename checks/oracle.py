@@ -691,9 +691,6 @@ def build() -> dict[str, str]:
         "SELECT page_id, contains(lower(final_url), 'login') OR contains(lower(final_url), 'authwall') AS walled, contains(lower(final_url), 'sorry') OR contains(lower(html), 'captcha') AS verification FROM web_pages",
     )
 
-    out["f10_headers"] = """SELECT n_regionkey::BIGINT AS region, n_regionkey % 2 = 0 AS refused,
-  CASE WHEN n_regionkey % 2 <> 0 THEN string_agg(array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), ',' ORDER BY n_nationkey) END AS headers FROM nation GROUP BY n_regionkey"""
-
     # joins
     on_page("j1_kept_facts", f"SELECT page_id, {text_of('emails')} AS emails, page_id % 100 = 0 AS parsed FROM f_emails")
     on_facts("j1_homepages", f"SELECT website, {text_of('emails')} AS emails, {text_of('contacts')} AS contacts FROM home")

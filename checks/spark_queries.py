@@ -705,21 +705,6 @@ def _(spark, sf):
     return rows.select("listing_id", order, F.concat_ws("|", *[c(f"`{h}`") for h in rows.columns[1:]]).alias("row"))
 
 
-@query("f10_headers")
-def _(spark, sf):
-    """Headers per region, spelled with white space and, in some, a second time in capitals: those are refused."""
-    nations = table(spark, sf, "nation").select("n_regionkey", F.initcap("n_name").alias("name"), "n_nationkey").orderBy("n_nationkey")
-    found, rows = nations.collect(), []
-    for region in sorted({n.n_regionkey for n in found}):
-        headers = [f" {n.name} " for n in found if n.n_regionkey == region]
-        headers += [headers[0].strip().upper()] if region % 2 == 0 else [""]
-        try:
-            rows.append((region, ",".join(s.header for s in O.column_map([O.ColumnSpec(h, "email") for h in headers])), False))
-        except ValueError:
-            rows.append((region, None, True))
-    return spark.createDataFrame(rows, "region long, headers string, refused boolean")
-
-
 @query("j1_kept_facts")
 def _(spark, sf):
     """Facts after a second run in which one page in a hundred has changed: only those are parsed."""
