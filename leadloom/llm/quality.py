@@ -1,16 +1,22 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Measures of every document are plain column expressions. A KLL sketch of each measure is kept per
-language and source; sketches merge, so a group of few rows takes its language's thresholds and a
-language of few rows those of all documents, without reading the rows again. A document is
-rejected if a measure lies outside its group's fence. The fence follows the group's quantiles from
-the median out to the far tail, as long as the next one is at most twice as far from the median as
-the last, or within a small ``reach`` per measure; it lies twice as far out as the last quantile
-reached. Junk that is set off from the rest by a gap doesn't move it, up to just under half of the
-group. ``WIDTH`` times the spread (distances to the 10 % and 75 % quantiles, ``reach`` at least)
-bounds it where junk runs on from clean rows without a gap. So a source whose pages are all full of
-symbols gets a wide fence, and clean documents stay however even their group is. Only DataFrame
-operations are used.
+Measures of every document are plain column expressions. A sketch of each measure is kept per
+language and source: counts of rows in logarithmic buckets, whose quantiles are right within 1 %
+of the value. Such sketches merge by adding counts, so those of a language and of all documents
+come from the groups' without reading rows again, and equal input gives equal fences.
+
+A document is rejected if a measure lies outside its group's fence. Each sketch draws a fence in
+the middle of the first gap beyond the median: the first value more than twice as far from the
+median as the one before, and more than the measure's ``grain`` away (differences below it are no
+gap). Where no gap follows, it lies twice as far out as the last value. Values held by fewer than
+one in ``RARE`` rows don't count, so that a few rows can't bridge a gap in a large group. ``WIDTH``
+times the spread (distances to the 10 % and 75 % quantiles, ``grain`` at least) bounds it where junk
+runs on from clean rows without a gap. So junk of up to just under half a group doesn't move its
+fence, and a source whose pages are all full of symbols gets a wide one.
+
+The fence of a group is the mean of its own and its parent's (source, language, all documents),
+its own weighing as much as its rows and the parent's as much as ``PARENT_ROWS`` rows: a verdict
+doesn't turn on a group reaching some size. Only DataFrame operations are used.
 
 Base rules come first: fewer than 50 words, or over half of them in repeated three-word windows.
 
@@ -31,16 +37,15 @@ from leadloom.llm.common import WHITE, let, spread_join, written
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
-SKETCH_K = 400
-LEAST_ROWS = 200  # a group with fewer takes the thresholds of a larger one
-WIDTH = 5.0
-TAIL = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.975, 0.99, 0.995]
-#: Measure: reach (least distance of the fence from the median), and whether low values are outliers too.
+GROWTH = 1.02  # from one bucket to the next
+PARENT_ROWS = 30
+WIDTH, RARE = 5.0, 2000
+#: Measure: grain (differences below it are no gap), and whether low values are outliers too.
 MEASURES = {
     "q_symbols": (0.02, False),  # symbols per character in words
-    "q_upper": (0.02, False),  # share of words without lower-case letters
-    "q_dup_lines": (0.15, False),  # share of lines that repeat an earlier one
-    "q_repeats": (0.06, False),  # share of words in repeated windows
+    "q_upper": (0.05, False),  # share of words without lower-case letters
+    "q_dup_lines": (0.2, False),  # share of lines that repeat an earlier one
+    "q_repeats": (0.15, False),  # share of words in repeated windows
     "q_word_length": (1.0, True),  # characters per word
 }
 
@@ -116,59 +121,80 @@ def with_measures(rows: DataFrame) -> DataFrame:
     })
 
 
-def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Per group: ``q_key``, its number of rows ``q_rows`` and for each measure the fence ``<measure>_low``, ``<measure>_high``.
+def group_key(groups: list[str]) -> Column:
+    """One value for each combination of the group columns, nulls included."""
+    return F.to_json(F.array(*(F.col(g).cast("string") for g in groups)).cast("array<string>"))
+
 
-    Sketches are partial aggregates, so a group with a third of all rows is no hot spot. Written,
-    because sketches are random beyond ``SKETCH_K`` values and every later read must see the same.
+def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, measure, value, n``: rows that pass the base rules, counted by bucket; ``value`` is the middle of the bucket.
+
+    A group has at most some 1,100 buckets per measure (ratios from 2**-31 to 1), counted before
+    the shuffle, so a group with a third of all rows is no hot spot.
     """
-    good = F.when(~F.col("q_base_failed"), F.lit(True))  # sketches skip nulls
-    value = lambda m: F.when(good, F.col(m))
-    per_group = written(
-        rows.groupBy(group_key(groups).alias("q_key"), F.col(groups[0]).alias("q_first")).agg(
-            F.count("*").alias("q_rows"),
-            F.count(good).alias("q_good"),
-            *(F.kll_sketch_agg_double(value(m), F.lit(SKETCH_K)).alias(m) for m in MEASURES),
-        )
-    )
-    merged = [F.sum("q_good").alias("q_good"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES)]
-    filled = per_group.filter("q_good > 0")
-    name = lambda df, by: df.select(*by, *(F.col(c).alias(f"{c}_{len(by)}") for c in ("q_good", *MEASURES)))
-    first = name(filled.groupBy("q_first").agg(*merged), ["q_first"])
-    every = name(filled.agg(*merged), [])
-    # One row for the whole table and one per first key (language): joined with one row per group.
-    joined = per_group.join(first.withColumnRenamed("q_first", "q_of"), F.col("q_first").eqNullSafe(F.col("q_of")), "left").join(F.broadcast(every))
-    enough = lambda column: F.coalesce(F.col(column), F.lit(0)) >= LEAST_ROWS
-
-    def fence(m: str) -> list[Column]:
-        sketch = F.when(enough("q_good"), F.col(m)).when(enough("q_good_1"), F.col(f"{m}_1")).otherwise(F.col(f"{m}_0"))
-        reach, both = MEASURES[m]
-        at = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-        spread = F.greatest(at(0.5) - at(0.1), at(0.75) - at(0.5), F.lit(reach))
-        some = F.coalesce(F.col("q_good_0"), F.lit(0)) > 0  # no document passes the base rules: no fences
-
-        def distance(ranks: list[float]) -> Column:
-            """From the median to the fence on the side of ``ranks``."""
-            away = F.transform(F.array(*(at(q) for q in ranks)), lambda x: F.abs(x - at(0.5)))
-            last = F.aggregate(away, F.lit(0.0), lambda done, x: F.when(x <= F.greatest(F.lit(reach), 2 * done), x).otherwise(done))
-            return F.least(F.greatest(F.lit(reach), 2 * last), WIDTH * spread)
-
-        low = F.when(some, at(0.5) - distance([1 - q for q in TAIL])) if both else F.lit(None).cast("double")
-        return [low.alias(f"{m}_low"), F.when(some, at(0.5) + distance(TAIL)).alias(f"{m}_high")]
-
-    return written(joined.select("q_key", "q_rows", *(c for m in MEASURES for c in fence(m))))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in MEASURES))).alias("q_m")
+    bucket = F.when(F.col("q_m.x") > 0, F.floor(F.log("q_m.x") / F.log(F.lit(GROWTH))))  # null holds zero
+    counted = rows.filter(~F.col("q_base_failed")).select(*keys, each).groupBy(*keys, F.col("q_m.measure").alias("measure"), bucket.alias("bucket"))
+    value = F.coalesce(F.pow(F.lit(GROWTH), F.col("bucket") + 0.5), F.lit(0.0))
+    return counted.agg(F.count("*").alias("n")).select(*keys, "measure", value.alias("value"), "n")
 
 
-def group_key(groups: list[str]) -> Column:
-    """One value for each combination of the group columns, nulls included."""
-    return F.to_json(F.array(*(F.col(g).cast("string") for g in groups)))
+def fences(sketch: DataFrame, key: str) -> DataFrame:
+    """``key, n`` and ``<measure>_low``, ``<measure>_high`` of every key of ``sketch``."""
+    merged = sketch.groupBy(key, "measure", "value").agg(F.sum("n").alias("n"))
+    each = merged.groupBy(key, "measure").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("value", "n"))).alias("held"))  # one entry a bucket
+    grain = reduce(lambda c, m: c.when(F.col("measure") == m, F.lit(MEASURES[m][0])), MEASURES, F)
+
+    def at(share: float) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            upto = state["upto"] + x["n"]
+            return F.struct(upto.alias("upto"), F.coalesce(state["value"], F.when(upto >= share * F.col("n"), x["value"])).alias("value"))
+
+        start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("value"))
+        return F.aggregate("held", start, add, lambda s: s["value"])
+
+    quantiles = each.withColumns({"middle": at(0.5), "lower": at(0.1), "upper": at(0.75)})
+    spread = F.greatest(F.col("upper") - F.col("middle"), F.col("middle") - F.col("lower"), grain)
+
+    def distance(away: Column) -> Column:
+        """From the median to the fence, by the distances of all values on one side, in order."""
+        steps = F.transform(away, lambda x, i: F.struct(x.alias("to"), F.coalesce(F.get(away, i - 1), F.lit(0.0)).alias("from")))
+        gap = F.get(F.filter(steps, lambda s: s["to"] > F.greatest(grain, 2 * s["from"])), F.lit(0))
+        farthest = F.greatest(grain, F.coalesce(F.array_max(away), F.lit(0.0)))
+        return F.least(F.coalesce((gap["from"] + gap["to"]) / 2, 2 * farthest), WIDTH * spread)
+
+    often = F.filter("held", lambda x: x["n"] * RARE >= F.col("n"))
+    away = lambda sign: F.sort_array(F.filter(F.transform(often, lambda x: sign * (x["value"] - F.col("middle"))), lambda d: d > 0))
+    drawn = quantiles.select(key, "measure", "n", (F.col("middle") + let(away(1), distance)).alias("high"), (F.col("middle") - let(away(-1), distance)).alias("low"))
+    of = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side)))
+    low = lambda m: of(m, "low") if MEASURES[m][1] else F.lit(None).cast("double")
+    return drawn.groupBy(key).agg(F.max("n").alias("n"), *(of(m, "high").alias(f"{m}_high") for m in MEASURES), *(low(m).alias(f"{m}_low") for m in MEASURES))
+
+
+def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group: ``q_key``, its number of rows ``q_rows`` and for each measure the fence ``<measure>_low``, ``<measure>_high``.
+
+    The parents of a group are those of the first ``groups``, one less each time, down to all
+    documents. Null fences, which reject nothing, if no document passes the base rules.
+    """
+    keys = {f"q_key{i}": group_key(groups[:i]) for i in range(len(groups) + 1)}
+    rows = rows.withColumns(keys)
+    sketch = written(sketches(rows, list(keys)))
+    sides = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
+    result = rows.groupBy(*keys).agg(F.count("*").alias("q_rows"))
+    for i, key in enumerate(keys):
+        named = fences(sketch, key).select(key, F.col("n").alias("q_n"), *(F.col(s).alias(f"q_own_{s}") for s in sides))
+        result = result.join(named if i else F.broadcast(named), key, "left")  # the first has one row
+        own = F.col("q_n") / (F.col("q_n") + PARENT_ROWS)
+        blend = lambda s: own * F.col(f"q_own_{s}") + (1 - own) * F.col(s)
+        result = result.withColumns({s: F.coalesce(blend(s), F.col(s)) if i else F.col(f"q_own_{s}") for s in sides}).drop("q_n", *(f"q_own_{s}" for s in sides))
+    return written(result.select(F.col(list(keys)[-1]).alias("q_key"), "q_rows", *sides))
 
 
 def judged(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text_column: str = "text") -> DataFrame:
     """``docs`` with their counts (``q_n_...``), ``q_base_failed`` and ``q_kept``."""
     rows = with_measures(measured(docs, text_column)).withColumn("q_key", group_key(list(groups)))
-    fences = thresholds(rows, list(groups))
-    joined = spread_join(rows, fences, "q_key", "q_rows", "inner")
+    joined = spread_join(rows, thresholds(rows, list(groups)), "q_key", "q_rows", "inner")
     outside = lambda m: F.coalesce((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.col(m) > F.col(f"{m}_high"), F.lit(False))
     kept = reduce(lambda a, b: a & b, (~outside(m) for m in MEASURES), ~F.col("q_base_failed"))
     return joined.withColumn("q_kept", kept)
