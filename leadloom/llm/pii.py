@@ -2,7 +2,8 @@
 
 Candidates are matches of five patterns (``email, ip, card, phone, person``; ``card`` is any chain
 of nine or more digits). Five labelers vote yes, no or abstain on each: a regular-expression and
-check-digit labeler, a gazetteer, the words before it, its shape, its neighbours. Expectation
+check-digit labeler (it also knows several valid cards in a row, which fail the base check, and what
+follows a name; other capitalised words it takes for none, unless the gazetteer lists them), a gazetteer, the words before it, its shape, its neighbours. Expectation
 maximisation over the counts of vote patterns (at most 5 * 3**5 rows, whatever the input) gives
 each labeler's reliability per kind and a probability per pattern. These probabilities train the
 classifier, a naive Bayes model over categories of the span and its surroundings, from sums per
@@ -41,6 +42,8 @@ HINTS = {"email": "@", "phone": "+"}  # a text without it has no match
 LABELERS = ("regex", "gazetteer", "context", "shape", "border")
 FEATURES = (*LABELERS, "before", "after", "size")
 BEFORE, AFTER = 24, 12
+#: Share of true spans expected among candidates; capitalised words are seldom names.
+SHARE = {"email": 0.5, "ip": 0.5, "card": 0.5, "phone": 0.5, "person": 0.2}
 
 # Gazetteers and context words (fixed values, lower case).
 GIVEN_NAMES = (
@@ -56,6 +59,8 @@ CONTEXT = {
     "phone": "phone|tel|call|fax|mobil|contact",
     "person": r"\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|señor|señora|name is|called|dear|by)\b\.?",
 }
+NAMED = r"^(?:\s*<|,? (?:born|said|says|wrote|writes|lives|works|phd|jr)\b)"  # what follows a name
+LABEL = r"[:=#(]\s?$"  # what comes before a value
 AGAINST = r"version|isbn|order|total|price|page|license|chapter|[$€£#]\s*$"
 
 
@@ -80,6 +85,21 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(places, doubled), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def row_of_cards(chain: Column) -> Column:
+    """Is a chain of more than 19 digits several valid cards one after the other, cut at its separators?
+
+    Groups are joined from the left until they are a card; each card ends where the first one can.
+    """
+
+    def add(state: Column, group: Column) -> Column:
+        open_ = F.left(F.concat(state["open"], group), F.lit(20))
+        card = F.when(F.length(open_).between(14, 19), luhn(open_)).otherwise(F.lit(False))
+        return F.struct(F.when(card, F.lit("")).otherwise(open_).alias("open"))
+
+    joined = F.aggregate(F.split(chain, "[ -]"), F.struct(F.lit("").alias("open")), add, lambda s: s["open"] == "")
+    return F.when(F.length(F.regexp_replace(chain, "[^0-9]", "")) > 19, joined).otherwise(F.lit(False))
+
+
 def valid(kind: str, match: Column) -> Column:
     """Base check of a match."""
     if kind == "email":
@@ -103,28 +123,29 @@ def signals(kind: str, match: Column, left: Column, right: Column, good: Column)
     never, before, after = F.lit(False), F.right(left, F.lit(1)), F.left(right, F.lit(1))
     digits = F.length(F.regexp_replace(match, "[^0-9]", ""))
     first = F.lower(F.split(match, " ")[0])
+    cards = row_of_cards(match) if kind == "card" else never
     gazetteer = {
         "email": vote(F.lower(F.regexp_extract(match, r"\.([A-Za-z]+)$", 1)).isin(DOMAINS), ~match.rlike(r"\.[A-Za-z]{2,}$")),
         "ip": vote(never, match.rlike(r"^(?:0|127|255)\.")),
-        "card": vote(good & match.rlike("^[3-6]"), never),
+        "card": vote((good | cards) & match.rlike("^[3-6]"), never),
         "phone": vote(match.rlike(r"^\+(?:1|33|34|44|49|52)(?![0-9]{14})"), match.rlike(r"^\+0")),
         "person": vote(first.isin(GIVEN_NAMES), ~first.isin(GIVEN_NAMES)),
     }[kind]
     shape = {
         "email": vote(F.length(match) <= 64, F.length(match) > 254),
         "ip": vote(match.rlike(r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$"), match.rlike(r"[0-9]{4}|\.0[0-9]")),
-        "card": vote(match.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}|(?:[0-9]{4}[ -]){3}[0-9]{4})$"), digits > 19),
+        "card": vote(match.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}|(?:[0-9]{4}[ -]){3}[0-9]{4})$"), (digits > 19) & ~cards),
         "phone": vote(digits.between(10, 13), ~digits.between(8, 15)),
         "person": vote(F.size(F.split(match, " ")).between(2, 3) & (F.length(match) <= 40), F.size(F.split(match, " ")) > 4),
     }[kind]
     word = "[A-Za-z0-9_À-ÿ]"
     group = lambda c: F.when(c == "", "end").when(c.rlike(r"\s"), "space").when(c.rlike(word), "word").otherwise("mark")
     return {
-        "regex": vote(good, F.lit(kind != "person") & ~good & (F.lit(kind != "card") | (digits >= 14))),
+        "regex": vote(F.lower(right).rlike(NAMED), ~first.isin(GIVEN_NAMES)) if kind == "person" else vote(good | cards, F.lit(kind != "card") | (digits >= 14)),
         "gazetteer": gazetteer,
         "context": vote(F.lower(left).rlike(CONTEXT[kind]), F.lower(left).rlike(AGAINST)),
         "shape": shape,
-        "border": vote(never, before.rlike(f"^(?:{word}|[.+-])$") | after.rlike(f"^{word}$")),
+        "border": vote(left.rlike(LABEL) & ~after.rlike(f"^{word}$"), before.rlike(f"^(?:{word}|[.+-])$") | after.rlike(f"^{word}$")),
         "before": group(before),
         "after": group(after),
         "size": F.least(F.floor(F.length(match) / 4), F.lit(8)).cast("string"),
@@ -180,14 +201,15 @@ class SpanClassifier:
         return ~candidate["base"] & candidate["kind"].isin(*ADDED) & F.coalesce(score > 0, F.lit(False))
 
 
-def expectation_maximisation(patterns: dict[tuple[str, ...], int], rounds: int = 50) -> dict[tuple[str, ...], float]:
+def expectation_maximisation(patterns: dict[tuple[str, ...], int], rounds: int = 50, first: float = 0.5) -> dict[tuple[str, ...], float]:
     """Probability of yes for each pattern of votes (one kind's), by EM for independent labelers.
 
     Labelers are taken to be right 8 times in 10 by 20 imagined votes each, which also keeps yes
-    and no from changing places; the share of yes starts even with 2 imagined spans.
+    and no from changing places; the share of yes lies half way between ``first`` and what the votes say,
+so that candidates on which no labeler says anything of use keep to ``first``.
     """
     rate = {(i, truth): 0.8 if truth else 0.2 for i in range(len(LABELERS)) for truth in (0, 1)}  # P(vote yes | truth, votes)
-    share = 0.5
+    share = first
     posterior: dict[tuple[str, ...], float] = {}
     for _ in range(rounds):
         for votes in patterns:
@@ -198,7 +220,7 @@ def expectation_maximisation(patterns: dict[tuple[str, ...], int], rounds: int =
                     odds += math.log(yes / no) if v == "y" else math.log((1 - yes) / (1 - no))
             posterior[votes] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
         total = sum(patterns.values())
-        share = (1 + sum(n * posterior[v] for v, n in patterns.items())) / (2 + total)
+        share = (first + sum(n * posterior[v] for v, n in patterns.items()) / total) / 2
         for i in range(len(LABELERS)):
             for truth in (0, 1):
                 said, of = (16.0, 20.0) if truth else (4.0, 20.0)
@@ -221,7 +243,7 @@ def train(found: DataFrame) -> SpanClassifier:
         by_kind[r.kind][tuple(r[f] for f in LABELERS)] = r["count"]
     if not by_kind:
         return SpanClassifier({}, {})
-    learned = [(k, *v, p) for k, patterns in sorted(by_kind.items()) for v, p in expectation_maximisation(patterns).items()]
+    learned = [(k, *v, p) for k, patterns in sorted(by_kind.items()) for v, p in expectation_maximisation(patterns, first=SHARE[k]).items()]
     votes = spark.createDataFrame(learned, "kind string, " + ", ".join(f"{f} string" for f in LABELERS) + ", p double")
     weighed = each.join(F.broadcast(votes), ["kind", *LABELERS])  # at most 5 * 3**5 rows
     values = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES)))
