@@ -1,27 +1,34 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Compiled once per worker from the model file: the normaliser (dummy prefix, white space to U+2581,
-optional removal of extra white space), the pieces as a trie of arcs weighted with minus their
-score, and byte fallback arcs for characters that no piece spells. Each input is composed with it
-and the shortest path in the tropical semiring (sum along a path, minimum over paths) is taken.
+Compiled once per worker from the model file, as three machines that every input is composed with:
 
-For a unigram model every piece may follow every other. For a BPE model the pieces' transducer
-remembers its last piece and has an arc only to pieces that may follow it: ``a`` and ``b`` may be
-neighbours if merging the characters of ``ab`` by score gives exactly ``a, b``. Exactly one path
-then spells an input, the one that merging finds, so it is the shortest.
+* the normaliser: states for the start, for text and (if extra white space is removed) for white
+  space not yet written, with arcs for a space and for any other character; it writes the dummy
+  prefix and U+2581;
+* the pieces: a trie of arcs, read from their last character back, weighted with minus their score;
+* byte fallback: arcs for characters that are no piece, heavier than any piece.
+
+The path of least sum (tropical semiring: sums along a path, minimum over paths) is kept for every
+place of the input. For a unigram model every piece may follow every other, so a place is one
+state. For a BPE model a state is a place and the piece before it, with arcs only to pieces that
+may follow: ``a`` and ``b`` may be neighbours if merging the characters of ``ab`` by score gives
+exactly ``a, b``. A path of such arcs is what merging finds, so each place has one state and the
+first arc that reaches it is the lightest.
 
 Every path passes through a place whose two neighbouring characters no piece holds in this order:
 before white space (no piece holds U+2581 behind another character) and around characters outside
-all pieces, for instance. Inputs are composed piecewise between such places, and a bounded memo
-keeps the paths of recent parts.
+all pieces, for instance. Inputs are composed piecewise between such places. The parts of many
+texts are sorted, and a part goes on from the states of the beginning that it shares with the one
+before. A bounded memo of two generations keeps the paths of recent parts.
 
 Defined results: null text is empty and has no ids; repeated rows get equal results; extra columns
 are not read; an empty table gives no rows; a part without such places takes time in proportion
-to its length.
+to its length. Without byte fallback neighbouring unknown characters are one id, as in the library.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -36,6 +43,8 @@ from leadloom.llm.tokens import binary_array
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character weighs this more than the heaviest piece
+SLICE = 3_000_000  # characters of the texts whose parts are composed together
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,16 +108,19 @@ class Model:
 
 
 class Transducer:
-    def __init__(self, path: str, memo: int = 300_000):
+    START, TEXT, GAP = range(3)  # of the normaliser: nothing written, text written, white space held back
+
+    def __init__(self, path: str, memo: int = 200_000):
         self.model = Model(path)
         self._id = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == Model.NORMAL}
         self._weight = [-score for _, score, _ in self.model.pieces]
-        self._trie: dict = {}
+        self._unknown_weight = max((self._weight[i] for i in self._id.values()), default=0.0) + UNKNOWN_PENALTY
+        self._backwards: dict = {}
         for piece, i in self._id.items():
-            node = self._trie
-            for c in piece:
+            node = self._backwards
+            for c in reversed(piece):
                 node = node.setdefault(c, {})
-            node[""] = i  # final: spells piece i
+            node[""] = i  # spells piece i
         self._letters = {c for p in self._id for c in p}
         self._pairs = {pair for p in self._id for pair in zip(p, p[1:], strict=False)}
         if self.model.kind == BPE and not self._letters <= self._id.keys():
@@ -116,15 +128,32 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p in self._id):
             raise ValueError("pieces reach over white space")
         feed = "" if "\n" in self._letters else "\n"
-        self._parts = re.compile(f"{SPACE}*[^{SPACE}{feed}]+|{SPACE}+" + (f"|{feed}" if feed else ""))
-        self._memo: dict[str, bytes] = {}
+        self._chunks = re.compile(f"[ {SPACE}]*[^ {SPACE}{feed}]+|[ {SPACE}]+" + (f"|{feed}" if feed else ""))
+        self._normaliser = self._normaliser_arcs()
+        # By chunk where the normaliser is in TEXT, else by (state, chunk).
+        self._memo: dict[str | tuple[int, str], bytes] = {}
+        self._older: dict[str | tuple[int, str], bytes] = {}
         self._follows: dict[tuple[int, int], bool] = {}
         self._limit = memo
 
-    def normalise(self, text: str) -> str:
+    def _normaliser_arcs(self) -> dict[tuple[int, bool], tuple[str, int]]:
+        """(state, is it a space) to what is written before the character (for a space: instead) and the next state."""
+        prefix = SPACE if self.model.prefix else ""
+        word = {(self.START, False): (prefix, self.TEXT), (self.TEXT, False): ("", self.TEXT), (self.GAP, False): (SPACE, self.TEXT)}
         if self.model.collapse:
-            text = re.sub(" +", " ", text.strip(" "))
-        return ((SPACE if self.model.prefix else "") + text.replace(" ", SPACE)) if text else ""
+            space = {(self.START, True): ("", self.START), (self.TEXT, True): ("", self.GAP), (self.GAP, True): ("", self.GAP)}
+        else:
+            space = {(self.START, True): (prefix + SPACE, self.TEXT), (self.TEXT, True): (SPACE, self.TEXT)}
+        return word | space
+
+    def normalise(self, text: str, state: int = START) -> tuple[str, int]:
+        """What the normaliser writes for ``text`` from ``state`` on, and the state it ends in."""
+        arcs, out = self._normaliser, []
+        for c in text:
+            space = c == " "
+            before, state = arcs[state, space]
+            out.append(before if space else before + c)
+        return "".join(out), state
 
     def merged(self, text: str) -> list[str]:
         """Characters of a short string merged by score, leftmost first among equals."""
@@ -141,12 +170,11 @@ class Transducer:
         return parts
 
     def _may_follow(self, a: int, b: int) -> bool:
-        known = self._follows.get((a, b))
-        if known is None:
-            if len(self._follows) > 1_000_000:
-                self._follows.clear()
-            x, y = self.model.pieces[a][0], self.model.pieces[b][0]
-            known = self._follows[a, b] = self.merged(x + y) == [x, y]
+        """May piece b stand behind a, or (a is -1) first?"""
+        if len(self._follows) > 1_000_000:
+            self._follows.clear()
+        both = [self.model.pieces[i][0] for i in (a, b) if i >= 0]
+        known = self._follows[a, b] = self.merged("".join(both)) == both
         return known
 
     def _fallback(self, c: str) -> list[int]:
@@ -154,95 +182,106 @@ class Transducer:
             return [self.model.bytes[b] for b in c.encode()]
         return [self.model.unknown]
 
-    def _arcs(self, part: str, at: int) -> list[tuple[int, int]]:
-        """(piece, end) of the pieces that spell ``part`` from ``at`` on, shortest first."""
-        node, end, arcs = self._trie, at, []
-        while end < len(part) and (node := node.get(part[end])):
-            end += 1
+    def _arcs_to(self, part: str, end: int) -> list[tuple[int, int]]:
+        """(start, piece) of the pieces that spell ``part`` up to ``end``, shortest first; -1 is fallback."""
+        node, arcs = self._backwards, []
+        if part[end - 1] not in self._id:
+            arcs.append((end - 1, -1))
+        for at in range(end - 1, -1, -1):
+            node = node.get(part[at])
+            if node is None:
+                break
             if "" in node:
-                arcs.append((node[""], end))
+                arcs.append((at, node[""]))
         return arcs
 
-    def shortest_path(self, part: str) -> list[int]:
-        """Ids along the shortest path of the composition with ``part``, whose characters are all in pieces."""
-        return self._only_path(part) if self.model.kind == BPE else self._lightest_path(part)
-
-    def _only_path(self, part: str) -> list[int]:
-        """BPE: the composition has one path; its states (place, last piece) are made as the search reaches them, long arcs first."""
-        follows, check = self._follows, self._may_follow
-        arcs = {0: self._arcs(part, 0)}
-        path: list[tuple[int, int]] = []
-        todo = [list(arcs[0])]  # untried arcs at each step of the path
-        tried: set[tuple[int, int]] = set()
-        length, last = len(part), -1
-        while True:
-            untried = todo[-1]
-            if not untried:  # a dead end: this state leads nowhere
-                todo.pop()
-                path.pop()
-                last = path[-1][0] if path else -1
-                continue
-            arc = untried.pop()
-            if arc in tried:
-                continue
-            piece, end = arc
-            if last >= 0:
-                good = follows.get((last, piece))
-                if not (check(last, piece) if good is None else good):
-                    continue
-            tried.add(arc)  # what follows depends on the last piece and the place alone
-            path.append(arc)
-            if end == length:
-                return [piece for piece, _ in path]
-            last = piece
-            if end not in arcs:
-                arcs[end] = self._arcs(part, end)
-            todo.append(list(arcs[end]))
-
-    def _lightest_path(self, part: str) -> list[int]:
-        """Unigram: least sum of weights over all paths, place by place."""
-        best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(float("inf"), 0, -1)] * len(part)
-        for at, c in enumerate(part):
-            cost = best[at][0]
-            arcs = self._arcs(part, at)
-            if c not in self._id:
-                arcs.append((-1, at + 1))  # spelled by fallback
-            for piece, end in arcs:
-                total = cost + (self._weight[piece] if piece >= 0 else 1e6)
-                if total < best[end][0]:
-                    best[end] = (total, at, piece)
-        ids: list[int] = []
-        at = len(part)
-        while at:
-            _, before, piece = best[at]
-            ids += [piece] if piece >= 0 else self._fallback(part[before:at])[::-1]
-            at = before
-        return ids[::-1]
-
-    def _path(self, part: str) -> bytes:
-        """Ids of a part, joined from those between places that no piece reaches over."""
-        known = self._memo.get(part)
-        if known is None:
-            pairs = self._pairs
-            cuts = [i for i, pair in enumerate(zip(part, part[1:], strict=False), 1) if pair not in pairs]
-            if cuts:
-                known = b"".join(self._path(part[a:b]) for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True))
-            elif part in self._letters or len(part) > 1:
-                known = array("I", self.shortest_path(part)).tobytes()
+    def shortest_paths(self, parts: list[str]) -> Iterator[list[int]]:
+        """Ids along the lightest path of the composition with each of the sorted ``parts``."""
+        weights, follows, check, bpe = self._weight, self._follows, self._may_follow, self.model.kind == BPE
+        # By place: weight of the lightest path there, where its last piece starts, that piece.
+        cost, begin, last = [0.0], [0], [-1]
+        known = ""
+        for part in parts:
+            shared = 0
+            for x, y in zip(known, part, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del cost[shared + 1 :], begin[shared + 1 :], last[shared + 1 :]
+            for end in range(shared + 1, len(part) + 1):
+                least, origin, by = math.inf, 0, -1
+                for at, piece in reversed(self._arcs_to(part, end)):
+                    total = cost[at] + (weights[piece] if piece >= 0 else self._unknown_weight)
+                    if bpe and piece >= 0:
+                        good = follows.get((last[at], piece))
+                        if not (check(last[at], piece) if good is None else good):
+                            continue
+                    if total < least:
+                        least, origin, by = total, at, piece
+                        if bpe:  # one state at a place
+                            break
+                cost.append(least)
+                begin.append(origin)
+                last.append(by)
+            known = part
+            ids: list[int] = []
+            at = len(part)
+            while at:
+                ids += [last[at]] if last[at] >= 0 else self._fallback(part[begin[at] : at])[::-1]
+                at = begin[at]
+            yield ids[::-1]
+
+    def _units(self, part: str) -> list[str]:
+        """A normalised part, cut where no piece reaches over."""
+        pairs = self._pairs
+        cuts = [i for i, pair in enumerate(zip(part, part[1:], strict=False), 1) if pair not in pairs]
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)] if cuts else [part]
+
+    def _learn(self, wanted: set[str | tuple[int, str]]) -> None:
+        """Put the paths of chunks into the memo."""
+        if len(self._memo) > self._limit:
+            self._older, self._memo = self._memo, {}
+        memo, older, new = self._memo, self._older, []
+        for key in wanted.difference(memo):
+            ids = older.get(key)
+            if ids is None:
+                state, chunk = key if isinstance(key, tuple) else (self.TEXT, key)
+                new.append((key, self._units(self.normalise(chunk, state)[0])))
             else:
-                known = array("I", self._fallback(part)).tobytes()
-            self._memo[part] = known
-        return known
+                memo[key] = ids
+        units = sorted({u for _, own in new for u in own if u})
+        paths = {"": b""} | {u: array("I", ids).tobytes() for u, ids in zip(units, self.shortest_paths(units), strict=True)}
+        for key, own in new:
+            memo[key] = paths[own[0]] if len(own) == 1 else b"".join(map(paths.__getitem__, own))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        keyed = []
+        for text in texts:
+            keys = self._chunks.findall(text)
+            if self.model.collapse:
+                state = self.START
+                for i, chunk in enumerate(keys):
+                    if state != self.TEXT:
+                        keys[i] = state, chunk
+                    # A chunk that ends in white space holds it back.
+                    state = self.normalise(chunk, state)[1] if chunk[-1] == " " else self.TEXT
+            elif keys:
+                keys[0] = self.START, keys[0]
+            keyed.append(keys)
+        self._learn(set().union(*keyed))
+        found = [b"".join(map(self._memo.__getitem__, keys)) for keys in keyed]
+        return found if self.model.bytes else [self._one_unknown(ids) for ids in found]
+
+    def _one_unknown(self, ids: bytes) -> bytes:
+        flat = np.frombuffer(ids, "<u4")
+        unknown = flat == self.model.unknown
+        unknown[1:] &= flat[:-1] == self.model.unknown
+        unknown[:1] = False
+        return flat[~unknown].tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes."""
-        parts = self._parts.findall(self.normalise(text))
-        if len(self._memo) > self._limit:
-            self._memo.clear()
-        memo = self._memo
-        for part in set(parts).difference(memo):
-            self._path(part)
-        return b"".join(map(memo.__getitem__, parts))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse transducer: pieces and bytes back to text; bytes that are no UTF-8 become U+FFFD."""
@@ -265,13 +304,29 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def _slices(column: pa.Array) -> Iterator[list[str]]:
+    """Texts (null: empty), about ``SLICE`` characters at a time."""
+    held, size = [], 0
+    for value in column:
+        text = value.as_py() or ""
+        held.append(text)
+        size += len(text)
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_pieces, ids`` (little-endian unsigned 32-bit) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            ids = [machine.encode(t.as_py() or "") for t in batch.column(1)]
+            ids: list[bytes] = []
+            for texts in _slices(batch.column(1)):
+                ids += machine.encode_all(texts)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes // 4), binary_array(sizes, b"".join(ids))], ["doc_id", "n_pieces", "ids"])
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,6 +322,70 @@ def test_pieces_equal_the_library(spark, docs):
     assert transducer.encoded(docs.limit(0), path).count() == 0
 
 
+def model_file(path, pieces, kind, collapse, fallback):
+    """A model file of the given (piece, score, type), written field by field."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    def field(number, value):
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    out = b"".join(field(1, field(1, p.encode()) + field(2, score) + field(3, of)) for p, score, of in pieces)
+    out += field(2, field(3, kind) + field(35, int(fallback)))
+    out += field(3, field(1, b"identity") + field(3, 1) + field(4, int(collapse)) + field(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [transducer.UNIGRAM, transducer.BPE])
+@pytest.mark.parametrize("collapse", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_lightest_paths_and_normaliser_equal_the_library(tmp_path, kind, collapse, fallback):
+    import sentencepiece
+
+    rng = random.Random(kind * 4 + collapse * 2 + fallback)
+    space = transducer.SPACE
+    letters = [space, *"abcde\u00e9"]
+    longer = {"".join(rng.choices("abcde\u00e9", k=rng.randint(2, 5))) for _ in range(60)}
+    longer |= {space + "".join(rng.choices("abcde", k=rng.randint(1, 4))) for _ in range(30)} | {space * 2, space * 4}
+    if kind == transducer.UNIGRAM:
+        letters.remove("e")  # only inside longer pieces: else spelled by fallback
+    scores = rng.sample(range(1, 4000), len(longer) + len(letters))  # sums are exact in 32 bits; ties are rare
+    merges = sorted(longer)
+    rng.shuffle(merges)
+    if kind == transducer.BPE:  # each piece is a merge of two shorter ones
+        known = list(letters)
+        merges = []
+        while len(merges) < 80:
+            new = rng.choice(known) + rng.choice(known)
+            if len(new) < 7 and space not in new.lstrip(space) and new not in known:
+                merges.append(new)
+                known.append(new)
+        scores = list(range(len(merges) + len(letters)))
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    pieces += [(p, -float(score) / 64, 1) for p, score in zip(merges + letters, scores, strict=False)]
+    path = model_file(tmp_path / "own.model", pieces, kind, collapse, fallback)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), transducer.Transducer(path, memo=50)
+    texts = ["", " ", "   ", " a ", "a  b", "  ab   \n  cd  ", "z", "zz z", "a" * 3000, "abcde" * 500]
+    texts += ["".join(rng.choices("abcde\u00e9  \nz\U0001f600", k=rng.randint(0, 40))) for _ in range(1500)]
+    found = machine.encode_all(texts)
+    for text, ids in zip(texts, found, strict=True):
+        own, wanted = np.frombuffer(ids, "<u4").tolist(), library.encode(text)
+        if kind == transducer.UNIGRAM and own != wanted:  # equal sums only
+            weight = lambda of: sum(machine._weight[i] if i in machine._id.values() else 0 for i in of)
+            assert weight(own) == pytest.approx(weight(wanted), abs=1e-3), text
+        else:
+            assert own == wanted, text
+    if fallback and not collapse:
+        assert [machine.decode(np.frombuffer(ids, "<u4")) for ids in found] == texts
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
