@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import forget, spread_join, written
 
 BITS = 64
+TASK_PROBES = 1 << 20  # values that one task makes of its queries
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -85,12 +86,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "id", c
     borders = segment_borders(codes.count())
     index = _index(codes, borders)
     left = written(wanted.select("code").distinct())
+    n_left = left.count()
     done: list[DataFrame] = []
     for radius in range(max(w for _, w in borders) + 1):
         covered = len(borders) * (radius + 1) - 1
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
         # Spark takes the probes for as few as the queries they come from and would broadcast them.
-        met = _probes(left, borders, radius).hint("merge").join(index, ["segment", "value"]).filter(distance <= covered)
+        each = sum(math.comb(w, r) for _, w in borders for r in range(min(radius, w) + 1))
+        met = _probes(left.repartition(-(-max(n_left, 1) * each // TASK_PROBES), "code"), borders, radius).hint("merge").join(index, ["segment", "value"]).filter(distance <= covered)
         met = met.select("query", "code", distance.alias("distance"), "least", "n").distinct()
         best = written(_best(met, k + 1))
         # With itself, a query needs k + 1 rows within the covered distance; k + 1 codes always do.
@@ -101,8 +104,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "id", c
         done.append(best.join(full, "query", "left_semi"))
         rest = written(left.join(full.withColumnRenamed("query", "code"), "code", "left_anti"))
         forget(left)
-        left = rest
-        if not left.limit(1).count():
+        left, n_left = rest, rest.count()
+        if not n_left:
             break
     found = done[0]
     for more in done[1:]:

@@ -36,6 +36,7 @@ GOLAY = 0b110001110101  # generator polynomial of the perfect Golay code, degree
 BITS, RADIUS = 23, 3
 MAX_DISTANCE = 3
 AT_HOME = 4096  # fingerprints at home in one part of an anchor
+TASK_FINGERPRINTS = 4096  # that one task copies to their anchors
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -190,7 +191,8 @@ def near_links(distinct: DataFrame, distance: int) -> DataFrame:
     An anchor with more than ``AT_HOME`` at home is split in parts: the home rows are dealt over
     them and each copy goes to all. ``distinct`` must be a written table.
     """
-    spread = copies(distinct, distance)
+    tasks = -(-max(distinct.count(), 1) // TASK_FINGERPRINTS)  # each makes some hundred copies of its fingerprints
+    spread = copies(distinct.repartition(tasks, "fp"), distance)
     own = copies(distinct, 0)  # the homes alone
     full = own.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(AT_HOME)).cast("int").alias("parts")).filter("parts > 1")
     if full.limit(1).count():  # not every input has such an anchor; their number grows with the input, so Spark chooses the join
