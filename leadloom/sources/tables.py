@@ -31,9 +31,35 @@ def read_pages(spark: SparkSession, path: str, sniff: bool = False, multibyte: b
     return pages
 
 
+# A record in one line: quotes stand around whole cells only and are doubled inside them.
+_WHOLE_LINE = r"""^(?:"(?:[^"\r]|"")*+"|[^",\r]*+)(?:,(?:"(?:[^"\r]|"")*+"|[^",\r]*+))*+\r?$"""
+
+
+def whole_line_files(spark: SparkSession, path: str) -> list[str]:
+    """CSV files longer than one scan split in which every line is a whole record."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    # Files are chosen by their listed size: without a long one nothing is read.
+    long = lines.filter(F.col("_metadata.file_size") > split).groupBy(F.col("_metadata.file_path").alias("file"))
+    whole = long.agg(F.bool_and(F.col("value").rlike(_WHOLE_LINE)).alias("whole")).filter("whole")
+    return sorted(r.file for r in whole.collect())
+
+
 def read_leads_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; every column stays text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """CSV with a header; every column stays text.
+
+    A cell may hold line breaks, so a file is read by one task, unless it is longer than a scan
+    split (``spark.sql.files.maxPartitionBytes``) and all its lines are whole records. Line breaks
+    inside cells come as a line feed where the file's own are carriage return and line feed.
+    """
+    reader = spark.read.option("header", True).option("escape", '"')
+    rows = reader.option("multiLine", True).csv(path)
+    whole = whole_line_files(spark, path)
+    if not whole:
+        return rows
+    file = F.col("_metadata.file_path")
+    split = reader.option("multiLine", False).schema(rows.schema).csv(path)
+    return rows.filter(~file.isin(whole)).unionByName(split.filter(file.isin(whole)))
 
 
 def cells(df: DataFrame) -> DataFrame:
