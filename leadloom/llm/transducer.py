@@ -44,7 +44,7 @@ from leadloom.llm.tokens import binary_array
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character weighs this more than the heaviest piece
-SLICE = 1_000_000  # characters of the texts whose parts are composed together
+SLICE = 2_000_000  # characters of the texts whose parts are composed together
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,7 +110,7 @@ class Model:
 class Transducer:
     START, TEXT, GAP = range(3)  # of the normaliser: nothing written, text written, white space held back
 
-    def __init__(self, path: str, memo: int = 100_000):
+    def __init__(self, path: str, memo: int = 130_000):
         self.model = Model(path)
         self._id = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == Model.NORMAL}
         self._weight = [-score for _, score, _ in self.model.pieces]
@@ -133,7 +133,7 @@ class Transducer:
         # By chunk where the normaliser is in TEXT, else by (state, chunk).
         self._memo: dict[str | tuple[int, str], bytes] = {}
         self._older: dict[str | tuple[int, str], bytes] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}  # by a * pieces + b
         self._limit = memo
 
     def _normaliser_arcs(self) -> dict[tuple[int, bool], tuple[str, int]]:
@@ -171,10 +171,10 @@ class Transducer:
 
     def _may_follow(self, a: int, b: int) -> bool:
         """May piece b stand behind a, or (a is -1) first?"""
-        if len(self._follows) > 300_000:
+        if len(self._follows) > 600_000:
             self._follows.clear()
         both = [self.model.pieces[i][0] for i in (a, b) if i >= 0]
-        known = self._follows[a, b] = self.merged("".join(both)) == both
+        known = self._follows[a * len(self.model.pieces) + b] = self.merged("".join(both)) == both
         return known
 
     def _fallback(self, c: str) -> list[int]:
@@ -198,6 +198,7 @@ class Transducer:
     def shortest_paths(self, parts: list[str]) -> Iterator[list[int]]:
         """Ids along the lightest path of the composition with each of the sorted ``parts``."""
         weights, follows, check, bpe = self._weight, self._follows, self._may_follow, self.model.kind == BPE
+        size = len(self.model.pieces)
         # By place: weight of the lightest path there, where its last piece starts, that piece.
         cost, begin, last = [0.0], [0], [-1]
         known = ""
@@ -213,7 +214,7 @@ class Transducer:
                 for at, piece in reversed(self._arcs_to(part, end)):
                     total = cost[at] + (weights[piece] if piece >= 0 else self._unknown_weight)
                     if bpe and piece >= 0:
-                        good = follows.get((last[at], piece))
+                        good = follows.get(last[at] * size + piece)
                         if not (check(last[at], piece) if good is None else good):
                             continue
                     if total < least:
