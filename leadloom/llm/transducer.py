@@ -44,7 +44,7 @@ from leadloom.llm.tokens import binary_array
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character weighs this more than the heaviest piece
-SLICE = 2_000_000  # characters of the texts whose parts are composed together
+SLICE = 2_500_000  # characters of the texts whose parts are composed together
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,7 +110,7 @@ class Model:
 class Transducer:
     START, TEXT, GAP = range(3)  # of the normaliser: nothing written, text written, white space held back
 
-    def __init__(self, path: str, memo: int = 130_000):
+    def __init__(self, path: str, memo: int = 170_000):
         self.model = Model(path)
         self._id = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == Model.NORMAL}
         self._weight = [-score for _, score, _ in self.model.pieces]
