@@ -72,8 +72,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: s
     p = free_prefix(left, right)
     copies = F.ceil(F.col(weight) / F.lit(rows)).cast("int")
     hot = right.filter(F.col(weight) > rows).select(F.col(key).alias(f"{p}hot"), copies.alias(f"{p}copies"))
-    # At most rows(left) / `rows` hot keys; Spark broadcasts them if they are small.
-    dealt = left.join(hot, F.col(key) == F.col(f"{p}hot"), "left").withColumn(
+    # At most rows(left) / `rows` hot keys: without the hint an estimate may have ``left`` shuffled for them.
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col(f"{p}hot"), "left").withColumn(
         f"{p}copy",
         F.when(F.col(f"{p}copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col(f"{p}copies")).cast("int")),
     )
