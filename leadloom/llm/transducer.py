@@ -19,7 +19,9 @@ Every path passes through a place whose two neighbouring characters no piece hol
 before white space (no piece holds U+2581 behind another character) and around characters outside
 all pieces, for instance. Inputs are composed piecewise between such places. The parts of many
 texts are sorted, and a part goes on from the states of the beginning that it shares with the one
-before. A bounded memo of two generations keeps the paths of recent parts.
+before. A bounded memo of two generations keeps the paths of recent parts. All texts of a slice are
+cut at once by a table of the pairs of characters that pieces hold, and each distinct part is looked
+up once.
 
 Defined results: null text is empty and has no ids; repeated rows get equal results; extra columns
 are not read; an empty table gives no rows; a part without such places takes time in proportion
@@ -44,7 +46,9 @@ from leadloom.llm.tokens import binary_array
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character weighs this more than the heaviest piece
-SLICE = 2_500_000  # characters of the texts whose parts are composed together
+SLICE = 1_000_000  # characters of the texts whose parts are composed together
+PLACES = 1 << 20  # of the table of pairs, a power of two
+RUNS = re.compile(" +|[^ ]+")
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -114,6 +118,7 @@ class Transducer:
         self.model = Model(path)
         self._id = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == Model.NORMAL}
         self._weight = [-score for _, score, _ in self.model.pieces]
+        self._merge_weight = {p: self._weight[i] for p, i in self._id.items()}
         self._unknown_weight = max((self._weight[i] for i in self._id.values()), default=0.0) + UNKNOWN_PENALTY
         self._backwards: dict = {}
         for piece, i in self._id.items():
@@ -127,12 +132,12 @@ class Transducer:
             raise ValueError("a character of a merged piece is no piece")
         if any(SPACE in p.lstrip(SPACE) for p in self._id):
             raise ValueError("pieces reach over white space")
-        feed = "" if "\n" in self._letters else "\n"
-        self._chunks = re.compile(f"[ {SPACE}]*[^ {SPACE}{feed}]+|[ {SPACE}]+" + (f"|{feed}" if feed else ""))
+        self._joined = np.zeros(PLACES, bool)
+        if self._pairs:
+            self._joined[self._place(*(np.array([ord(c) for c in side], "<u4") for side in zip(*self._pairs, strict=True)))] = True
         self._normaliser = self._normaliser_arcs()
-        # By chunk where the normaliser is in TEXT, else by (state, chunk).
-        self._memo: dict[str | tuple[int, str], bytes] = {}
-        self._older: dict[str | tuple[int, str], bytes] = {}
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._follows: dict[int, bool] = {}  # by a * pieces + b
         self._limit = memo
 
@@ -149,24 +154,35 @@ class Transducer:
     def normalise(self, text: str, state: int = START) -> tuple[str, int]:
         """What the normaliser writes for ``text`` from ``state`` on, and the state it ends in."""
         arcs, out = self._normaliser, []
-        for c in text:
-            space = c == " "
-            before, state = arcs[state, space]
-            out.append(before if space else before + c)
+        for run in RUNS.finditer(text):
+            own = run[0]
+            if own[0] == " ":
+                for _ in own:
+                    before, state = arcs[state, True]
+                    out.append(before)
+            else:  # a word leads to TEXT and stays there, writing itself
+                before, state = arcs[state, False]
+                out += before, own
+                before, after = arcs[state, True]
+                if after == state:  # white space stays there, too
+                    return "".join(out) + text[run.end() :].replace(" ", before), state
         return "".join(out), state
 
     def merged(self, text: str) -> list[str]:
         """Characters of a short string merged by score, leftmost first among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(
-                ((self._weight[self._id[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self._id),
-                default=None,
-            )
-            if best is None:
+        parts, weight = list(text), self._merge_weight.get
+        sums = [weight(a + b, math.inf) for a, b in zip(parts, parts[1:], strict=False)]  # of merging each with the next
+        while sums:
+            least = min(sums)
+            if least == math.inf:
                 break
-            i = best[1]
+            i = sums.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del sums[i]
+            if i:
+                sums[i - 1] = weight(parts[i - 1] + parts[i], math.inf)
+            if i < len(sums):
+                sums[i] = weight(parts[i] + parts[i + 1], math.inf)
         return parts
 
     def _may_follow(self, a: int, b: int) -> bool:
@@ -232,46 +248,53 @@ class Transducer:
                 at = begin[at]
             yield ids[::-1]
 
-    def _units(self, part: str) -> list[str]:
-        """A normalised part, cut where no piece reaches over."""
-        pairs = self._pairs
-        cuts = [i for i, pair in enumerate(zip(part, part[1:], strict=False), 1) if pair not in pairs]
-        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)] if cuts else [part]
-
-    def _learn(self, wanted: set[str | tuple[int, str]]) -> None:
-        """Put the paths of chunks into the memo."""
+    @staticmethod
+    def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where the table of pairs holds a character before another. Pairs on one place only leave more uncut."""
+        return (a * np.uint32(2654435761) + b) & np.uint32(PLACES - 1)
+
+    def _units(self, written: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Normalised texts, cut where no piece reaches over: each unit's number, the units by number, units per text."""
+        flat = "".join(written)
+        codes = np.frombuffer(flat.encode("utf-32-le"), "<u4")
+        cut = np.ones(len(codes) + 1, bool)
+        np.logical_not(self._joined[self._place(codes[:-1], codes[1:])], out=cut[1 : len(codes)])
+        ends = np.cumsum(np.fromiter(map(len, written), np.int64, len(written)))
+        cut[ends] = True
+        per_text = np.diff(np.searchsorted(np.flatnonzero(cut), ends), prepend=0)
+        data = np.frombuffer(flat.encode(), np.uint8)
+        first = (data & 0xC0) != 0x80  # bytes of characters
+        first[first] = cut[:-1]
+        offsets = np.append(np.flatnonzero(first), len(data))
+        units = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = units.dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary, per_text
+
+    def _paths(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units."""
         if len(self._memo) > self._limit:
             self._older, self._memo = self._memo, {}
         memo, older, new = self._memo, self._older, []
-        for key in wanted.difference(memo):
-            ids = older.get(key)
-            if ids is None:
-                state, chunk = key if isinstance(key, tuple) else (self.TEXT, key)
-                new.append((key, self._units(self.normalise(chunk, state)[0])))
-            else:
-                memo[key] = ids
-        units = sorted({u for _, own in new for u in own if u})
-        paths = {"": b""} | {u: array("I", ids).tobytes() for u, ids in zip(units, self.shortest_paths(units), strict=True)}
-        for key, own in new:
-            memo[key] = paths[own[0]] if len(own) == 1 else b"".join(map(paths.__getitem__, own))
+        for unit in units:
+            if unit not in memo:
+                ids = older.get(unit)
+                if ids is None:
+                    new.append(unit)
+                else:
+                    memo[unit] = ids
+        new.sort()
+        for unit, ids in zip(new, self.shortest_paths(new), strict=True):
+            memo[unit] = array("I", ids).tobytes()
+        return list(map(memo.__getitem__, units))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        keyed = []
-        for text in texts:
-            keys = self._chunks.findall(text)
-            if self.model.collapse:
-                state = self.START
-                for i, chunk in enumerate(keys):
-                    if state != self.TEXT:
-                        keys[i] = state, chunk
-                    # A chunk that ends in white space holds it back.
-                    state = self.normalise(chunk, state)[1] if chunk[-1] == " " else self.TEXT
-            elif keys:
-                keys[0] = self.START, keys[0]
-            keyed.append(keys)
-        self._learn(set().union(*keyed))
-        found = [b"".join(map(self._memo.__getitem__, keys)) for keys in keyed]
+        numbers, units, per_text = self._units([self.normalise(text)[0] for text in texts])
+        paths = self._paths(units.to_pylist())
+        sizes = np.fromiter(map(len, paths), np.int64, len(paths))
+        ends = np.concatenate([[0], np.cumsum(sizes[numbers])])[np.cumsum(per_text)].tolist()
+        flat = b"".join(map(paths.__getitem__, numbers.tolist()))
+        found = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return found if self.model.bytes else [self._one_unknown(ids) for ids in found]
 
     def _one_unknown(self, ids: bytes) -> bytes:

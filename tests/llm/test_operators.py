@@ -386,6 +386,34 @@ def test_lightest_paths_and_normaliser_equal_the_library(tmp_path, kind, collaps
         assert [machine.decode(np.frombuffer(ids, "<u4")) for ids in found] == texts
 
 
+def test_parts_are_composed_once(monkeypatch):
+    path = tokens.vocabulary_file(queries.PIECES)
+    machine, composed = transducer.Transducer(path), []
+    compose = machine.shortest_paths
+
+    def recorded(parts):
+        composed.extend(parts)
+        return compose(parts)
+
+    monkeypatch.setattr(machine, "shortest_paths", recorded)
+    texts = ["Thonly erend", "Thonly. erend,", "thonly\nerend!?", "", "Thonly, erend. erend%%%", " erend"]
+    found = [machine.encode(text) for text in texts]
+    assert len(composed) == len(set(composed)) and composed.count("▁erend") == 1
+    assert found == transducer.Transducer(path).encode_all(texts)
+
+
+@pytest.mark.parametrize("places", [1, 16])
+def test_pairs_on_one_place_change_no_ids(monkeypatch, places):
+    import sentencepiece
+
+    path = tokens.vocabulary_file(queries.PIECES)
+    monkeypatch.setattr(transducer, "PLACES", places)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), transducer.Transducer(path)
+    texts = [t or "" for t in odd_texts()] + ["", "Thonly. erend,", "日本 1. x\n\ny"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in machine.encode_all(texts)] == library.encode(texts)
+    assert machine.encode_all(["", ""]) == [b"", b""]
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
