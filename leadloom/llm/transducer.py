@@ -34,7 +34,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character weighs this more than the heaviest piece
 SLICE = 1_000_000  # characters of the texts whose parts are composed together
+ROWS = 500  # decoded together
 PLACES = 1 << 20  # of the table of pairs, a power of two
 RUNS = re.compile(" +|[^ ]+")
 
@@ -120,12 +121,6 @@ class Transducer:
         self._weight = [-score for _, score, _ in self.model.pieces]
         self._merge_weight = {p: self._weight[i] for p, i in self._id.items()}
         self._unknown_weight = max((self._weight[i] for i in self._id.values()), default=0.0) + UNKNOWN_PENALTY
-        self._backwards: dict = {}
-        for piece, i in self._id.items():
-            node = self._backwards
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = i  # spells piece i
         self._letters = {c for p in self._id for c in p}
         self._pairs = {pair for p in self._id for pair in zip(p, p[1:], strict=False)}
         if self.model.kind == BPE and not self._letters <= self._id.keys():
@@ -141,6 +136,17 @@ class Transducer:
         self._follows: dict[int, bool] = {}  # by a * pieces + b
         self._limit = memo
 
+    @cached_property
+    def _backwards(self) -> dict:
+        """The trie of pieces, which decoding doesn't need."""
+        trie: dict = {}
+        for piece, i in self._id.items():
+            node = trie
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = i  # spells piece i
+        return trie
+
     def _normaliser_arcs(self) -> dict[tuple[int, bool], tuple[str, int]]:
         """(state, is it a space) to what is written before the character (for a space: instead) and the next state."""
         prefix = SPACE if self.model.prefix else ""
@@ -348,11 +354,13 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            ids: list[bytes] = []
+            start = 0
             for texts in _slices(batch.column(1)):
-                ids += machine.encode_all(texts)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes // 4), binary_array(sizes, b"".join(ids))], ["doc_id", "n_pieces", "ids"])
+                ids = machine.encode_all(texts)
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                own = batch.column(0).slice(start, len(ids))
+                yield pa.RecordBatch.from_arrays([own, pa.array(sizes // 4), binary_array(sizes, b"".join(ids))], ["doc_id", "n_pieces", "ids"])
+                start += len(ids)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids binary")
@@ -364,7 +372,9 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            texts = [machine.decode(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                texts = [machine.decode(np.frombuffer(x.as_py(), "<u4")) for x in rows.column(2)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "text"])
 
     return ids.mapInArrow(run, "doc_id long, n_pieces long, ids binary, text string")

@@ -402,6 +402,17 @@ def test_parts_are_composed_once(monkeypatch):
     assert found == transducer.Transducer(path).encode_all(texts)
 
 
+def test_pieces_leave_and_come_back_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(transducer, "SLICE", 40)
+    monkeypatch.setattr(transducer, "ROWS", 3)
+    path = tokens.vocabulary_file(queries.PIECES)
+    texts = [None if i % 7 == 3 else "Thonly. erend,\n" * (i % 9) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    back = transducer.decoded(transducer.encoded(rows, path), path).collect()
+    assert [(r.doc_id, r.text) for r in back] == [(i, text or "") for i, text in enumerate(texts)]
+    assert all(r.n_pieces * 4 == len(r.ids) for r in back)
+
+
 @pytest.mark.parametrize("places", [1, 16])
 def test_pairs_on_one_place_change_no_ids(monkeypatch, places):
     import sentencepiece
